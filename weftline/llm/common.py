@@ -47,3 +47,18 @@ def small_or_not(df: DataFrame, rows: int) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of the whole text as a long; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once for each row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def bounded_share(rows: int, most: int) -> float:
+    """The share of ``rows`` that a hash filter keeps so that about ``most`` stay."""
+    return 1.0 if rows <= most else most / rows
+
+
+def hash_below(key: Column, share: float, salt: str) -> Column:
+    """True for a fixed pseudo-random ``share`` of the keys."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 11) < F.lit(int(share * (1 << 53)))
