@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_rules, sharding, token_counts, token_store
+from . import byte_bpe, mixing, near_dedup, quality_rules, sharding, token_counts, token_store
 
 SHARDS = 8
 
@@ -45,6 +45,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(docs, _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -61,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_byte_bpe, op3_token_store, op7_quality_rules, op9_mixing, op10_token_counts]
+    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op7_quality_rules, op9_mixing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
