@@ -69,14 +69,13 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     state = common.written(budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(True).alias("open")))
     n = state.count()
     for bits in range(ROUND_BITS, HASH_BITS + 1, ROUND_BITS):
-        s = common.small_or_not(state.where("open").select(F.col("source").alias("_s"), "prefix"), n)
+        s = common.small_or_not(state.where("open").select(F.col("source").alias("_s"), "prefix", F.col("left").alias("_left")), n)
         here = rows.join(s, same(rows["source"], s["_s"]) & (F.shiftright("hash", HASH_BITS - bits + ROUND_BITS) == F.col("prefix")))
-        sums = here.groupBy("source", F.shiftright("hash", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("n"))
+        sums = here.groupBy("source", F.shiftright("hash", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("n"), F.first("_left").alias("_left"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        running = sums.withColumn("upto", F.sum("n").over(upto)).select(F.col("source").alias("_s"), "bucket", "n", "upto")
-        joined = state.join(common.small_or_not(running, n << ROUND_BITS), same(state["source"], running["_s"]) & (F.col("upto") > F.col("left")), "left")
-        first = F.min_by(F.struct("bucket", "n", "upto"), "bucket")
-        crossed = joined.groupBy("source", "left", "prefix", "open").agg(first.alias("at"))
+        running = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.col("_left"))
+        first = running.groupBy(F.col("source").alias("_s")).agg(F.min_by(F.struct("bucket", "n", "upto"), "bucket").alias("at"))
+        crossed = state.join(common.small_or_not(first, n), same(state["source"], first["_s"]), "left")
         below = F.col("at.upto") - F.col("at.n")
         last = bits + ROUND_BITS > HASH_BITS
         take = (F.col("at.upto") - F.col("left") < F.col("left") - below).cast("long") if last else F.lit(0).cast("long")
