@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, near_dedup, quality_rules, sharding, token_counts, token_store
+from . import byte_bpe, language_id, mixing, near_dedup, quality_rules, sharding, token_counts, token_store
 
 SHARDS = 8
 
@@ -49,6 +49,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.select("doc_id", "text", "lang").where(~apart))
+    return language_id.identify(docs.select("doc_id", apart.alias("held_out"), "text"), model).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -65,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op7_quality_rules, op9_mixing, op10_token_counts]
+    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op6_language_id, op7_quality_rules, op9_mixing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
