@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, near_dedup, quality_rules, sharding, token_counts, token_store
+from . import byte_bpe, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, token_store
 
 SHARDS = 8
 
@@ -61,6 +61,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, quality_model.fit(docs)).select("doc_id", "score", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -72,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op6_language_id, op7_quality_rules, op9_mixing, op10_token_counts]
+    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op6_language_id, op7_quality_rules, op8_quality_model, op9_mixing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
