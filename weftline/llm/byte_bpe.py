@@ -17,16 +17,18 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: The largest vocabulary that is broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Entries of a worker's cache; longer pre-tokens than CACHED_CHARS aren't kept.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 CACHED_CHARS = 48
+#: Rows of a result batch.
+CHUNK = 200
 _BITS = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
@@ -160,8 +162,12 @@ class Encoder:
         token = self.table.get(piece)
         return [token] if token is not None else merge(piece, self.ranks)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text or ""))), "<i4")
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The text's ids as little-endian 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text or "")))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -188,38 +194,52 @@ def _named(ranks_path: str, pattern: str = "") -> str:
         return xxhash.xxh3_128_hexdigest(f.read() + pattern.encode())
 
 
-def encoder_udf(spark: SparkSession, ranks_path: str, pattern: str) -> Callable:
-    """A vectorised function of a text column: its ids, array<int>."""
-    shared = spark.sparkContext.broadcast((_named(ranks_path, pattern), PerfectHash(read_ranks(ranks_path)), pattern))
+def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, worker: Callable[[], Callable]) -> DataFrame:
+    """``df`` with column ``name`` made of ``source`` in Arrow batches of CHUNK rows, so that a task holds few results at a time."""
+    keep = [c for c in df.columns if c != name]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind)])
+    place = [df.columns.index(c) for c in keep]
+    at = df.columns.index(source)
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = _once("encoder", shared, Encoder).encode
-        for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype="object")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = worker()
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in place), make(part.column(at))], names=schema.names)
 
-    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(encode, "array<int>")
+    return df.mapInArrow(run, schema)
 
 
-def decoder_udf(spark: SparkSession, ranks_path: str) -> Callable:
-    """A vectorised function of an id array column: the tokens' bytes, joined."""
-    tokens = {i: b for b, i in read_ranks(ranks_path).items()}
-    shared = spark.sparkContext.broadcast((_named(ranks_path), tokens))
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the ids of each whole text, array<int>."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((_named(ranks_path, pattern), PerfectHash(read_ranks(ranks_path)), pattern))
 
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = _once("decoder", shared, dict).__getitem__
-        for rows in batches:
-            yield pd.Series([b"" if ids is None else b"".join(map(token, ids.tolist())) for ids in rows], dtype="object")
+    def worker() -> Callable:
+        pieces = _once("encoder", shared, Encoder).encode_bytes
 
-    decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(decode, "binary")
+        def make(texts: pa.Array) -> pa.Array:
+            found = [pieces(t) for t in texts.to_pylist()]
+            offsets = np.cumsum([0, *map(len, found)]) // 4
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
 
+        return make
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of each whole text."""
-    return df.withColumn(ids, encoder_udf(df.sparkSession, ranks_path, pattern)(F.col(text)))
+    return _with_column(df, text, ids, T.ArrayType(T.IntegerType()), worker)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for."""
-    return df.withColumn(decoded, decoder_udf(df.sparkSession, ranks_path)(F.col(ids)))
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((_named(ranks_path), {i: b for b, i in read_ranks(ranks_path).items()}))
+
+    def worker() -> Callable:
+        token = _once("decoder", shared, dict).__getitem__
+
+        def make(rows: pa.Array) -> pa.Array:
+            return pa.array([b"".join(map(token, r.values.to_pylist())) if r.is_valid else b"" for r in rows], pa.binary())
+
+        return make
+
+    return _with_column(df, ids, decoded, T.BinaryType(), worker)
