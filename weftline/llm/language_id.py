@@ -183,11 +183,11 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None:
     return Model(langs, machines)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score, made of the text alone; columns of these names are replaced."""
+def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score``, made of the text alone; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in docs.columns if c not in (lang, score)]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     place, at_text = [docs.columns.index(c) for c in keep], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

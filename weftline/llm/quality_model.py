@@ -224,19 +224,19 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Scorer:
     return Scorer(model, np.frombuffer(rows[0]["weights"], np.float32) if rows else None)
 
 
-def classify(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score (0 to 1) and kept (score at or above ``threshold``)."""
+def classify(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, score: str = "score", kept: str = "kept") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``kept`` (a score of ``threshold`` or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    keep = [c for c in docs.columns if c not in ("score", "kept")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    keep = [c for c in docs.columns if c not in (score, kept)]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(score, T.DoubleType()), T.StructField(kept, T.BooleanType())])
     place, at_text = [docs.columns.index(c) for c in keep], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.score
+        score_of = shared.value.score
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                scores = [score(t) for t in part.column(at_text).to_pylist()]
+                scores = [score_of(t) for t in part.column(at_text).to_pylist()]
                 made = [pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in place), *made], names=schema.names)
 
