@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, token_store
+from . import ann, byte_bpe, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, token_store
 
 SHARDS = 8
 
@@ -49,6 +49,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "embedding", every=100, k=10)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     apart = language_id.held_out(F.col("doc_id"))
@@ -77,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op6_language_id, op7_quality_rules, op8_quality_model, op9_mixing, op10_token_counts]
+    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op5_ann, op6_language_id, op7_quality_rules, op8_quality_model, op9_mixing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
