@@ -16,7 +16,8 @@ a shard of its own; other columns aren't stored.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,16 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, pretokens
 
 #: Bits between stored ranks, and tokens after which a shard is closed.
 BLOCK, SHARD_TOKENS = 512, 1 << 21
 #: Entries of a worker's cache of pre-tokens; longer ones than CACHED_CHARS aren't kept.
-CACHE_ENTRIES, CACHED_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHED_CHARS = 200_000, 48
 #: Documents encoded at a time.
 CHUNK = 200
-#: Pre-tokens of byte-level BPE, the fixed pattern of this kind of tokenizer.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Wavelet:
@@ -127,56 +126,69 @@ def _settled(char: str) -> bool:
     return old != "Cn" and old[0] == unicodedata.category(char)[0]
 
 
+class _Pieces(dict):
+    """Bounded cache from pre-token to its ids as bytes."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.ids_of(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def byte_characters() -> str:
+    """The character that byte-level BPE writes for each byte: itself if it is printable Latin-1, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in printable else chr(next(rest)) for b in range(256))
+
+
 class LibraryEncoder:
-    """The tokenizers library behind a cache of pre-tokens, which it encodes one like another wherever they stand."""
+    """The tokenizers library behind a cache of pre-tokens.
+
+    A pre-token has the same ids wherever it stands, so the library's model encodes each new
+    one once. A text that may hold special tokens, or characters whose class depends on the
+    library's Unicode version, goes to the library whole.
+    """
 
     def __init__(self, tokenizer: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.bits = max(1, (max(self.library.get_vocab().values())).bit_length())
+        self.code = "H" if self.bits <= 16 else "I"
         self.kind = "<u2" if self.bits <= 16 else "<u4"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PRE_TOKENS).findall
+        self.find = pretokens.finder(pretokens.PATTERN)
         pre = self.library.pre_tokenizer
         level = pre is not None and "ByteLevel" in str(pre) and "add_prefix_space=False" in str(pre)
         self.by_parts = level and self.library.normalizer is None
-        self.pieces: dict[str, bytes] = {}
-        self.known: set[str] = set()
+        self.pieces = _Pieces(self._piece)
+        self.characters = byte_characters()
+
+    def _piece(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        return array(self.code, [t.id for t in tokens]).tobytes()
 
     def _whole(self, text: str) -> bool:
-        """Whether only the library may split this text: it may see its special tokens or characters of unsettled class."""
+        """Whether only the library may split this text."""
         if not self.by_parts or any(s in text for s in self.special):
             return True
-        if new := set(text) - self.known:
-            settled = {c for c in new if _settled(c)}
-            self.known |= settled
-            return len(settled) < len(new)
-        return False
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return not (pretokens.is_latin(text) or all(map(_settled, set(text))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
-        alone = [self._whole(t) for t in texts]
-        words = [[] if whole else self.find(t) for t, whole in zip(texts, alone, strict=True)]
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        new = list(set().union(*words).difference(self.pieces))
-        made = dict(zip(new, self._ids(new), strict=True))
-        long = [w for w in new if len(w) > CACHED_CHARS]
-        self.pieces.update(made)
-        piece = self.pieces.__getitem__
-        found = [b"".join(map(piece, w)) for w in words]
-        for w in long:
-            del self.pieces[w]
-        for i, ids in zip([i for i, whole in enumerate(alone) if whole], self._ids([t for t, whole in zip(texts, alone, strict=True) if whole]), strict=True):
-            found[i] = ids
-        return found
+        piece, find = self.pieces.__getitem__, self.find
+        return [array(self.code, self.library.encode(t, add_special_tokens=False).ids).tobytes() if self._whole(t) else b"".join(map(piece, find(t))) for t in texts]
 
 
 _OPEN: dict[int, LibraryEncoder] = {}
