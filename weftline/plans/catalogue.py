@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from ..operators import analytics
+from .registry import Query
 
-def queries() -> dict:
-    return {}
+_MODULES = [analytics]
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for m in _MODULES for k, f in m.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.registry.sql.items()}
