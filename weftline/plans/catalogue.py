@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import analytics
+from ..operators import analytics, structure
 from .registry import Query
 
-_MODULES = [analytics]
+_MODULES = [analytics, structure]
 
 
 def queries() -> dict[str, Query]:
