@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import analytics, structure
+from ..operators import analytics, graph, semantic, structure
 from .registry import Query
 
-_MODULES = [analytics, structure]
+_MODULES = [analytics, graph, structure, semantic]
 
 
 def queries() -> dict[str, Query]:
