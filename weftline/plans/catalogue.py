@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import analytics, graph, semantic, structure
+from ..operators import analytics, graph, retrieval, semantic, structure
 from .registry import Query
 
-_MODULES = [analytics, graph, structure, semantic]
+_MODULES = [analytics, graph, structure, semantic, retrieval]
 
 
 def queries() -> dict[str, Query]:
