@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import analytics, graph, retrieval, semantic, structure
+from ..operators import access, analytics, feedback, graph, retrieval, semantic, structure, versions
+from ..streaming import windows
 from .registry import Query
 
-_MODULES = [analytics, graph, structure, semantic, retrieval]
+_MODULES = [analytics, graph, structure, semantic, retrieval, versions, access, feedback, windows]
 
 
 def queries() -> dict[str, Query]:
