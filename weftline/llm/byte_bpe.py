@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import pretokens
+
 #: The largest vocabulary that is broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Entries of a worker's cache; longer pre-tokens than CACHED_CHARS aren't kept.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 400_000
 CACHED_CHARS = 48
 #: Rows of a result batch.
 CHUNK = 200
@@ -103,12 +106,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     entry is stale once one of its pair has been merged.
     """
     n, rank_of = len(piece), ranks.get
-    end, before = list(range(1, n + 2)), list(range(-1, n))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
+    bits = n.bit_length() + 1
+    mask, both = (1 << bits) - 1, 2 * bits
+    end, before = [*range(1, n + 2)], [*range(-1, n)]
+    # An entry is one number: rank, then left byte, then end, so the lowest rank and then the leftmost pair comes first.
+    heap = [r << both | i << bits | i + 2 for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, stop = pop(heap)
+        entry = pop(heap)
+        i, stop = entry >> bits & mask, entry & mask
         j = end[i]
         if not j or j >= n or end[j] != stop:
             continue
@@ -117,11 +124,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             before[stop] = i
             last = end[stop]
             if (r := rank_of(piece[i:last])) is not None:
-                push(heap, (r, i, last))
+                push(heap, r << both | i << bits | last)
         if i:
             first = before[i]
             if (r := rank_of(piece[first:stop])) is not None:
-                push(heap, (r, first, stop))
+                push(heap, r << both | first << bits | stop)
     found, i = [], 0
     while i < n:
         if (token := rank_of(piece[i : end[i]])) is None:
@@ -139,7 +146,7 @@ class Pieces(dict):
         self.ids_of = ids_of
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.ids_of(word), "<i4").tobytes()
+        found = array("i", self.ids_of(word)).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -151,9 +158,7 @@ class Encoder:
     """One worker's state: the shared table, the pattern and the cache."""
 
     def __init__(self, table: PerfectHash, pattern: str):
-        import regex
-
-        self.table, self.find = table.opened(), regex.compile(pattern).findall
+        self.table, self.find = table.opened(), pretokens.finder(pattern)
         self.ranks = table.items()
         self.pieces = Pieces(self._piece)
 
@@ -238,7 +243,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
         token = _once("decoder", shared, dict).__getitem__
 
         def make(rows: pa.Array) -> pa.Array:
-            return pa.array([b"".join(map(token, r.values.to_pylist())) if r.is_valid else b"" for r in rows], pa.binary())
+            return pa.array([b"".join(map(token, r.values.to_numpy().tolist())) if r.is_valid else b"" for r in rows], pa.binary())
 
         return make
 

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """node and root from node and parent (never larger than the node): parents' parents until none changes."""
+    while True:
+        ahead = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        jumped = common.written(parents.join(ahead, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+        parents = jumped.select("node", "parent")
+        if not jumped.where("moved").limit(1).count():
+            return parents.withColumnRenamed("parent", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for every node of ``edges`` (u, v).
 
-    Each round takes the smallest label among the neighbours and then the label's own label,
-    so paths shorten by half; labels are written each round. Loops and repeated edges are
-    allowed; rows with a null are dropped; no edges give no rows.
+    Each round points every node at its smallest neighbour, follows the pointers to their
+    roots and contracts the edges to roots; edges inside a root go, so rounds shrink fast.
+    Loops and repeated edges are allowed; rows with a null are dropped; no edges give no rows.
     """
     some = edges.where("u IS NOT NULL AND v IS NOT NULL")
-    both = common.written(some.select("u", "v").union(some.select("v", "u")).distinct())
-    labels = common.written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("low"))
-        lower = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        lower = common.written(lower)
-        ahead = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = common.written(lower.join(ahead, "label", "left").select("node", "was", F.least("label", "next").alias("label")))
-        labels = jumped.select("node", "label")
-        if not jumped.where("label <> was").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+    left = common.written(some.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    labels = None
+    while labels is None or left.limit(1).count():
+        low = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        ends = left.select(F.col("u").alias("node"), F.col("u").alias("parent")).union(low)
+        roots = _roots(common.written(ends.groupBy("node").agg(F.min("parent").alias("parent"))))
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "component")
+        else:
+            moved = labels.join(roots.select(F.col("node").alias("component"), "root"), "component", "left")
+            labels = common.written(moved.select("node", F.coalesce("root", "component").alias("component")))
+        a = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        b = roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        joined = left.join(a, "u").join(b, "v").where("a <> b")
+        left = common.written(joined.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    return labels

@@ -127,7 +127,7 @@ def _runs(keys: np.ndarray, lo: int, hi: int, depth: int, most: int) -> Iterator
 
 
 def _candidate_edges(forest: DataFrame, most: int) -> DataFrame:
-    """u, v: each document of a region with the region's first one. ``forest`` has tree, label and doc_id."""
+    """u, v: each document of a region with the region's smallest one. ``forest`` has tree, label and doc_id."""
     dealt = forest.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     id_type = forest.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
@@ -135,12 +135,12 @@ def _candidate_edges(forest: DataFrame, most: int) -> DataFrame:
     def edges(trees: np.ndarray, keys: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
         same = (trees[1:] == trees[:-1]) & (keys[1:, :LEAST_DEPTH] == keys[:-1, :LEAST_DEPTH]).all(axis=1)
         cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(keys)]
-        us, vs = [], []
+        order, us, vs = ids.to_numpy(zero_copy_only=False), [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
                 for lo, hi in _runs(keys, a, b, LEAST_DEPTH, most):
-                    us.append(np.arange(lo + 1, hi))
-                    vs.append(np.full(hi - lo - 1, lo))
+                    us.append(np.arange(lo, hi))
+                    vs.append(np.full(hi - lo, lo + int(order[lo:hi].argmin())))  # the smallest, so that trees agree on it
         if us:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(us))), ids.take(pa.array(np.concatenate(vs)))], names=["u", "v"])
 
