@@ -14,6 +14,8 @@ from ..sources.tables import table
 registry = Registry()
 #: How late an event may come.
 LATE = "2 hours"
+#: Milliseconds of event time for which a user's last value is held.
+STATE_MS = 7 * 24 * 3600 * 1000
 
 
 def events_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,7 +46,11 @@ def running_counters(events: DataFrame) -> DataFrame:
 
 
 def last_values(events: DataFrame) -> DataFrame:
-    """The newest event of each user, with state that a timeout of seven days drops."""
+    """The newest event of each user; a user's state goes seven days of event time after it.
+
+    The timeout follows the watermark: one by processing time would keep a stream that ends
+    with its input (``availableNow``) planning batches for ever.
+    """
 
     def newest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,12 +61,12 @@ def last_values(events: DataFrame) -> DataFrame:
             for micros, kind in zip((pdf["ts"].astype("int64") // 1000).tolist(), pdf["event_type"].tolist(), strict=True):
                 best = max(best, (micros, kind))
         state.update(best)
-        state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + STATE_MS)
         yield pd.DataFrame({"user_id": [key[0]], "last_ts": pd.to_datetime([best[0]], unit="us"), "event_type": [best[1]]})
 
     typed = events.select("user_id", "ts", "event_type")
     return typed.groupBy("user_id").applyInPandasWithState(
-        newest, "user_id long, last_ts timestamp, event_type string", "micros long, event_type string", "update", "ProcessingTimeTimeout"
+        newest, "user_id long, last_ts timestamp, event_type string", "micros long, event_type string", "update", "EventTimeTimeout"
     )
 
 
