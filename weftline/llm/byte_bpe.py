@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import pretokens
@@ -199,26 +199,29 @@ def _named(ranks_path: str, pattern: str = "") -> str:
         return xxhash.xxh3_128_hexdigest(f.read() + pattern.encode())
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, worker: Callable[[], Callable]) -> DataFrame:
-    """``df`` with column ``name`` made of ``source`` in Arrow batches of CHUNK rows, so that a task holds few results at a time."""
-    keep = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind)])
-    place = [df.columns.index(c) for c in keep]
-    at = df.columns.index(source)
+def _with_columns(df: DataFrame, steps: list[tuple[str, str, T.DataType, Callable[[], Callable]]]) -> DataFrame:
+    """``df`` with a column for each step (source, name, type, maker), one after the other in one pass.
+
+    Arrow batches of CHUNK rows, so that a task holds few results at a time; one pass for all
+    steps, so that it takes one worker.
+    """
+    keep = [c for c in df.columns if c not in [name for _, name, _, _ in steps]]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for _, name, kind, _ in steps])
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = worker()
+        makers = [(source, name, worker()) for source, name, _, worker in steps]
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in place), make(part.column(at))], names=schema.names)
+                have = dict(zip(columns, batch.slice(start, CHUNK).columns, strict=True))
+                for source, name, make in makers:
+                    have[name] = make(have[source])
+                yield pa.RecordBatch.from_arrays([have[c] for c in schema.names], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of each whole text, array<int>."""
-    spark = df.sparkSession
+def _encoding(spark: SparkSession, ranks_path: str, pattern: str, text: str, ids: str) -> tuple:
     shared = spark.sparkContext.broadcast((_named(ranks_path, pattern), PerfectHash(read_ranks(ranks_path)), pattern))
 
     def worker() -> Callable:
@@ -231,12 +234,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
         return make
 
-    return _with_column(df, text, ids, T.ArrayType(T.IntegerType()), worker)
+    return text, ids, T.ArrayType(T.IntegerType()), worker
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that the ids stand for."""
-    spark = df.sparkSession
+def _decoding(spark: SparkSession, ranks_path: str, ids: str, decoded: str) -> tuple:
     shared = spark.sparkContext.broadcast((_named(ranks_path), {i: b for b, i in read_ranks(ranks_path).items()}))
 
     def worker() -> Callable:
@@ -247,4 +248,20 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
         return make
 
-    return _with_column(df, ids, decoded, T.BinaryType(), worker)
+    return ids, decoded, T.BinaryType(), worker
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the ids of each whole text, array<int>."""
+    return _with_columns(df, [_encoding(df.sparkSession, ranks_path, pattern, text, ids)])
+
+
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the bytes that the ids stand for."""
+    return _with_columns(df, [_decoding(df.sparkSession, ranks_path, ids, decoded)])
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of each whole text and the bytes that these stand for, in one pass."""
+    spark = df.sparkSession
+    return _with_columns(df, [_encoding(spark, ranks_path, pattern, text, ids), _decoding(spark, ranks_path, ids, decoded)])
