@@ -140,6 +140,17 @@ def test_token_counts_equal_the_library(spark, sf, rows, odd, empty):
     assert token_counts.count_tokens(empty, MODEL).count() == 0
 
 
+def test_token_counts_of_spaces_at_the_end(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["a ", "a  ", "a   ", "hello world. ", " ", "  ", "\u2581", "a\u2581", "a\u2581 ", "a \n", "\n ", " a ", "x " * 2048, "x " * 2049]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.count_tokens(df, MODEL).collect()}
+    expected = [len(sp.encode(t, num_threads=1)) for t in texts]
+    assert found == {i: (n, n > 4096) for i, n in enumerate(expected)}
+
+
 def expected_targets(sizes):
     """Water filling, plainly: cap what is above, share the rest again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -7,8 +7,8 @@ cache in each worker.
 
 A pre-token is a run of spaces with what follows up to the next space. No piece of such a
 vocabulary holds a space after another character, so no merge crosses that border and the
-counts of a text's pre-tokens add up to the library's count of the whole text. Where a model
-breaks one of these conditions, each whole text goes to the library.
+counts of a text's pre-tokens add up to the library's count of the whole text; one space at a
+text's end is a pre-token too. Where a model breaks one of these conditions, each whole text goes to the library.
 
 Defined cases: null and empty texts count 0; every other text counts as the library counts
 it, of any length; rows repeat as they come; other columns pass unchanged, and those named as
@@ -88,7 +88,7 @@ def frequent_lengths(model: bytes) -> dict[str, int]:
     """Token counts of the vocabulary's word-initial pieces; keys start with a space."""
     sp = _library(model)
     pieces = (sp.id_to_piece(i) for i in range(sp.vocab_size()))
-    words = [p[1:] for p in pieces if p.startswith(SPACE) and SPACE not in p[1:]]
+    words = [p[1:] for p in pieces if p.startswith(SPACE) and p != SPACE and SPACE not in p[1:]]
     return {" " + w: len(ids) for w, ids in zip(words, sp.encode(words, num_threads=1), strict=True)}
 
 
@@ -98,8 +98,12 @@ class Counter:
     def __init__(self, model: bytes, table: LengthTable | None):
         self.sp, self.table = _library(model), table
         self.cache: dict[str, int] = {}
+        # What one space at the end of a text adds; encoded alone, the library gives it a dummy prefix.
+        self.last_space = len(self.sp.encode("a ", num_threads=1)) - len(self.sp.encode("a", num_threads=1))
 
     def _missing(self, word: str) -> int:
+        if word == " ":  # only a text's last pre-token is a space alone
+            return self.last_space
         n = self.table.get(word)
         return len(self.sp.encode(word[1:], num_threads=1)) if n is None else n
 
