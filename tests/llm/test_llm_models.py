@@ -62,6 +62,36 @@ def test_near_duplicates_in_small_regions_and_blocks(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 4)
 
 
+def test_near_duplicate_candidates_are_whole_runs(spark):
+    """Rows alone beyond their third value, in runs longer than a region, and a run that borders of partitions cut."""
+    rows, runs = [], {}
+    for tree in range(2):
+        for run in range(3):
+            for k in range(40):
+                label = np.array([run, 7, 7, k, k, k, k, k] if run else [0, 7, 7, k % 2, 0, 0, 0, k // 20], ">u4")
+                rows.append((tree * 1000 + run * 100 + k, tree, label.tobytes()))
+                runs[rows[-1][0]] = tree * 1000 + run * 100
+    forest = spark.createDataFrame(rows, "doc_id long, tree int, label binary")
+    for most in (4, 10_000):
+        found = graph.components(near_dedup._candidate_edges(forest, most)).collect()
+        assert {r.node: r.component for r in found} == runs
+
+
+def test_near_duplicates_outside_a_dense_family(spark):
+    """Documents at 0.80 to 0.85 to a family of more than region_rows near copies."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = {n: " ".join([*base, f"own{n}"]) for n in range(40)}
+    for n in range(40, 60):  # 9 to 10 words changed far apart: 36 to 40 of 397 shingles
+        words, at = [*base], rng.sample(range(4, 396, 8), 9 + n % 2)
+        for i in at:
+            words[i] = f"x{n}_{i}"
+        texts[n] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = near_dedup.near_duplicates(df, 4, 80, region_rows=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 4)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     found = near_dedup.near_duplicates(odd, 4).collect()
     assert len(found) == odd.count()

@@ -3,9 +3,11 @@
 A document's set holds its distinct word shingles. Its MinHash values fill TREES labels of
 DEPTH values each. All labels of a tree are sorted; documents that share a prefix stand side by
 side, and those with the longest common prefix are nearest. A run that shares LEAST_DEPTH values
-is a region of candidates; a region of more than REGION_ROWS documents takes one value more,
-again and again, so depth adapts to the density of each part of each order. Documents of
-touching regions, over all trees, form a clump. Full sets of the documents in clumps, and of
+is a region of candidates, of any size. A region of more than REGION_ROWS documents is linked in
+pieces that take one value more, again and again, so depth adapts to the density of each part of
+each order; every piece, of one document too, is then linked to the others of its run, and so
+are the parts of a run that a border of partitions cuts. Documents of touching regions, over all
+trees, form a clump. Full sets of the documents in clumps, and of
 no others, then meet by clump, and links are confirmed exactly with an index of shingles: a
 search from a document covers only those not reached before, so a group of copies costs little
 more than one pass. A clump too large for a task is cut in blocks, and every two blocks meet.
@@ -25,14 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, graph
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
-#: Documents in a region before it takes one more value; shingles in a block of a clump.
+#: Documents linked at once before a region takes one more value; shingles in a block of a clump.
 REGION_ROWS, BLOCK_SHINGLES = 4096, 1_500_000
 #: Documents turned into sets at a time, and entries of a worker's cache of word hashes.
 CHUNK, CACHE_ENTRIES = 500, 100_000
@@ -114,9 +116,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _runs(keys: np.ndarray, lo: int, hi: int, depth: int, most: int) -> Iterator[tuple[int, int]]:
-    """Regions of rows lo to hi, which share ``depth`` values: deeper where they are many."""
-    if hi - lo < 2:
-        return
+    """Pieces that cover rows lo to hi, which share ``depth`` values: deeper where they are many."""
     if hi - lo <= most or depth == DEPTH:
         yield lo, hi
         return
@@ -127,42 +127,59 @@ def _runs(keys: np.ndarray, lo: int, hi: int, depth: int, most: int) -> Iterator
 
 
 def _candidate_edges(forest: DataFrame, most: int) -> DataFrame:
-    """u, v: each document of a region with the region's smallest one. ``forest`` has tree, label and doc_id."""
+    """u, v: edges that connect all documents of one tree that share LEAST_DEPTH values. ``forest`` has tree, label and doc_id."""
     dealt = forest.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     id_type = forest.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
+    schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type), T.StructField("run", T.BinaryType())])
 
-    def edges(trees: np.ndarray, keys: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    def edges(trees: np.ndarray, keys: np.ndarray, ids: pa.Array, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """Each piece's documents with its smallest one, and those with the run's; the partition's first and last run also by name."""
         same = (trees[1:] == trees[:-1]) & (keys[1:, :LEAST_DEPTH] == keys[:-1, :LEAST_DEPTH]).all(axis=1)
         cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(keys)]
         order, us, vs = ids.to_numpy(zero_copy_only=False), [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
+                middles = []
                 for lo, hi in _runs(keys, a, b, LEAST_DEPTH, most):
+                    middles.append(lo + int(order[lo:hi].argmin()))  # the smallest, so that trees agree on it
                     us.append(np.arange(lo, hi))
-                    vs.append(np.full(hi - lo, lo + int(order[lo:hi].argmin())))  # the smallest, so that trees agree on it
+                    vs.append(np.full(hi - lo, middles[-1]))
+                if len(middles) > 1:
+                    us.append(np.array(middles))
+                    vs.append(np.full(len(middles), min(middles, key=order.__getitem__)))
         if us:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(us))), ids.take(pa.array(np.concatenate(vs)))], names=["u", "v"])
+            u, v = ids.take(pa.array(np.concatenate(us))), ids.take(pa.array(np.concatenate(vs)))
+            yield pa.RecordBatch.from_arrays([u, v, pa.nulls(len(u), pa.binary())], names=schema.names)
+        ends = {*([(cuts[0], cuts[1])] if first else []), *([(cuts[-2], cuts[-1])] if last else [])}
+        for a, b in ends:  # a border may cut these runs
+            u = ids.slice(a + int(order[a:b].argmin()), 1)
+            name = b"%d:" % trees[a] + keys[a, :LEAST_DEPTH].tobytes()
+            yield pa.RecordBatch.from_arrays([u, pa.nulls(1, u.type), pa.array([name], pa.binary())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        first = True
         for batch in batches:
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
             trees, keys = _columns(table)
             changed = (trees[1:] != trees[:-1]) | (keys[1:, :LEAST_DEPTH] != keys[:-1, :LEAST_DEPTH]).any(axis=1)
             last = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0  # the last run may go on in the next batch
             if last:
-                yield from edges(trees[:last], keys[:last], table.column("doc_id").combine_chunks().slice(0, last))
+                yield from edges(trees[:last], keys[:last], table.column("doc_id").combine_chunks().slice(0, last), first, False)
+                first = False
             held = table.slice(last).to_batches()
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from edges(*_columns(table), table.column("doc_id").combine_chunks())
+            yield from edges(*_columns(table), table.column("doc_id").combine_chunks(), first, True)
 
     def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
         return table.column("tree").to_numpy(), keys
 
-    return dealt.mapInArrow(run, schema)
+    found = common.written(dealt.mapInArrow(run, schema))
+    # At most two rows a partition.
+    borders = found.where("run IS NOT NULL").select("u", F.min("u").over(Window.partitionBy("run")).alias("v")).where("u <> v")
+    return found.where("run IS NULL").select("u", "v").union(borders)
 
 
 def linked(ids: list, sets: list[np.ndarray], percent: int) -> Iterator[tuple]:
