@@ -2,7 +2,8 @@
 
 Every stage reads all that its predecessor kept and returns the columns of documents; the last
 one returns token ids. Defined cases: a null or blank text goes in the first stage; a document
-whose language can't be told goes in the second; rows of one doc_id stay or go together in the
+whose language can't be told (no letter, or a score nearer to a tie than to the lowest of its
+language's labelled rows) goes in the second; rows of one doc_id stay or go together in the
 third; an empty table passes every stage.
 """
 
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe, common, language_id, mixing, near_dedup, quality_model
 
-#: Below this score the language isn't told apart.
-LEAST_LANGUAGE_SCORE = 0.1
 #: Words of a shingle and the similarity in percent from which documents are copies.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -26,9 +25,13 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.select("doc_id", "text", "lang").where(~language_id.held_out(F.col("doc_id")))
-    told = language_id.identify(docs, language_id.fit(known), lang="_lang", score="_score")
-    kept = (F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
-    return told.where(kept).select(*docs.columns)
+    model = language_id.fit(known)
+    told = common.written(language_id.identify(docs, model, lang="_lang", score="_score"))
+    least = language_id.least_scores(told, model, lang="_lang", score="_score")
+    if not least:
+        return told.where(F.lit(False)).select(*docs.columns)
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("_lang"))
+    return told.where(F.col("_score") >= bound).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,19 @@ def test_language_odd_rows(odd, empty, docs):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_pipeline_drops_texts_in_no_learned_language(spark, docs, sf):
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心",
+        "xqzv wkjpt zzrq bvnm qqq xkcd plmkj wqx zxcvb njkl " * 5,
+        "1234 5678",
+    ]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    extra = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(strange)], own.schema)
+    found = Counter(r.doc_id for r in corpus_pipeline.identify_language(spark, own.union(extra), sf).collect())
+    assert found == Counter(r.doc_id for r in own.where(F.col("text").rlike(language_id.LETTER)).collect())
+
+
 def brute_statistics(text):
     text = text or ""
     words = WORD.findall(text)

@@ -33,6 +33,8 @@ BUCKETS, SIZES, FIT_DOCUMENTS = 1 << 13, (1, 2, 3), 600
 PASSES, LAMBDA = 12, 1e-4
 #: Languages that a model holds at most: weights grow with the pairs within families.
 MOST_LANGUAGES = 200
+#: The share of a language's labelled rows that ``least_scores`` leaves aside as odd.
+LEAST_SHARE = 0.001
 CHUNK = 64
 UNKNOWN = "und"
 # ISO 639-1 codes of well-known languages by family.
@@ -136,6 +138,10 @@ class Model:
         top = max(names, key=lambda n: (wins[n], sums[n]))
         return top, 1 / (1 + float(np.exp(-4 * least[top])))
 
+    def tie(self, lang: str) -> float:
+        """The score of ``lang`` where each of its levels is an even tie."""
+        return 0.5 ** sum(len(self.groups[level]) > 1 for level in ("", family(lang) + ":"))
+
     def predict(self, text: str) -> tuple[str, float]:
         margins = self.weights @ features(text) + self.offsets if len(self.rows) else self.offsets
         group, sure = self._best("", margins)
@@ -207,6 +213,20 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
     return docs.mapInArrow(run, schema)
 
 
+def least_scores(told: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> dict[str, float]:
+    """For each learned language the score below which a text isn't taken for it.
+
+    It lies midway between an even tie and the LEAST_SHARE quantile of the language's labelled
+    rows of ``told`` (doc_id, lang and the prediction) that are told right and aren't held out.
+    """
+    if model is None:
+        return {}
+    right = told.where((F.col("lang") == F.col(lang)) & ~held_out(F.col("doc_id")))
+    found = right.groupBy(F.col(lang).alias("name")).agg(F.percentile_approx(score, LEAST_SHARE, 100_000).alias("low")).collect()
+    low = {r["name"]: r["low"] for r in found}
+    return {x: (model.tie(x) + low.get(x, model.tie(x))) / 2 for x in model.langs}
+
+
 def held_out(doc_id) -> object:
     """True for the fifth of the documents that nothing is learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
