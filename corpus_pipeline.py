@@ -3,8 +3,8 @@
 Every stage reads all that its predecessor kept and returns the columns of documents; the last
 one returns token ids. Defined cases: a null or blank text goes in the first stage; a document
 whose language can't be told (no letter, or a score nearer to a tie than to the lowest of its
-language's labelled rows) goes in the second; rows of one doc_id stay or go together in the
-third; an empty table passes every stage.
+language's labelled rows) goes in the second; in the third, one row of each group stays,
+the one of the smallest doc_id (null last), whether rows share a doc_id or not; an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # Rows are the nodes, as a doc_id can be null, repeated or have several texts.
+    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = groups.groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

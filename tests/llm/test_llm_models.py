@@ -183,6 +183,14 @@ def test_pipeline_drops_texts_in_no_learned_language(spark, docs, sf):
     assert found == Counter(r.doc_id for r in own.where(F.col("text").rlike(language_id.LETTER)).collect())
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(5, a), (5, a), (3, a + " end"), (7, b), (7, c), (8, c), (None, b), (None, "one two three"), (None, "one two three"), (9, "...")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert Counter(map(tuple, found)) == Counter([(3, a + " end"), (7, b), (7, c), (None, "one two three"), (9, "...")])
+
+
 def brute_statistics(text):
     text = text or ""
     words = WORD.findall(text)
