@@ -52,6 +52,18 @@ def test_references_and_numbers(spark):
     assert sorted(tuple(r) for r in structure.number_hierarchy(s).collect()) == [(1, 2), (1, 3)]
 
 
+def test_references_of_whole_documents(spark):
+    far = "x " * 5000 + "see Section 2.1 and, in Appendix A. described in Section 1"
+    one = f"a preface\n1 Methods\nnothing\n2 Results\n{far}\nmore\n2.1 Table A6 and Figure 2\nrows\nAPPENDIX A\nend"
+    docs = spark.createDataFrame([(1, one), (2, "1 Other\nsee Section 2.1"), (3, None)], "doc_id long, text string")
+    s = structure.document_sections(docs)
+    assert sorted((r.doc_id, r.id, r.title) for r in s.collect()) == [(1, 1, "1 Methods"), (1, 3, "2 Results"), (1, 6, "2.1 Table A6 and Figure 2"), (1, 8, "APPENDIX A"), (2, 0, "1 Other")]
+    edges = sorted(tuple(r) for r in structure.reference_edges(s, ("doc_id",)).collect())
+    assert edges == [(1, 3, 1, "Section 1"), (1, 3, 6, "Section 2.1"), (1, 3, 8, "Appendix A.")]
+    assert [tuple(r) for r in structure.number_hierarchy(s, ("doc_id",)).collect()] == [(1, 3, 6)]
+    assert [tuple(r) for r in structure.heading_tags(s).collect()] == [(1, 6, "table,pdf:1,region,table:a6,figure:2")]
+
+
 def test_section_tree(spark):
     rows = [(1, 0, "1 Introduction"), (1, 1, "1.1 Scope"), (1, 2, "body text here"), (1, 3, "1.2 Aims"), (1, 4, "2 Methods")]
     got = structure.section_tree(spark.createDataFrame(rows, "doc long, pos long, text string")).orderBy("pos").collect()

@@ -51,8 +51,8 @@ def is_standalone_number(x: Column) -> Column:
 
 
 def references(x: Column) -> Column:
-    """What the first 8,000 characters refer to, such as ``Section 2.1``."""
-    return F.regexp_extract_all(F.substring(x, 1, 8000), F.lit(REFERENCE), F.lit(1))
+    """What the whole text refers to, such as ``Section 2.1``."""
+    return F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(1))
 
 
 def normalized(x: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -84,20 +84,65 @@ _TITLES = "(VALUES (1, '2 Methods', 'intro'), (2, '2.1 Data', 'as shown in Secti
 _NUMBER = r"nullif(rtrim(regexp_extract(title, '^(\d+(?:\.\d+)*\.?)\s+(.+)$', 1), '.'), '')"
 
 
-def reference_edges(sections: DataFrame) -> DataFrame:
-    """source, target and mention: each reference in ``body`` joined to the section of that printed number."""
+def document_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, id, title and body of the headings of each document: id is the heading's line, the body all lines up to the next.
+
+    Lines before a document's first heading belong to no section.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\f\v"))).withColumn("heading", X.is_heading(F.col("line")))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    placed = lines.withColumn("id", F.last(F.when(F.col("heading"), F.col("pos")), ignorenulls=True).over(order)).where("id IS NOT NULL")
+    body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line"))))
+    found = placed.groupBy("doc_id", "id").agg(F.max(F.when(F.col("heading"), F.col("line"))).alias("title"), body.alias("body"))
+    return found.withColumn("body", F.array_join(F.transform("body", lambda s: s["line"]), "\n"))
+
+
+def reference_edges(sections: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """source, target and mention: each reference in ``body`` joined to the section of that printed number or whole title.
+
+    Only sections that agree on the columns ``within`` meet; these come first in the result.
+    """
     numbered = sections.withColumn("number", X.title_number(F.col("title")))
-    mentions = numbered.select(F.col("id").alias("source"), F.explode(X.references(F.col("body"))).alias("mention"))
-    mentions = mentions.withColumn("number", F.regexp_extract("mention", r"(\d+(?:\.\d+)*)", 1))
-    targets = numbered.where("number IS NOT NULL").select(F.col("id").alias("target"), "number")
-    return mentions.join(targets, "number").where("source <> target").select("source", "target", "mention")
+    mentions = numbered.select(*within, F.col("id").alias("source"), F.explode(X.references(F.col("body"))).alias("mention"))
+    # A numbered title starts with a digit and a mention with a word, so the two kinds of key don't meet.
+    keys = F.array(F.nullif(F.regexp_extract("mention", r"(\d+(?:\.\d+)*)", 1), F.lit("")), _key(F.rtrim("mention", F.lit(".-"))))
+    mentions = mentions.withColumn("key", F.explode(keys))
+    targets = numbered.select(*within, F.col("id").alias("target"), F.coalesce("number", _key(F.col("title"))).alias("key"))
+    return mentions.join(targets, [*within, "key"]).where("source <> target").select(*within, "source", "target", "mention")
+
+
+def _key(title: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(title), r"\s+", " "))
 
 
-def number_hierarchy(sections: DataFrame) -> DataFrame:
+def number_hierarchy(sections: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """parent and child of sections whose numbers differ by the last part; a missing parent makes no edge."""
-    numbered = sections.select("id", X.title_number(F.col("title")).alias("number")).where("number IS NOT NULL")
-    children = numbered.where(F.col("number").contains(".")).select(F.col("id").alias("child"), F.regexp_replace("number", r"\.[^.]+$", "").alias("number"))
-    return children.join(numbered.withColumnRenamed("id", "parent"), "number").select("parent", "child")
+    numbered = sections.select(*within, "id", X.title_number(F.col("title")).alias("number")).where("number IS NOT NULL")
+    children = numbered.where(F.col("number").contains(".")).select(*within, F.col("id").alias("child"), F.regexp_replace("number", r"\.[^.]+$", "").alias("number"))
+    return children.join(numbered.withColumnRenamed("id", "parent"), [*within, "number"]).select(*within, "parent", "child")
+
+
+@registry.add()
+def document_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_edges(document_sections(table(spark, sf_dir, "documents")), ("doc_id",))
+
+
+@registry.add()
+def document_number_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_hierarchy(document_sections(table(spark, sf_dir, "documents")), ("doc_id",))
+
+
+def heading_tags(sections: DataFrame) -> DataFrame:
+    """doc_id, id and tags of the headings that name a table or figure; the first one named is the kind, the document the page."""
+    kind = F.regexp_extract(F.lower("title"), r"(table|figure)\s+[a-z]?\d", 1)
+    named = sections.withColumn("kind", kind).where("kind <> ''")
+    return named.select("doc_id", "id", F.array_join(X.region_tags(F.col("kind"), F.col("doc_id"), F.col("title")), ",").alias("tags"))
+
+
+@registry.add()
+def document_region_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heading_tags(document_sections(table(spark, sf_dir, "documents")))
 
 
 @registry.add(rf"""WITH s AS (SELECT *, {_NUMBER} AS number FROM {_TITLES}),
