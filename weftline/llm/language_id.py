@@ -10,7 +10,8 @@ their number depends on the languages alone.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts of any
 length are read whole; equal texts get equal predictions; a language without a family in the
 table is a family of its own; with one language learned, every text with a letter gets it;
-with none, every text is ``und``. Other columns don't matter.
+with none, every text is ``und``; beyond MOST_LANGUAGES, the rarer languages aren't learned and
+their texts get another label. Other columns don't matter.
 """
 
 from __future__ import annotations
