@@ -151,6 +151,25 @@ def test_neighbours_odd_vectors(spark):
     assert ann.nearest(df.where(F.lit(False))).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_large_vectors(spark):
+    rng = np.random.default_rng(5)
+    for size in (1.0, 2.0**100, 2.0**-100, 1e300):
+        data = [(i, (rng.normal(size=8) * size).tolist()) for i in range(300)]
+        extra = [data[0]] * 3 + [data[7]] * 40 + [(9, (np.array(data[0][1]) * (1 + j / 1000)).tolist()) for j in range(1, 60)]
+        found = ann.nearest(spark.createDataFrame(data + extra, "vec_id long, embedding array<double>")).collect()
+        vectors = [(i, np.array(v) / size) for i, v in data + extra]
+        for q in (0, 100, 200):
+            best = {}
+            for i, v in vectors:
+                if i != q:
+                    d = min(float(np.sqrt(((v - w) ** 2).sum())) for j, w in vectors if j == q)
+                    best[i] = min(d, best.get(i, math.inf))
+            exact = [i for i in sorted(best, key=best.get)[:10]]
+            mine = sorted((r["rank"], r.vec_id, r.score / size) for r in found if r.query_id == q)
+            assert [m[0] for m in mine] == list(range(1, 11)) and len(set(exact) & {m[1] for m in mine}) >= 9
+            assert all(m[2] == pytest.approx(best[m[1]]) for m in mine)
+
+
 def test_language_of_held_out_documents(spark, docs, sf):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     found = queries.op6_language_id(spark, sf).collect()

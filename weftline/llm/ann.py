@@ -11,13 +11,16 @@ vectors.
 
 Defined cases: a vector that is null, zero, of another dimension than the table's most frequent
 one, or that holds null or non-finite components takes no part, nor does a null id; equal
-vectors of a shard are one node that lists all their ids; rows of a query's own id aren't its
+vectors of a shard are one node that lists all their ids; rows of one id are one query and one
+candidate, at the least distance of any of their vectors; vectors of any finite size are scaled
+by a power of two before they are searched in single precision; rows of a query's own id aren't its
 candidates; ties go to the smaller id; with fewer candidates than k all are returned; an empty
 table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,25 +93,29 @@ def _neighbours(x: np.ndarray, nodes: np.ndarray, links: int) -> np.ndarray:
 class Graph:
     """Flat arrays: distinct vectors, their ids, and for each level its nodes and their neighbours."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, ends: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.x, self.ids, self.ends, self.levels = x, ids, ends, levels
-        self.fast = x.astype(np.float32)
+    def __init__(self, x: np.ndarray, ids: np.ndarray, ends: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], scale: float = 1.0):
+        self.x, self.ids, self.ends, self.levels, self.scale = x, ids, ends, levels, scale
+        self.fast = (x * scale).astype(np.float32)
 
     @classmethod
-    def build(cls, ids: np.ndarray, x: np.ndarray) -> Graph:
+    def build(cls, ids: np.ndarray, x: np.ndarray, scale: float = 1.0) -> Graph:
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         distinct, which = np.unique(x, axis=0, return_inverse=True)
-        members = np.argsort(which, kind="stable")
+        which = which.ravel()
+        members = np.lexsort((ids, which))
+        again = (np.diff(which[members]) == 0) & (np.diff(ids[members]) == 0)
+        members = members[np.concatenate([[True], ~again])]  # an id once a node
+        which = which[members]
         ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(distinct)))])
         rng = np.random.default_rng(11)
         shuffled = rng.permutation(len(distinct)).astype(np.int32)
-        fast, levels, n = distinct.astype(np.float32), [], len(distinct)
+        fast, levels, n = (distinct * scale).astype(np.float32), [], len(distinct)
         while n:
             nodes = np.sort(shuffled[:n])  # each level's nodes are all on the levels below
             levels.append((nodes, _neighbours(fast, nodes, UPPER_LINKS if levels else LINKS)))
             n = n // UPPER_LINKS
-        return cls(distinct, ids[members], ends.astype(np.int64), levels)
+        return cls(distinct, ids[members], ends.astype(np.int64), levels, scale)
 
     def _entry(self, q: np.ndarray) -> np.ndarray:
         """The node of level 0 where each query starts: on each higher level, the one that no neighbour betters."""
@@ -162,18 +169,36 @@ class Graph:
         nodes[~np.isfinite(dist)] = -1
         return nodes
 
+    def _ids(self, qid: int, q: np.ndarray, row: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """Distance and id of the ``k`` nearest ids but ``qid`` among the nodes ``row``, each id once."""
+        apart = self.x[row] - q
+        # A power of two for each row keeps squares in range and changes no digit.
+        power = np.frexp(np.abs(apart).max(axis=1, initial=0.0))[1]
+        exact = np.ldexp(np.sqrt((np.ldexp(apart, -power[:, None]) ** 2).sum(1)), power)
+        best: dict[int, float] = {}
+        for d, node in zip(exact.tolist(), row.tolist(), strict=True):
+            # k + 1 ids of a node are enough: its smallest ones, the query's own perhaps among them.
+            for i in self.ids[self.ends[node] : self.ends[node + 1]][: k + 1].tolist():
+                if i != qid and d < best.get(i, np.inf):
+                    best[i] = d
+        return sorted((d, i) for i, d in best.items())[:k]
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parallel arrays: query id, id and distance of up to ``k`` results of each query."""
         found: list[tuple[int, int, float]] = []
         for lo in range(0, len(queries), AT_ONCE):
             part = queries[lo : lo + AT_ONCE]
-            nodes = self._nearest(part.astype(np.float32), max(ef, 2 * k))
+            nodes = self._nearest((part * self.scale).astype(np.float32), max(ef, 2 * k))
             for qid, q, row in zip(query_ids[lo : lo + AT_ONCE].tolist(), part, nodes, strict=True):
-                row = row[row >= 0][: 2 * k + 2]
-                exact = np.sqrt(((self.x[row] - q) ** 2).sum(1))
-                # k + 1 ids of a node are enough: its smallest ones, the query's own perhaps among them.
-                rows = [(d, i) for d, node in zip(exact.tolist(), row.tolist(), strict=True) for i in self.ids[self.ends[node] : self.ends[node + 1]][: k + 1].tolist()]
-                found += [(qid, i, d) for d, i in sorted(r for r in rows if r[1] != qid)[:k]]
+                near = self._ids(qid, q, row[row >= 0][: 2 * k + 2], k)
+                wider = max(ef, 2 * k)
+                while len(near) < k and len(row := row[row >= 0]) > 2 * k + 2:  # ids of many vectors fill the places
+                    near = self._ids(qid, q, row, k)
+                    if len(near) >= k or len(row) < wider or wider >= len(self.x):
+                        break
+                    wider *= 4
+                    row = self._nearest((q[None] * self.scale).astype(np.float32), wider)[0]
+                found += [(qid, i, d) for d, i in near]
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
         return np.array(a, np.int64), np.array(b, np.int64), np.array(c, np.float64)
 
@@ -181,7 +206,7 @@ class Graph:
 _INDEX = "shard int, dim int, ids binary, ends binary, vectors binary, nodes array<binary>, neighbours array<binary>"
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, scale: float = 1.0) -> DataFrame:
     """One row of flat arrays a shard, written to the shared folder. ``vectors`` has vec_id and vector (array<double>), all valid."""
     shards = max(1, -(-vectors.count() // shard_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -189,7 +214,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy().astype(np.int64)
         flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        g = Graph.build(ids, flat.reshape(len(ids), -1))
+        g = Graph.build(ids, flat.reshape(len(ids), -1), scale)
         row = [table.column("shard")[0].as_py(), g.x.shape[1], g.ids.tobytes(), g.ends.tobytes(), g.x.tobytes(), [n.tobytes() for n, _ in g.levels], [t.tobytes() for _, t in g.levels]]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
         names = ["shard", "dim", "ids", "ends", "vectors", "nodes", "neighbours"]
@@ -198,19 +223,20 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return common.written(dealt.groupBy("shard").applyInArrow(build, _INDEX))
 
 
-def _opened(batch: pa.RecordBatch, i: int) -> Graph:
+def _opened(batch: pa.RecordBatch, i: int, scale: float) -> Graph:
     row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
     levels = []
     for k, (nodes, table) in enumerate(zip(row["nodes"], row["neighbours"], strict=True)):
         width = (UPPER_LINKS if k else LINKS) + 1
         levels.append((np.frombuffer(nodes, np.int32), np.frombuffer(table, np.int32).reshape(-1, width)))
     x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-    return Graph(x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64), levels)
+    return Graph(x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64), levels, scale)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest found for each row of ``queries`` (vec_id, vector)."""
+def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF, query_block: int = QUERY_BLOCK, scale: float = 1.0) -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` nearest found for each vec_id of ``queries`` (vec_id, vector)."""
     spark = index.sparkSession
+    queries = queries.dropDuplicates(["vec_id", "vector"])
     blocks = max(1, -(-queries.count() // query_block))
     numbered = common.written(queries.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")))
     found = None
@@ -225,12 +251,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF, que
             ids, q = shared.value
             for batch in batches:
                 for i in range(batch.num_rows if len(ids) else 0):
-                    a, b, c = _opened(batch, i).search(ids, q, k, ef)
+                    a, b, c = _opened(batch, i, scale).search(ids, q, k, ef)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
         # One row a partition, so that shards are searched apart.
         part = index.repartition(F.col("shard")).mapInArrow(search, "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -239,8 +266,10 @@ def nearest(table: DataFrame, vector: str = "embedding", every: int = 100, k: in
     """The ``k`` nearest of each row whose vec_id is divisible by ``every``, by Euclidean distance, against all rows."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    dims = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dims = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("largest")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not dims:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == dims[0]["dim"])
-    return search_index(build_index(rows, shard_rows), rows.where(F.col("vec_id") % every == 0), k)
+    power = math.frexp(dims[0]["largest"])[1]
+    scale = 1.0 if abs(power) <= 30 else math.ldexp(1.0, min(1000, -power))
+    return search_index(build_index(rows, shard_rows, scale), rows.where(F.col("vec_id") % every == 0), k, scale=scale)
