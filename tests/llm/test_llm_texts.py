@@ -112,6 +112,16 @@ def test_token_store_odd_rows_and_small_shards(odd, empty):
     assert token_store.stored(empty, JSON, 2).count() == 0
 
 
+def test_store_encoder_equals_the_library_on_odd_spaces(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_ENTRIES", 40)  # generations change many times
+    encoder = token_store.LibraryEncoder(open(JSON, encoding="utf-8").read())
+    rng = np.random.default_rng(5)
+    bits = [" ", " ", "  ", "\n", "\t", "\xa0", "\r\n", "a", "B", "é", "ª", "1", "²", ".", ",", "'s", "'", "-", "word", "don't", "!?", "…", "日本", "\u0308", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(5000)]
+    expected = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == expected
+
+
 def test_wavelet_access_count_and_locate():
     rng = np.random.default_rng(1)
     for n, top in ((1, 2), (511, 3), (2000, 50_000)):
