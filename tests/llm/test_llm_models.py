@@ -92,6 +92,30 @@ def test_near_duplicates_outside_a_dense_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 4)
 
 
+def test_near_duplicates_in_a_clump_of_many_blocks(spark):
+    """A large family, a smaller one beside it, and documents alone, all of one run of candidates cut in blocks."""
+    rng = random.Random(3)
+    common_words = [f"c{i}" for i in range(60)]
+    texts, n = {}, 0
+    for family, size in ((0, 60), (1, 12), (2, 1), (3, 1), (4, 1)):
+        words = [*common_words, *[f"f{family}_{i}" for i in range(60)]]
+        for _ in range(size):
+            own = [*words]
+            own[rng.randrange(120)] = f"x{n}"
+            texts[n], n = " ".join(own), n + 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (400, 2500):
+        found = near_dedup.near_duplicates(df, 4, 80, block_shingles=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 4)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, c), (7, b), (8, None), (8, c), (20, "else")]
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert found == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 3, False), (8, 3, False), (20, 20, True)}
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     found = near_dedup.near_duplicates(odd, 4).collect()
     assert len(found) == odd.count()

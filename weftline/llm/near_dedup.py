@@ -10,14 +10,18 @@ are the parts of a run that a border of partitions cuts. Documents of touching r
 trees, form a clump. Full sets of the documents in clumps, and of
 no others, then meet by clump, and links are confirmed exactly with an index of shingles: a
 search from a document covers only those not reached before, so a group of copies costs little
-more than one pass. A clump too large for a task is cut in blocks, and every two blocks meet.
+more than one pass. A clump too large for a task is cut in blocks, and confirmed in rounds:
+inside each block; then one document of each part linked so far; then only documents
+outside the clump's largest part meet the rest, block by block. So a group of copies, however
+large, takes part in each round once; only documents that aren't linked to it meet all blocks.
 
 Documents of the same set are one node from the start. At a similarity of 0.8 a pair
-misses every tree with probability (1 - 0.8**3)**16, about 1 in 100,000.
+misses every tree with probability (1 - 0.8**3)**16, about 1 in 100,000, in regions of any size.
 
 Defined cases: without words or text, or with a null doc_id, a document is linked with nothing;
 fewer words than a shingle make one shingle of the whole sequence; rows of one doc_id are one
-node; an empty table gives an empty result; other columns don't matter.
+node, which links all its texts' groups; an empty table gives an empty result; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from . import common, graph
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 #: Documents linked at once before a region takes one more value; shingles in a block of a clump.
-REGION_ROWS, BLOCK_SHINGLES = 4096, 1_500_000
+REGION_ROWS, BLOCK_SHINGLES = 4096, 300_000
 #: Documents turned into sets at a time, and entries of a worker's cache of word hashes.
 CHUNK, CACHE_ENTRIES = 500, 100_000
 
@@ -224,14 +228,10 @@ def linked(ids: list, sets: list[np.ndarray], percent: int) -> Iterator[tuple]:
 
 
 def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v of confirmed links that connect what all links connect. ``members`` has doc_id, clump and blocks."""
+    """u, v of confirmed links that connect what all links connect. ``members`` has doc_id, clump, and a and b, the two blocks that meet."""
     id_type = docs.schema["doc_id"].dataType
-    # Block numbers come from the id, so both parts of a pair of blocks agree on them.
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    own = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    own = own.where((F.col("blocks") == 1) | (F.col("mine") != F.col("other")))
-    own = own.select("doc_id", "clump", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    texts = docs.select("doc_id", "text").join(members.select("doc_id"), "doc_id", "left_semi")
+    own = members.select("doc_id", "clump", "a", "b")
+    texts = docs.select("doc_id", "text").join(own.select("doc_id"), "doc_id", "left_semi")
     set_schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("shingles", T.BinaryType())])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +275,50 @@ def _pairs(found: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([x for _, x in found], kind)], names=["u", "v"])
 
 
+def _confirmed(docs: DataFrame, sized: DataFrame, width: int, percent: int, block_shingles: int) -> DataFrame:
+    """node and component of every document that a confirmed link joins. ``sized`` has doc_id, n and clump."""
+    cut = lambda total: F.greatest(F.lit(1), F.ceil(total / block_shingles)).cast("int")
+    block = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    totals = sized.groupBy("clump").agg(cut(F.sum("n")).alias("blocks"))
+    members = common.written(sized.join(totals, "clump").withColumn("a", block("blocks")).withColumn("b", F.col("a")))
+    links = common.written(_links(docs, members, width, percent))
+    cut_up = members.where("blocks > 1").select("doc_id", "n", "clump")
+    if not cut_up.limit(1).count():
+        return graph.components(links)
+    # One document of each part of two or more in a cut clump meets the other parts'.
+    parts = _parts(cut_up, links)
+    many = parts.groupBy("clump", "part").agg(F.count("*").alias("docs")).where("docs > 1")
+    first = common.written(parts.where("doc_id = part").join(many, ["clump", "part"], "left_semi"))
+    links = common.written(links.union(_links(docs, _paired(first, first, cut, block), width, percent)))
+    parts = _parts(cut_up, links)
+    largest = parts.groupBy("clump", "part").agg(F.sum("n").alias("n")).groupBy("clump").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
+    apart = common.written(parts.join(largest.where("parts > 1"), "clump"))
+    others = apart.where("part <> most")
+    return graph.components(links.union(_links(docs, _paired(others, apart, cut, block), width, percent)))
+
+
+def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with part, the smallest document that links join each to."""
+    joined = graph.components(links).select(F.col("node").alias("doc_id"), "component")
+    return common.written(members.join(joined, "doc_id", "left").select("doc_id", "n", "clump", F.coalesce("component", "doc_id").alias("part")))
+
+
+def _paired(some: DataFrame, every: DataFrame, cut, block) -> DataFrame:
+    """doc_id, clump, a and b so that each document of ``some`` meets each of ``every`` (which holds them) in its clump.
+
+    Blocks of ``some`` are numbered from 0, those of the others from -1 down; a pair of blocks has one from ``some``.
+    """
+    mine = some.groupBy("clump").agg(cut(2 * F.sum("n")).alias("blocks"))
+    rest = every.join(some.select("doc_id", "clump"), ["doc_id", "clump"], "left_anti").join(mine.withColumnRenamed("blocks", "some_blocks"), "clump")
+    sizes = rest.groupBy("clump").agg(cut(2 * F.sum("n")).alias("rest_blocks"))
+    first = some.join(mine, "clump").join(sizes, "clump", "left").withColumn("own", block("blocks"))
+    other = F.explode(F.sequence(-F.coalesce("rest_blocks", F.lit(0)), F.col("blocks") - 1))
+    first = first.withColumn("other", other).where((F.col("other") != F.col("own")) | (F.col("blocks") - 1 + F.coalesce("rest_blocks", F.lit(0)) == 0))
+    second = rest.join(sizes, "clump").withColumn("own", -1 - block("rest_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("some_blocks") - 1)))
+    both = first.select("doc_id", "clump", "own", "other").union(second.select("doc_id", "clump", "own", "other"))
+    return common.written(both.select("doc_id", "clump", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, region_rows: int = REGION_ROWS, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
@@ -293,16 +337,20 @@ def near_duplicates(
     forest = nodes.select(F.col("node").alias("doc_id"), "labels", trees.alias("tree"))
     forest = forest.select("doc_id", "tree", F.substring("labels", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"))
     clumps = graph.components(_candidate_edges(forest, region_rows))
-    sized = nodes.select("node", "n").join(clumps, "node")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
-    # Two blocks meet in a task, so a cut clump has blocks of half the size.
-    blocks = F.when(F.col("total") <= block_shingles, F.lit(1)).otherwise(F.ceil(F.col("total") * 2 / block_shingles)).cast("long")
-    members = common.written(
-        sized.select("node", "component").distinct().join(totals.select("component", blocks.alias("blocks")), "component")
-        .select(F.col("node").alias("doc_id"), F.col("component").alias("clump"), "blocks")
-    )
-    linked_to = graph.components(_links(docs, members, width, percent))
-    firsts = nodes.select("set_hash", "node").join(linked_to, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(firsts, "set_hash", "left")
+    sized = nodes.groupBy("node").agg(F.sum("n").alias("n")).join(clumps, "node")
+    linked_to = _confirmed(docs, sized.select(F.col("node").alias("doc_id"), "n", F.col("component").alias("clump")), width, percent, block_shingles)
+    # A doc_id of several sets, an empty one too, is one node: it joins the nodes of them all.
+    empty_set = F.concat(F.lit("no words: "), F.col("doc_id").cast("string")).cast("binary")
+    key = F.coalesce("set_hash", empty_set)
+    named = signed.where("doc_id IS NOT NULL").select("doc_id", "set_hash", key.alias("key"))
+    several = named.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    several = common.written(named.join(several, "doc_id").distinct())
+    if several.limit(1).count():
+        own = several.join(nodes, "set_hash").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+        linked_to = graph.components(linked_to.select(F.col("node").alias("u"), F.col("component").alias("v")).union(own))
+    firsts = nodes.select(F.col("set_hash").alias("key"), "node")
+    firsts = firsts.union(several.where("set_hash IS NULL").select("key", F.col("doc_id").alias("node")))
+    firsts = firsts.join(linked_to, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    out = signed.select("doc_id", "n_shingles", key.alias("key")).join(firsts, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
