@@ -203,6 +203,16 @@ def test_language_of_held_out_documents(spark, docs, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in apart) >= 0.9 * len(apart)
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    rows = [(i, f"some words {chr(97 + i)}", f"x{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.langs == sorted(f"x{i}" for i in range(12))
+    monkeypatch.setattr(language_id, "MOST_MACHINES", 20)
+    with pytest.raises(ValueError, match="machines"):
+        language_id.fit(df)
+
+
 def test_language_odd_rows(odd, empty, docs):
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(odd, model).collect()
@@ -226,6 +236,19 @@ def test_pipeline_drops_texts_in_no_learned_language(spark, docs, sf):
     assert found == Counter(r.doc_id for r in own.where(F.col("text").rlike(language_id.LETTER)).collect())
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, sf):
+    """Columns with the names that the stages use inside come back with their own values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = "score _score kept told row _row plan copies copy hash size node component_id".split()
+    odd = docs.withColumns({c: F.concat(F.lit(c + " "), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, odd, sf)
+        assert found.columns == odd.columns, name
+        rows = found.collect()
+        assert rows, name
+        assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in names), name
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     data = [(5, a), (5, a), (3, a + " end"), (7, b), (7, c), (8, c), (None, b), (None, "one two three"), (None, "one two three"), (9, "...")]

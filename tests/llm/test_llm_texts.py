@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe, mixing, queries, sharding, token_counts, token_store
 
@@ -33,6 +34,30 @@ def test_shards_are_gapless_and_grow_only_into_the_new_one(spark, sf, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
 
 
+def test_jump_hash_equals_the_plain_loop(spark):
+    def plain(key, n):
+        at, shard, k = 0, 0, 0
+        while at < n:
+            shard = at
+            draw = (int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+            at, k = int((at + 1) / draw), k + 1
+        return shard
+
+    for n in (1, 2, 8, 9, 1000):
+        found = spark.range(300).select("id", sharding.jump_hash(F.col("id"), n).alias("s")).collect()
+        assert all(r.s == plain(r.id, n) for r in found)
+
+
+def test_repeated_rows_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATED_ROWS", 7)
+    monkeypatch.setattr(sharding, "SLOT_GROUP_ROWS", 2)
+    df = spark.createDataFrame([(5, "same")] * 40 + [(i, "x") for i in range(60)], "doc_id long, text string")
+    rows = sharding.shard_documents(df, 3).collect()
+    assert len(rows) == 100
+    for s in range(3):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_sharding_odd_rows(odd, empty):
     found = dicts(sharding.shard_documents(odd, 8))
     assert len(found) == odd.count() and all(r["size"] >= 1 for r in found)
@@ -40,8 +65,6 @@ def test_sharding_odd_rows(odd, empty):
 
 
 def test_jump_hash_spreads_evenly_and_moves_little(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(20_000).select(sharding.jump_hash(F.col("id"), 10).alias("a"), sharding.jump_hash(F.col("id"), 11).alias("b"))
     found = df.collect()
     assert all(r.b in (r.a, 10) for r in found)

@@ -17,11 +17,16 @@ BROADCAST_ROWS = 100_000
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a local temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``, or a program has set it with
+    ``setCheckpointDir``. Only a local master, as in tests, may do without: there a temporary
+    folder takes its place. Elsewhere its absence is an error, as executors wouldn't see each
+    other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark, "_weftline_scratch", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -29,14 +34,47 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch_dir`` and all in it; a missing one is no error."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None, options: dict | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: later jobs start from the files."""
+    """``df`` written to the shared folder and read again: later jobs start from the files.
+
+    The folder stays while the table is needed; ``drop`` deletes it sooner than the end of the session.
+    """
     path = scratch_dir(df.sparkSession)
     writer = df.write.options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._weftline_path = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``written`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._weftline_path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """For each name the same one with underscores before it, so that no column of ``df`` has it, case aside."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def md5_draw(*keys: Column) -> Column:
+    """32 bits of the MD5 sum of ``keys`` joined by ``:``, as a long: a draw that SQL engines can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *keys).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def small_or_not(df: DataFrame, rows: int) -> DataFrame:

@@ -10,10 +10,12 @@ from . import common
 
 def _roots(parents: DataFrame) -> DataFrame:
     """node and root from node and parent (never larger than the node): parents' parents until none changes."""
+    held = parents
     while True:
         ahead = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         jumped = common.written(parents.join(ahead, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
-        parents = jumped.select("node", "parent")
+        common.drop(held)
+        held, parents = jumped, jumped.select("node", "parent")
         if not jumped.where("moved").limit(1).count():
             return parents.withColumnRenamed("parent", "root")
 

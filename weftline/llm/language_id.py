@@ -5,13 +5,14 @@ between the languages of one family, there is one machine for each pair; a text'
 the one that wins most pairs (ties: larger margins), and so is its language. Each machine is
 trained in a Spark task of its own, on a bounded number of documents of each side, with the
 averaged Pegasos method (Shalev-Shwartz et al. 2011). The machines' weights are broadcast:
-their number depends on the languages alone.
+their number depends on the languages alone, and a model beyond MOST_MACHINES machines is
+an error, never a model of fewer languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts of any
 length are read whole; equal texts get equal predictions; a language without a family in the
-table is a family of its own; with one language learned, every text with a letter gets it;
-with none, every text is ``und``; beyond MOST_LANGUAGES, the rarer languages aren't learned and
-their texts get another label. Other columns don't matter.
+table belongs to the family of its first letter (``other:a`` and so on); with one language learned,
+every text with a letter gets it; with none, or an empty table, every text is ``und``. Other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from .text_features import gram_buckets
 BUCKETS, SIZES, FIT_DOCUMENTS = 1 << 13, (1, 2, 3), 600
 #: Training passes and regularisation.
 PASSES, LAMBDA = 12, 1e-4
-#: Languages that a model holds at most: weights grow with the pairs within families.
-MOST_LANGUAGES = 200
+#: Machines that a model holds at most (each BUCKETS numbers of 4 bytes): about 128 MB.
+MOST_MACHINES = 4000
+#: Languages of one side that a family machine draws all its rows from; beyond, each gives an even share.
+SIDE_DOCUMENTS = 4 * FIT_DOCUMENTS
 #: The share of a language's labelled rows that ``least_scores`` leaves aside as odd.
 LEAST_SHARE = 0.001
 CHUNK = 64
@@ -56,7 +59,7 @@ LETTER = r"\p{L}"
 
 
 def family(lang: str) -> str:
-    return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], lang)
+    return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], f"other:{lang[:1].lower()}")
 
 
 def features(text: str) -> np.ndarray:
@@ -150,31 +153,45 @@ class Model:
         return lang, sure * surer
 
 
+def _languages(vectors: DataFrame) -> list[str]:
+    """The languages of ``vectors``, sorted; an error if they need more than MOST_MACHINES machines."""
+    # More languages than this need more machines, whatever their families.
+    found = sorted(r["lang"] for r in vectors.select("lang").distinct().limit(MOST_MACHINES + 2).collect())
+    own: dict[str, int] = {}
+    for x in found:
+        own[family(x)] = own.get(family(x), 0) + 1
+    machines = sum(n * (n - 1) // 2 for n in (len(own), *own.values()))
+    if machines > MOST_MACHINES:
+        raise ValueError(f"{len(found)} languages need {machines} machines; a model holds {MOST_MACHINES}: merge labels, or raise MOST_MACHINES")
+    return found
+
+
 def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None:
     """A model from ``docs`` (doc_id, text, lang): about ``fit_documents`` of each language, chosen by a hash of doc_id."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return None
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & common.hash_below(F.col("doc_id"), common.bounded_share(n, fit_documents), "fit"))
-    vectors = common.written(_vectors(known.where(chosen)))
-    langs = sorted(r["lang"] for r in vectors.select("lang").distinct().collect())
+    counts = common.written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # Rows are drawn by a hash of doc_id and text, so a doc_id that repeats isn't drawn or left as a whole.
+    share = F.least(F.lit(1.0), fit_documents / F.col("n"))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("fit")), 11) < share * F.lit(float(1 << 53))
+    drawn = known.select("doc_id", "text", "lang").join(common.small_or_not(counts, counts.count()), "lang").where(draw).dropDuplicates()
+    vectors = common.written(_vectors(drawn))
+    langs = _languages(vectors)
     if not langs:
         return None
-    pairs = []  # level, one side, other side, language of a row, sign
-    groups = sorted({family(x) for x in langs})
-    for a, b in combinations(groups, 2):
-        pairs += [("", a, b, x, 1 if family(x) == a else -1) for x in langs if family(x) in (a, b)]
-    for g in groups:
-        own = [x for x in langs if family(x) == g]
+    pairs = []  # level, one side, other side, language of a row, sign, share of the language's rows
+    groups = {}
+    for x in langs:
+        groups.setdefault(family(x), []).append(x)
+    part = {g: min(1.0, SIDE_DOCUMENTS / (fit_documents * len(own))) for g, own in groups.items()}
+    for a, b in combinations(sorted(groups), 2):
+        pairs += [("", a, b, x, 1 if g == a else -1, part[g]) for g in (a, b) for x in groups[g]]
+    for g, own in groups.items():
         for a, b in combinations(own, 2):
-            pairs += [(g + ":", a, b, a, 1), (g + ":", a, b, b, -1)]
+            pairs += [(g + ":", a, b, a, 1, 1.0), (g + ":", a, b, b, -1, 1.0)]
     machines: dict[tuple[str, str, str], tuple[bytes, float]] = {}
     if pairs:
         spark = docs.sparkSession
-        sides = spark.createDataFrame(pairs, "level string, a string, b string, lang string, sign int")
+        sides = spark.createDataFrame(pairs, "level string, a string, b string, lang string, sign int, share double")
 
         def train(key: tuple, table: pa.Table) -> pa.Table:
             x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(-1, BUCKETS)
@@ -184,7 +201,8 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None:
             row = {"level": [key[0].as_py()], "a": [key[1].as_py()], "b": [key[2].as_py()], "weights": [w.tobytes()], "offset": [b]}
             return pa.table({k: pa.array(v, pa.binary() if k == "weights" else None) for k, v in row.items()})
 
-        trained = vectors.join(F.broadcast(sides), "lang").groupBy("level", "a", "b")
+        some = F.shiftrightunsigned(F.xxhash64("vector", "level"), 11) < F.col("share") * F.lit(float(1 << 53))
+        trained = vectors.join(common.small_or_not(sides, len(pairs)), "lang").where(some).groupBy("level", "a", "b")
         trained = trained.applyInArrow(train, "level string, a string, b string, weights binary, offset double")
         machines = {(r["level"], r["a"], r["b"]): (bytes(r["weights"]), r["offset"]) for r in trained.collect()}
     return Model(langs, machines)

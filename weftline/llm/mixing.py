@@ -7,9 +7,11 @@ by their next hash bits, until a bucket is as fine as the hash. Thresholds of gr
 are nested, so a larger mix holds every row of a smaller one. Nothing is sorted and no source
 is gathered in a task.
 
-Defined cases: a null source is a source of its own and comes last; a null text has size 0; a
-source of size 0 has target 0 and takes nothing; rows of one hash are taken together, and rows
-that are the same in key and text have the same hash; an empty table gives an empty mix.
+Defined cases: a null source is a source of its own and comes last; a null text has size 0;
+texts of any length are counted whole; a source of size 0 has target 0 and takes nothing; rows of
+one hash are taken together, and rows that are the same in key and text have the same hash, so a
+source comes within the size of one such group of its target; an empty table gives an empty mix;
+input columns of any name pass unchanged.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ HASH_BITS, ROUND_BITS = 60, 12
 
 
 def row_hash(*cols: Column) -> Column:
-    """A long of HASH_BITS bits that depends on these columns only."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 64 - HASH_BITS)
+    """A long of HASH_BITS bits of the MD5 sum of these columns, joined by ``:``; SQL engines can repeat it."""
+    whole = F.md5(F.concat_ws(":", *cols).cast("binary"))
+    return F.conv(F.substring(whole, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -111,31 +114,29 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def document_hash() -> Column:
-    return row_hash(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    return row_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
-def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (source and _hash) with _copies and the plan's columns under an underscore; one row of the plan meets each."""
-    plan = common.small_or_not(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]), plan.count())
-    rest = (F.col("_hash") < F.col("_threshold")) & (F.col("_target") > F.col("_whole") * F.col("_source_size"))
-    copies = F.when(F.col("_source_size") > 0, F.col("_whole") + rest.cast("long")).otherwise(F.lit(0).cast("long"))
-    return rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn("_copies", copies)
+def _taken(rows: DataFrame, hash_: Column, plan: DataFrame, copies: str) -> DataFrame:
+    """``rows`` (with a source), the row of its source's plan in a struct, and how often each row is taken in ``copies``."""
+    (name,) = common.free_names(rows, "plan")
+    plan = common.small_or_not(plan.select(F.struct(*plan.columns).alias(name)), plan.count())
+    of = lambda c: F.col(f"`{name}`.{c}")
+    rest = (hash_ < of("threshold")) & (of("target") > of("whole") * of("source_size"))
+    times = F.when(of("source_size") > 0, of("whole") + rest.cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.join(plan, rows["source"].eqNullSafe(of("source"))).withColumn(copies, times)
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies) of every document."""
     rows = sized(docs)
-    return _copies(rows.withColumnRenamed("hash", "_hash"), source_plan(rows, weights, share, most)).select(
-        "doc_id",
-        "size",
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("size")).alias("taken"),
-    )
+    taken = _taken(rows, F.col("hash"), source_plan(rows, weights, share, most), "copies")
+    return taken.select("doc_id", "size", "plan.source_size", "plan.target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mixed rows of ``docs``, each as often as the mix takes it: a filter by source, texts aren't shuffled."""
     plan = source_plan(sized(docs), weights, share, most)
-    taken = _copies(docs.withColumn("_hash", document_hash()), plan).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    copies, copy = common.free_names(docs, "copies", "copy")
+    taken = _taken(docs, document_hash(), plan, copies).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[taken[c] for c in docs.columns])

@@ -9,8 +9,8 @@ then judges every whole text; its weights are broadcast, BUCKETS numbers.
 
 Defined cases: a null or empty text, or one of blanks, has no sound content: score 0, not kept;
 a text of any length is read whole; equal texts get equal scores; if the votes name no junk, or
-nothing but junk, the score is the posterior of the votes; other columns pass unchanged, and
-those named as an output are replaced.
+nothing but junk, the score is the posterior of the votes; an empty table gives an empty
+result; other columns pass unchanged, and those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def statistics(text: str) -> dict[str, float]:
     n = len(words)
     repeated = 0.0
     if n >= 4:
-        h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         three = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
         repeated = 1 - len(np.unique(three)) / len(three)
     lines = [x for x in data.split(b"\n") if x.strip()]
@@ -156,15 +156,15 @@ def features(text: str) -> np.ndarray:
 def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights, the last one an offset, of a logistic scorer for soft labels; both sides weigh the same."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    balance = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
-    w = np.zeros(x.shape[1])
+    balance = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum())).astype(np.float32)
+    y, w = y.astype(np.float32), np.zeros(x.shape[1], np.float32)  # one precision, so that no step copies the matrix
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (balance * (p - y)) + DECAY * w
+        g = (balance * (p - y)) @ x + np.float32(DECAY) * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w.astype(np.float32)
+        w -= np.float32(0.1) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
+    return w
 
 
 def _mapped(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, make) -> DataFrame:
@@ -196,8 +196,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Scorer:
-    """Votes of all ``docs`` (doc_id, text), and a scorer trained on about ``fit_documents`` of each side chosen by a hash of doc_id."""
-    voted = common.written(_mapped(docs.where("text IS NOT NULL"), "pattern", "int", pa.int32(), vote))
+    """Votes of all ``docs`` (doc_id, text), and a scorer trained on about ``fit_documents`` of each side chosen by a hash."""
+    # A row goes by a hash of doc_id and text, so rows of one doc_id are drawn apart, and equal rows once.
+    keyed = docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    voted = common.written(_mapped(keyed, "pattern", "int", pa.int32(), vote))
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Scorer(None, None)
@@ -212,15 +214,16 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Scorer:
     for side, total in zip(sides, totals, strict=True):
         share = common.bounded_share(total, fit_documents)
         chosen = chosen | (F.col("pattern").isin(side) & common.hash_below(F.col("doc_id"), share, "fit"))
-    sample = voted.where(chosen & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("sound"))
-    texts = docs.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text")
+    sample = common.written(voted.where(chosen).groupBy("doc_id").agg(F.min(label).alias("sound")))
+    small = common.small_or_not(sample, sample.count())
+    texts = keyed.join(small, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
     vectors = _mapped(texts, "vector", "binary", pa.binary(), lambda t: features(t).astype(np.float16).tobytes())
 
     def learn(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
         return pa.table({"weights": pa.array([train(x, table.column("sound").to_numpy()).tobytes()], pa.binary())})
 
-    rows = vectors.join(F.broadcast(sample), "doc_id").groupBy(F.lit(1).alias("one")).applyInArrow(learn, "weights binary").collect()
+    rows = vectors.join(small, "doc_id").groupBy(F.lit(1).alias("one")).applyInArrow(learn, "weights binary").collect()
     return Scorer(model, np.frombuffer(rows[0]["weights"], np.float32) if rows else None)
 
 
