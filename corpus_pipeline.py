@@ -4,7 +4,10 @@ Every stage reads all that its predecessor kept and returns the columns of docum
 one returns token ids. Defined cases: a null or blank text goes in the first stage; a document
 whose language can't be told (no letter, or a score nearer to a tie than to the lowest of its
 language's labelled rows) goes in the second; in the third, one row of each group stays,
-the one of the smallest doc_id (null last), whether rows share a doc_id or not; an empty table passes every stage.
+the one of the smallest doc_id (null last), whether rows share a doc_id or not; texts of any length
+are worked on whole; repeated rows are judged alike by every stage but the third, which keeps one;
+ties go to the smaller doc_id, then to the earlier row; columns of any name pass the first four
+stages unchanged; an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -19,32 +22,39 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_model.classify(docs, quality_model.fit(docs.select("doc_id", "text")), score="_score", kept="_kept")
-    return scored.where("_kept").select(*docs.columns)
+    """The documents that the quality classifier, fitted on these, keeps."""
+    score, kept = common.free_names(docs, "score", "kept")
+    scored = quality_model.classify(docs, quality_model.fit(docs.select("doc_id", "text")), score=score, kept=kept)
+    return scored.where(F.col(kept)).select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language a model of the labelled ones tells well enough."""
+    lang, score = common.free_names(docs, "told", "score")
     known = docs.select("doc_id", "text", "lang").where(~language_id.held_out(F.col("doc_id")))
     model = language_id.fit(known)
-    told = common.written(language_id.identify(docs, model, lang="_lang", score="_score"))
-    least = language_id.least_scores(told, model, lang="_lang", score="_score")
+    told = common.written(language_id.identify(docs, model, lang=lang, score=score))
+    least = language_id.least_scores(told, model, lang=lang, score=score)
     if not least:
         return told.where(F.lit(False)).select(*docs.columns)
-    bound = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("_lang"))
-    return told.where(F.col("_score") >= bound).select(*docs.columns)
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col(lang))
+    return told.where(F.col(score) >= bound).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity SIMILAR_PERCENT or more connect."""
     # Rows are the nodes, as a doc_id can be null, repeated or have several texts.
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_dedup.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
-    kept = groups.groupBy("component_id").agg(first.alias("_row")).select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    (row,) = common.free_names(docs, "row")
+    numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = found.select(F.col("doc_id").alias("node"), "component_id").join(numbered.select(F.col(row).alias("node"), "doc_id"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
+    kept = groups.groupBy("component_id").agg(first.alias(row)).select(row)
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, each as often as the mix to target weights takes it."""
     return mixing.mix(docs)
 
 

@@ -23,7 +23,7 @@ def test_imports_without_the_subpackage(tmp_path):
         "import sys, importlib.abc\n"
         "class Block(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name == 'corpus_pipeline' or name.startswith('weftline.llm'): raise ImportError(name)\n"
+        "        if name == 'corpus_pipeline' or name.startswith('weftline.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Block())\n"
         "import __spark_entry__ as e\n"
         "assert 'pipeline' not in e.queries() and 'supplier_top5_1997' in e.queries()\n"
