@@ -11,7 +11,21 @@ from pyspark.sql import functions as F
 # Patterns and bounds of the document model.
 NUMBERED_TITLE = r"^(\d+(?:\.\d+)*\.?)\s+(.+)$"
 STANDALONE_NUMBER = r"^\d+(\.\d+)*\.?\s*$"
-REFERENCE = r"(?i)\b(?:see|refers? to|as shown in|described in|mentioned in|in)\s+((?:chapter|section|appendix|figure|table|part)\s+[A-Za-z0-9][A-Za-z0-9.\-]*)"
+REFERENCE = r"(?:see|refer(?:s)? to|as (?:discussed|described|shown) in|described in|mentioned in|in)\s+(?:Chapter|Section|Appendix|Figure|Table|Part)\s+[\w\d\.]+"
+COMMON_HEADING = r"(?i)^(?:chapter|section|part|appendix|annex|box|table|figure)\b"
+TABLE_OR_FIGURE = r"(?i)\b(?:table|figure|fig\.|box)\s+[a-z]?\d+(?:\.\d+)?\b|\[(?:table|figure)\]"
+TABLE_WORD = r"(?i)\btable\b|\[table\]"
+TABLE_REF, FIGURE_REF = r"\btable\s+([a-z]?\d+(?:\.\d+)?)\b", r"\bfigure\s+(\d+(?:\.\d+)?)\b"
+BOX_LABEL = r"(?i)^\s*Box\s+\d+(?:\.\d+)?(?:\s+\(continued\))?\s*$"
+BOX_START, BOX_LONGEST = r"(?i)^\s*Box\s+\d+", 40
+FIGURE_CAPTION = r"(?i)(?:Fig\.?|Figure)\s*(\d+(?:\.\d+)?)\s*[:.]\s*([^\n]+)"
+BROKEN_URL = r"(?i)https?://[^\s\)\]>\"']+(?:\s+[^\s\)\]>\"']+)+"
+REPAIRED_URL = r"https?://[^\s\)\]>\"']+"
+TOC_TITLE = r"(?i)^table\s+of\s+contents?\.?$|^contents$"
+OUTLINE_SKIP, OUTLINE_NUMBERED = r"(?i)^(?:box\s+\d|figure\s*\d|table\s*\d|page\s+\d+)\b", r"^\d+(?:\.\d+)*\.?\s+\S"
+THREAD_SUFFIX, USER_ID, THREAD_ID = "^[a-zA-Z0-9_-]{1,64}$", 64, 128
+SPARSE_PAGE, SECTION_SNIPPET = 40, 2000
+SPARSE_NOTE = "[Note: This PDF page had little extractable text; use visual_content if present or ask about the printed page number shown in the page title.]"
 TOC_HEADING = r"(?im)(?:^|\n)\s*(?:table\s+of\s+contents?|contents)\s*(?:\n|$)"
 TOC_LINE = r"(?:\.{2,}|…+|\s\.\s)\s*\d{1,4}\s*$|\s+\d{1,4}\s*$"
 PAGE_NUMBER_LINE = r"(?i)^(?:\d{1,4}|[ivxlcdm]{1,6})$"
@@ -51,8 +65,8 @@ def is_standalone_number(x: Column) -> Column:
 
 
 def references(x: Column) -> Column:
-    """What the whole text refers to, such as ``Section 2.1``."""
-    return F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(1))
+    """Where the whole text refers to another part, with the words before it, such as ``see Section 2.1``."""
+    return F.regexp_extract_all(x, F.lit("(?iU)" + REFERENCE), F.lit(0))
 
 
 def normalized(x: Column) -> Column:
@@ -82,11 +96,23 @@ def is_low_confidence(x: Column, confidence: Column) -> Column:
     return (confidence < 0.35) | (F.length(x) < LONG_TEXT)
 
 
-def is_heading(x: Column) -> Column:
-    """A short line that is numbered or mostly capitals."""
-    words = F.size(F.split(x, r"\s+"))
+def is_heading(x: Column, font: Column | None = None, bold: Column | None = None, threshold: Column | None = None) -> Column:
+    """A short line that is numbered, begins as headings do, is mostly capitals, or is set larger than ``threshold``.
+
+    A long caption of a table or figure isn't one. Without fonts, only the words decide.
+    """
+    words = F.size(F.split(F.btrim(x, F.lit(" \t\n\r\f\u000b")), r"\s+"))
     capitals = (uppercase_ratio(x) > 0.72) & words.between(2, 10)
-    return F.length(x).between(3, 160) & (words <= 18) & (x.rlike(NUMBERED_TITLE) | capitals)
+    found = (x.rlike(NUMBERED_TITLE) & (F.length(F.trim(title_words(x))) >= 2)) | (x.rlike(COMMON_HEADING) & (words <= 12)) | capitals
+    if font is not None:
+        large = F.coalesce(font >= threshold, F.lit(False))
+        larger = F.coalesce(font >= threshold + 1, F.lit(False))
+        found = found | (bold & large & (F.length(x) <= 120)) | (larger & (words <= 12))
+    return F.coalesce(F.length(x).between(3, 160) & (words <= 18) & ~(x.rlike(TABLE_OR_FIGURE) & (F.length(x) > 80)) & found, F.lit(False))
+
+
+def is_box_label(x: Column) -> Column:
+    return x.rlike(BOX_LABEL) | (x.rlike(BOX_START) & (F.length(x) <= BOX_LONGEST))
 
 
 def toc_score(x: Column) -> Column:
@@ -133,10 +159,99 @@ def page_tags(page: Column, label: Column) -> Column:
     return F.array_distinct(F.filter(tags, lambda t: t.isNotNull()))
 
 
-def region_tags(kind: Column, page: Column, title: Column) -> Column:
-    """Tags of a table or figure on a page, with the numbers that its title names."""
-    named = F.transform(F.regexp_extract_all(F.lower(title), F.lit(r"(table|figure)\s+([a-z]?\d+(?:\.\d+)*)"), F.lit(0)), lambda s: F.regexp_replace(s, r"\s+", ":"))
-    return F.array_distinct(F.concat(F.array(kind, F.concat(F.lit("pdf:"), page.cast("string")), F.lit("region")), named))
+def region_tags(kind: Column, text: Column, page: Column, index: Column, label: Column | None = None) -> Column:
+    """Tags of a table or figure: its kind, page, place on it and printed page, then the tables and figures its text names; else itself."""
+    p, i, low = page.cast("string"), index.cast("string"), F.lower(F.coalesce(text, F.lit("")))
+    named = lambda pattern, name: F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(name + ":"), x))
+    tables = named(TABLE_REF, "table")
+    printed = F.concat(F.lit("doc:"), F.trim(label)) if label is not None else F.lit(None).cast("string")
+    own = lambda name: F.array(F.lit(name), F.concat(F.lit(name + ":"), i))
+    none = F.array().cast("array<string>")
+    tags = F.concat(
+        F.array(F.concat(F.lit("kind:"), kind), F.concat(F.lit("pdf:"), p), F.concat(F.lit("region:"), p, F.lit(":"), i), printed),
+        tables,
+        named(FIGURE_REF, "figure"),
+        F.when((kind == "table") & (F.size(tables) == 0), own("table")).otherwise(none),
+        F.when(kind == "figure", own("figure")).otherwise(none),
+    )
+    return F.array_distinct(F.filter(tags, lambda t: t.isNotNull()))
+
+
+def region_kind(text: Column) -> Column:
+    """table or figure for a text that names one, else null."""
+    return F.when(text.rlike(TABLE_OR_FIGURE), F.when(text.rlike(TABLE_WORD), "table").otherwise("figure"))
+
+
+def region_title(kind: Column, text: Column, page: Column, index: Column) -> Column:
+    """The first line, 120 characters of it, or what and where it is."""
+    first = F.substring(F.substring_index(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n")), "\n", 1), 1, 120)
+    what = F.when(kind == "table", "Table").otherwise("Figure")
+    return F.coalesce(F.nullif(first, F.lit("")), F.concat(what, F.lit(" "), index.cast("string"), F.lit(" (PDF page "), page.cast("string"), F.lit(")")))
+
+
+def box_body(lines: Column, number: Column) -> Column:
+    """The lines after ``Box N`` and before the next box, joined; empty without that box. ``lines`` is an array."""
+    start = F.array_position(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*Box\s+(\d+)", 1)), number.cast("string")).cast("int")
+
+    def cut(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda x: x.rlike(BOX_START)), True).cast("int")
+        body = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
+        return F.btrim(F.array_join(body, "\n"), F.lit(" \t\r\n"))
+
+    after = F.slice(lines, start + 1, F.greatest(F.lit(0), F.size(lines) - start))
+    return F.when(start > 0, F.element_at(F.transform(F.array(after), cut), 1)).otherwise("")
+
+
+def figure_captions(x: Column) -> Column:
+    """Map from figure number, as printed and without leading zeros, to its caption; the last caption of a number wins."""
+    numbers, titles = (F.regexp_extract_all(x, F.lit(FIGURE_CAPTION), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(numbers, titles, lambda n, t: F.struct(n.alias("n"), F.trim(t).alias("t")))
+    plain = F.transform(pairs, lambda p: F.struct(F.coalesce(F.nullif(F.ltrim(p["n"], F.lit("0")), F.lit("")), p["n"]).alias("n"), p["t"].alias("t")))
+
+    def last(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda p: p["n"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(all_, lambda p: p["n"] == k), -1)["t"]))
+
+    return F.element_at(F.transform(F.array(F.concat(pairs, plain)), last), 1)
+
+
+def is_toc_title(x: Column) -> Column:
+    return F.coalesce(F.trim(x).rlike(TOC_TITLE), F.lit(False))
+
+
+def in_outline(title: Column, depth: Column, label: Column) -> Column:
+    """Whether a heading belongs to an outline made of headings: chapters, top levels, numbered and capital ones, no boxes or captions."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    capitals = (F.upper(t) == t) & t.rlike(r"\p{L}") & (F.length(t) < 100)
+    fits = (F.length(t) >= 2) & ~F.lower(t).isin("contents", "content") & ~t.rlike(OUTLINE_SKIP)
+    return fits & ((label == "Chapter") | (F.coalesce(depth, F.lit(0)) <= 1) | t.rlike(OUTLINE_NUMBERED) | capitals)
+
+
+def filled_page(page: Column, title: Column, body: Column) -> Column:
+    """The page's text, or for a sparse one the start of the section that spans it and what there is; ``title`` is null without a section."""
+    own = F.trim(F.coalesce(page, F.lit("")))
+    text = F.trim(F.coalesce(body, F.lit("")))
+    snippet = F.concat(F.substring(text, 1, SECTION_SNIPPET), F.when(F.length(text) > SECTION_SNIPPET, "\n…").otherwise(""))
+    parts = F.concat_ws(
+        "\n\n",
+        F.when(title.isNotNull(), F.concat(F.lit("[Section context — "), title, F.lit("]"))).otherwise("[No section mapped to this PDF page.]"),
+        F.when(title.isNotNull(), F.when(text != "", snippet).otherwise("(Section has no body text in graph.)")),
+        F.when(own != "", F.concat(F.lit("[Sparse page extract]\n"), own)),
+        F.lit(SPARSE_NOTE),
+    )
+    return F.when(F.length(own) >= SPARSE_PAGE, page).otherwise(parts)
+
+
+def table_markdown(rows: Column) -> Column:
+    """A table (array of arrays of cells) as Markdown: the first row heads it, short rows are filled, null cells are empty."""
+    width = F.array_max(F.transform(rows, F.size))
+    cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    full = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(full(r), " | "), F.lit(" |"))
+    lines = F.transform(rows, line)
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    table = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)))
+    return F.when(F.size(rows) > 0, F.concat(F.lit("[Table]\n"), F.array_join(table, "\n"))).otherwise("")
 
 
 def clean_title(x: Column) -> Column:
@@ -160,6 +275,37 @@ def percentages(x: Column) -> Column:
     return F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1)), lambda s: s.cast("double"))
 
 
+def repaired_urls(x: Column) -> Column:
+    """The text with the blanks inside addresses taken out: an address goes on as long as no bracket or quote ends it."""
+    pieces = F.regexp_extract_all(x, F.lit(BROKEN_URL), F.lit(0))
+    return F.aggregate(pieces, x, lambda text, p: F.replace(text, p, F.regexp_replace(p, r"\s+", "")))
+
+
+def text_urls(x: Column) -> Column:
+    """The addresses of a text whose broken ones are repaired, in order, once each."""
+    return F.array_distinct(F.regexp_extract_all(repaired_urls(F.coalesce(x, F.lit(""))), F.lit(REPAIRED_URL), F.lit(0)))
+
+
+def with_urls(x: Column) -> Column:
+    """The text, and below it a block of the addresses in it."""
+    found = text_urls(x)
+    return F.when(F.size(found) > 0, F.concat(x, F.lit("\n\n[Extracted URLs]\n"), F.array_join(found, "\n"))).otherwise(x)
+
+
+def user_key(x: Column) -> Column:
+    """A user's name made safe, ``anonymous`` if there is none."""
+    plain = F.regexp_replace(F.trim(F.coalesce(F.nullif(x, F.lit("")), F.lit("anonymous"))), "[^a-zA-Z0-9_@.-]", "_")
+    return F.coalesce(F.nullif(F.substring(plain, 1, USER_ID), F.lit("")), F.lit("anonymous"))
+
+
+def thread_key(user: Column, thread: Column) -> Column:
+    """The thread under its user: of what the client sends only the part after the first colon counts, and ``default`` replaces any that isn't plain."""
+    raw = F.trim(F.coalesce(F.nullif(thread, F.lit("")), F.lit("default")))
+    tail = F.when(raw.contains(":"), F.substring(raw, F.instr(raw, ":") + 1, F.length(raw))).otherwise(raw)
+    suffix = F.substring(F.trim(tail), 1, 64)
+    return F.substring(F.concat(user_key(user), F.lit(":"), F.when(suffix.rlike(THREAD_SUFFIX), suffix).otherwise("default")), 1, THREAD_ID)
+
+
 def safe_id(x: Column, most: int = 64) -> Column:
     """An identifier of letters, digits and ``_.@-`` alone, cut to ``most``; ``default`` if nothing stays."""
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(F.trim(x), r"[^A-Za-z0-9_.@-]", "_"), 1, most), F.lit("")), F.lit("default"))

@@ -72,3 +72,44 @@ def rbac_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One row an area first: users meet areas, not documents.
     by_area = table(spark, sf_dir, "documents").groupBy(area.alias("area")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("s"))
     return accessible_areas(_users(spark), grants(spark)).join(by_area, "area").groupBy("user_id").agg(F.sum("n").alias("documents"), F.sum("s").alias("id_sum"))
+
+
+def access_report(user_roles: DataFrame, granted: DataFrame, documents: DataFrame, requested: DataFrame) -> DataFrame:
+    """user_id, roles, areas, allowed and denied: what each user asked for (user_id, doc_id) by whether one of its areas opens it.
+
+    ``documents`` has doc_id and area. A document that isn't known is denied.
+    """
+    areas = accessible_areas(user_roles, granted)
+    asked = requested.distinct().join(documents, "doc_id", "left").join(areas.withColumn("open", F.lit(True)), ["user_id", "area"], "left")
+    seen = asked.groupBy("user_id", "doc_id").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open"))
+    counts = seen.groupBy("user_id").agg(F.count_if("open").alias("allowed"), F.count_if(~F.col("open")).alias("denied"))
+    listed = lambda df, c, name: df.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name))
+    out = listed(user_roles, "role", "roles").join(listed(areas, "area", "areas"), "user_id", "left").join(counts, "user_id", "left")
+    return out.fillna({"areas": "", "allowed": 0, "denied": 0})
+
+
+def denied(user_roles: DataFrame, granted: DataFrame, area: str) -> DataFrame:
+    """user_id and text for the users who may not query ``area``: what they get instead of a search."""
+    allowed = accessible_areas(user_roles, granted).where(F.col("area") == area).select("user_id")
+    text = F.concat(F.lit("Access denied: your role may not query "), F.lit(area))
+    return user_roles.select("user_id").distinct().join(allowed, "user_id", "left_anti").select("user_id", F.lit("access_denied").alias("id"), text.alias("text"))
+
+
+def may_edit(user_roles: DataFrame, owners: DataFrame, least: str = "compliance") -> DataFrame:
+    """user_id and policy that a user may edit: a policy of its own role, from ``least`` upward; ``owners`` has policy and role."""
+    return user_roles.where(has_role(F.col("role"), least)).join(owners, "role").select("user_id", "policy").distinct()
+
+
+@registry.add(f"""WITH q AS (SELECT u.user_id, u.role, doc_id, {_AREA} AS area FROM {_USERS}, documents WHERE doc_id % 4 = u.user_id),
+s AS (SELECT user_id, doc_id, EXISTS (SELECT 1 FROM {_GRANTS} WHERE g.role = q.role AND g.area = q.area) AS open FROM q)
+SELECT u.user_id, u.role AS roles, (SELECT string_agg(area, ',' ORDER BY area) FROM {_GRANTS} WHERE g.role = u.role) AS areas,
+(SELECT count(*) FROM s WHERE s.user_id = u.user_id AND open) AS allowed, (SELECT count(*) FROM s WHERE s.user_id = u.user_id AND NOT open) AS denied FROM {_USERS}""")
+def rbac_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = F.element_at(F.array(F.lit("esg"), F.lit("structured"), F.lit("policies")), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", area.alias("area"))
+    return access_report(_users(spark), grants(spark), d, d.select((F.col("doc_id") % 4).cast("int").alias("user_id"), "doc_id"))
+
+
+@registry.add(f"SELECT user_id, 'access_denied' AS id, 'Access denied: your role may not query structured' AS text FROM {_USERS} WHERE NOT EXISTS (SELECT 1 FROM {_GRANTS} WHERE g.role = u.role AND g.area = 'structured')")
+def rbac_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return denied(_users(spark), grants(spark), "structured")

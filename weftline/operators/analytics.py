@@ -250,21 +250,31 @@ def top_customers_then_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(p, ["o_custkey"], [F.desc("revenue"), F.col("l_partkey")], 2).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey"), "revenue")
 
 
-@registry.add("""SELECT coalesce(r_name, 'ALL') AS region, coalesce(n_name, 'ALL') AS nation, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def _named(column: str) -> Column:
+    """``ALL`` in the rows of a total; a null of the data stays null."""
+    return F.when(F.grouping(column) == 1, F.lit("ALL")).otherwise(F.col(column))
+
+
+def _orders_by_customer(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """o_custkey, ``keys`` and n: orders are counted before they meet their customers."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", *keys).agg(F.count("*").alias("n"))
+
+
+@registry.add("""SELECT CASE WHEN grouping(r_name) = 1 THEN 'ALL' ELSE r_name END AS region, CASE WHEN grouping(n_name) = 1 THEN 'ALL' ELSE n_name END AS nation, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    both = o.rollup("r_name", "n_name").agg(F.count("*").alias("orders"))
-    return both.select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "orders")
+    o = _orders_by_customer(spark, sf_dir).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    both = o.rollup("r_name", "n_name").agg(_named("r_name").alias("region"), _named("n_name").alias("nation"), F.sum("n").alias("orders"))
+    return both.select("region", "nation", "orders")
 
 
-@registry.add("""SELECT coalesce(c_mktsegment, 'ALL') AS segment, coalesce(o_orderpriority, 'ALL') AS priority, count(*) AS orders
+@registry.add("""SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN 'ALL' ELSE c_mktsegment END AS segment, CASE WHEN grouping(o_orderpriority) = 1 THEN 'ALL' ELSE o_orderpriority END AS priority, count(*) AS orders
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY CUBE (c_mktsegment, o_orderpriority)""")
 def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    both = o.cube("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("orders"))
-    return both.select(F.coalesce("c_mktsegment", F.lit("ALL")).alias("segment"), F.coalesce("o_orderpriority", F.lit("ALL")).alias("priority"), "orders")
+    o = _orders_by_customer(spark, sf_dir, "o_orderpriority").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    both = o.cube("c_mktsegment", "o_orderpriority").agg(_named("c_mktsegment").alias("segment"), _named("o_orderpriority").alias("priority"), F.sum("n").alias("orders"))
+    return both.select("segment", "priority", "orders")
 
 
 @registry.add("""SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS orders FROM orders

@@ -80,7 +80,7 @@ def with_inverse(edge: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, edge: DataFrame, active: DataFrame, limit: int = 24) -> DataFrame:
     """One hop from ``seeds`` (id, score) over traversed edges to ``active`` nodes; ``edge`` has edge_id, source, target, rel_type, weight."""
     both = with_inverse(edge.where(F.col("rel_type").isin(*TRAVERSED)))
-    found = both.join(seeds.select(F.col("id").alias("source")), "source").join(active.select(F.col("id").alias("target")), "target", "left_semi")
+    found = both.join(seeds.select(F.col("id").alias("source")), "source", "left_semi").join(active.select(F.col("id").alias("target")), "target", "left_semi")
     found = found.select(F.col("source").alias("seed"), F.col("target").alias("id"), "rel_type", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight")).distinct()
     return found.orderBy(F.desc("weight"), "rel_type", "id", "seed").limit(limit)
 
@@ -88,9 +88,10 @@ def expand(seeds: DataFrame, edge: DataFrame, active: DataFrame, limit: int = 24
 def expand_twice(seeds: DataFrame, edge: DataFrame, active: DataFrame, limit: int = 16) -> DataFrame:
     """Two hops over different edges, ending away from the seed; the weight is the second edge's."""
     both = with_inverse(edge.where(F.col("rel_type").isin(*TRAVERSED)))
-    one = both.join(seeds.select(F.col("id").alias("source")), "source")
+    one = both.join(seeds.select(F.col("id").alias("source")), "source", "left_semi")  # Catalyst filters below an aggregation
     one = one.select(F.col("source").alias("seed"), F.col("target").alias("middle"), F.col("edge_id").alias("first"), F.col("rel_type").alias("r1"))
-    two = one.join(both, F.col("middle") == F.col("source")).where("edge_id <> first AND target <> seed")
+    near = both.join(one.select(F.col("middle").alias("source")).distinct(), "source", "left_semi")
+    two = one.join(near, F.col("middle") == F.col("source")).where("edge_id <> first AND target <> seed")
     found = two.join(active.select(F.col("id").alias("target")), "target", "left_semi")
     weight = F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight")
     found = found.select("seed", F.col("target").alias("id"), F.concat("r1", F.lit("->"), "rel_type").alias("rel_type"), weight).distinct()
@@ -173,3 +174,26 @@ FROM b x JOIN b y ON x.target = y.source WHERE x.source IN (SELECT id FROM {_SEE
 ORDER BY weight DESC, rel_type, id, seed LIMIT 16""")
 def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_twice(_seeds(spark, sf_dir), trade(spark, sf_dir), _active(spark, sf_dir))
+
+
+def neighbourhood(edge: DataFrame, rel_types: tuple[str, ...] = TRAVERSED) -> DataFrame:
+    """id, neighbours and rel_types: how many nodes each node touches in either direction, and by what."""
+    both = edge.where(F.col("rel_type").isin(*rel_types)).select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other"), "rel_type"), F.struct(F.col("target").alias("id"), F.col("source").alias("other"), "rel_type"))).alias("e"))
+    return both.select("e.*").groupBy("id").agg(F.count_distinct("other").alias("neighbours"), F.array_join(F.array_sort(F.collect_set("rel_type")), ",").alias("rel_types"))
+
+
+@registry.add(f"""SELECT id, count(DISTINCT other) AS neighbours, string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) AS rel_types FROM (SELECT source AS id, target AS other, rel_type FROM {_EDGES} UNION ALL SELECT target, source, rel_type FROM {_EDGES}) GROUP BY 1""")
+def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbourhood(edges(spark, sf_dir))
+
+
+_CHAIN = "(SELECT * FROM (SELECT doc_id AS source, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS target FROM documents) WHERE target IS NOT NULL)"
+
+
+@registry.add(f"""WITH RECURSIVE c AS (SELECT source AS ancestor, target AS descendant, 1 AS depth, source || '>' || target AS path FROM {_CHAIN}
+UNION ALL SELECT ancestor, e.target, depth + 1, path || '>' || e.target FROM c JOIN {_CHAIN} e ON e.source = descendant WHERE depth < 5) SELECT * FROM c""")
+def graph_prerequisite_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain of up to five steps from a document to a later one of its source, with its path."""
+    following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    chain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), following.alias("target")).where("target IS NOT NULL")
+    return closure(chain, 5).withColumn("path", F.array_join("path", ">"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ registry = Registry()
 #: The usual threshold of similar nodes; the generated vectors need a lower one.
 SIMILAR, SIMILAR_HERE = 0.75, 0.30
 BLOCK_ROWS = 2048
-#: Entities of a document, their least length, and how many two documents share to be linked.
-ENTITIES, ENTITY_LENGTH, LEAST_SHARED = 10, 5, 4
+#: Entities of a document, their least length, how many two documents share to be linked, and the same for the registered query.
+ENTITIES, ENTITY_LENGTH, LEAST_SHARED, LEAST_SHARED_HERE = 10, 5, 1, 4
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -33,7 +34,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
 
     def multiply(t: pa.Table) -> pa.Table:
         ids, mine = t.column("id").to_numpy(), t.column("mine").to_numpy()
-        x = np.array(t.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+        x = np.array(pc.list_flatten(t.column("vector")).to_numpy()).reshape(len(ids), -1)  # a copy, as it is scaled in place
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -101,7 +102,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """a, b (a < b) and weight of documents that share ``least`` entities or more.
+    """a, b (a < b), weight and shared, the entities in alphabetical order, of documents that share ``least`` entities or more.
 
     Two sets of that overlap share one of their rarer entities: of a set's n, in order of
     rarity, the first n - least + 1. Only those are joined, so common words meet no one.
@@ -113,11 +114,31 @@ def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     left, right = prefix.select(F.col("doc_id").alias("a"), "entity"), prefix.select(F.col("doc_id").alias("b"), "entity")
     pairs = left.join(right, "entity").where("a < b").select("a", "b").distinct()
     pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("weight")).where(F.col("weight") >= least)
+    found = pairs.select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared")).where(F.size("shared") >= least)
+    return found.select("a", "b", F.size("shared").cast("long").alias("weight"), "shared")
+
+
+def entity_links(ents: DataFrame) -> DataFrame:
+    """entity, documents and links: how many links of one shared entity each entity alone makes, without making them."""
+    n = F.count("*")
+    return ents.groupBy("entity").agg(n.alias("documents"), (n * (n - 1) / 2).cast("long").alias("links"))
 
 
 @registry.add(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{5,}')) AS entity FROM documents), c AS (SELECT doc_id, entity, count(*) AS n FROM w GROUP BY 1, 2),
 e AS (SELECT doc_id, entity FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) <= 10)
-SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS weight FROM e x JOIN e y USING (entity) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 4""")
+SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS weight, string_agg(entity, ',' ORDER BY entity) AS shared FROM e x JOIN e y USING (entity) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 4""")
 def sem_shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_entities(entities(table(spark, sf_dir, "documents")))
+    found = shared_entities(entities(table(spark, sf_dir, "documents")), LEAST_SHARED_HERE)
+    return found.withColumn("shared", F.array_join("shared", ","))
+
+
+@registry.add(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{5,}')) AS entity FROM documents), c AS (SELECT doc_id, entity, count(*) AS n FROM w GROUP BY 1, 2),
+e AS (SELECT doc_id, entity FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) <= 10)
+SELECT entity, count(*) AS documents, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS links FROM e GROUP BY 1""")
+def sem_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_links(entities(table(spark, sf_dir, "documents")))
+
+
+@registry.add("""WITH f AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY 1) SELECT first AS a, vec_id AS b, e.label AS category FROM embeddings e JOIN f ON e.label = f.label WHERE vec_id <> first""")
+def sem_category_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category_edges(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("category")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,12 @@ def doc_toc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(rf"""WITH l AS (SELECT doc_id, unnest({_LINES.format('text')}) AS l FROM documents)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE length(l) BETWEEN 3 AND 160 AND len(regexp_split_to_array(l, '\s+')) <= 18
-AND (regexp_matches(l, '^(\d+(?:\.\d+)*\.?)\s+(.+)$') OR ({_UPPER} > 0.72 AND len(regexp_split_to_array(l, '\s+')) BETWEEN 2 AND 10))) AS n_headings FROM l GROUP BY 1""")
+AND NOT (regexp_matches(l, '{X.TABLE_OR_FIGURE}') AND length(l) > 80)
+AND (length(trim(regexp_extract(l, '^(\d+(?:\.\d+)*\.?)\s+(.+)$', 2))) >= 2 OR (regexp_matches(l, '{X.COMMON_HEADING}') AND len(regexp_split_to_array(l, '\s+')) <= 12)
+OR ({_UPPER} > 0.72 AND len(regexp_split_to_array(l, '\s+')) BETWEEN 2 AND 10))) AS n_headings FROM l GROUP BY 1""")
 def doc_heading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", X.solid_lines(F.col("text")).alias("ls"))
-    headings = F.size(F.filter("ls", X.is_heading)).cast("long")
+    headings = F.size(F.filter("ls", lambda x: X.is_heading(x))).cast("long")
     return lines.where(F.size("ls") > 0).select("doc_id", F.size("ls").cast("long").alias("n_lines"), headings.alias("n_headings"))
 
 
@@ -73,11 +78,16 @@ def doc_page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGIONS = "(VALUES (1, 'table', 3, 'Table A6 results'), (2, 'figure', 4, 'Figure 2.1 and Table 7'), (3, 'table', 9, 'No number')) AS v(id, kind, page, title)"
 
 
-@registry.add(rf"""SELECT id, concat_ws(',', kind, 'pdf:' || page, 'region', nullif(array_to_string(list_transform(regexp_extract_all(lower(title), '(table|figure)\s+([a-z]?\d+(?:\.\d+)*)'),
-lambda s: regexp_replace(s, '\s+', ':')), ','), '')) AS tags FROM {_REGIONS}""")
+_REGION_SQL = r"""concat_ws(',', 'kind:' || kind, 'pdf:' || page, 'region:' || page || ':' || index,
+nullif(array_to_string(list_transform(regexp_extract_all(lower(title), '\btable\s+([a-z]?\d+(?:\.\d+)?)\b', 1), lambda x: 'table:' || x), ','), ''),
+nullif(array_to_string(list_transform(regexp_extract_all(lower(title), '\bfigure\s+(\d+(?:\.\d+)?)\b', 1), lambda x: 'figure:' || x), ','), ''),
+CASE WHEN kind = 'table' AND NOT regexp_matches(lower(title), '\btable\s+([a-z]?\d+(?:\.\d+)?)\b') THEN 'table,table:' || index END, CASE WHEN kind = 'figure' THEN 'figure,figure:' || index END)"""
+
+
+@registry.add(f"SELECT id, {_REGION_SQL} AS tags FROM (SELECT *, 1 AS index FROM {_REGIONS})")
 def doc_region_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = spark.sql(f"SELECT * FROM {_REGIONS}")
-    return regions.select("id", F.array_join(X.region_tags(F.col("kind"), F.col("page"), F.col("title")), ",").alias("tags"))
+    return regions.select("id", F.array_join(X.region_tags(F.col("kind"), F.col("title"), F.col("page"), F.lit(1)), ",").alias("tags"))
 
 
 _TITLES = "(VALUES (1, '2 Methods', 'intro'), (2, '2.1 Data', 'as shown in Section 2.2 below'), (3, '2.2 Models', 'see Section 2.1 and Chapter 2'), (4, '4.5 Orphan', 'none')) AS v(id, title, body)"
@@ -99,17 +109,27 @@ def document_sections(docs: DataFrame) -> DataFrame:
 
 
 def reference_edges(sections: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """source, target and mention: each reference in ``body`` joined to the section of that printed number or whole title.
+    """source, target and mention: each place where ``body`` refers to another section.
 
-    Only sections that agree on the columns ``within`` meet; these come first in the result.
+    The section of that printed number is the target; without one, the first section whose whole
+    title, or whose ``section`` and place in the order of ids, is part of the mention. Of equal titles the
+    last is taken, in the first one's place. Only sections that agree on the columns ``within`` meet; these
+    come first in the result.
     """
-    numbered = sections.withColumn("number", X.title_number(F.col("title")))
-    mentions = numbered.select(*within, F.col("id").alias("source"), F.explode(X.references(F.col("body"))).alias("mention"))
-    # A numbered title starts with a digit and a mention with a word, so the two kinds of key don't meet.
-    keys = F.array(F.nullif(F.regexp_extract("mention", r"(\d+(?:\.\d+)*)", 1), F.lit("")), _key(F.rtrim("mention", F.lit(".-"))))
-    mentions = mentions.withColumn("key", F.explode(keys))
-    targets = numbered.select(*within, F.col("id").alias("target"), F.coalesce("number", _key(F.col("title"))).alias("key"))
-    return mentions.join(targets, [*within, "key"]).where("source <> target").select(*within, "source", "target", "mention")
+    order = Window.partitionBy(*within).orderBy("id")
+    numbered = sections.withColumn("number", X.title_number(F.col("title"))).withColumn("place", F.row_number().over(order))
+    mentions = numbered.select(*within, F.col("id").alias("source"), F.explode(F.array_distinct(X.references(F.col("body")))).alias("mention"))
+    mentions = mentions.withColumn("printed", F.nullif(F.regexp_extract("mention", r"(\d+(?:\.\d+)*)", 1), F.lit("")))
+    printed = numbered.where("number IS NOT NULL").groupBy(*within, F.col("number").alias("printed")).agg(F.max("id").alias("by_number"))
+    mentions = mentions.join(printed, [*within, "printed"], "left")
+    names = numbered.select(*within, "id", "place", F.explode(F.array(_key(F.col("title")), F.concat(F.lit("section "), "place"))).alias("key"))
+    names = names.where("key <> ''").groupBy(*within, "key").agg(F.max("id").alias("target"), F.min("place").alias("place"))
+    unmet = mentions.where("by_number IS NULL OR by_number = source").select(*within, "source", "mention")
+    same = reduce(and_, [unmet[c].eqNullSafe(names[c]) for c in within], F.lit(True))
+    found = unmet.join(names, same & F.contains(F.lower(unmet["mention"]), names["key"]) & (unmet["source"] != names["target"]))
+    found = found.groupBy(*[unmet[c] for c in within], "source", "mention").agg(F.min_by("target", F.struct("place", "key")).alias("target"))
+    direct = mentions.where("by_number <> source").select(*within, "source", F.col("by_number").alias("target"), "mention")
+    return direct.union(found.select(*within, "source", "target", "mention"))
 
 
 def _key(title: Column) -> Column:
@@ -135,9 +155,9 @@ def document_number_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_tags(sections: DataFrame) -> DataFrame:
     """doc_id, id and tags of the headings that name a table or figure; the first one named is the kind, the document the page."""
-    kind = F.regexp_extract(F.lower("title"), r"(table|figure)\s+[a-z]?\d", 1)
-    named = sections.withColumn("kind", kind).where("kind <> ''")
-    return named.select("doc_id", "id", F.array_join(X.region_tags(F.col("kind"), F.col("doc_id"), F.col("title")), ",").alias("tags"))
+    named = sections.withColumn("kind", X.region_kind(F.col("title"))).where("kind IS NOT NULL")
+    named = named.withColumn("index", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")))
+    return named.select("doc_id", "id", F.array_join(X.region_tags(F.col("kind"), F.col("title"), F.col("doc_id"), F.col("index")), ",").alias("tags"))
 
 
 @registry.add()
@@ -145,9 +165,16 @@ def document_region_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heading_tags(document_sections(table(spark, sf_dir, "documents")))
 
 
-@registry.add(rf"""WITH s AS (SELECT *, {_NUMBER} AS number FROM {_TITLES}),
-m AS (SELECT id AS source, unnest(regexp_extract_all(substr(body, 1, 8000), '{X.REFERENCE}', 1)) AS mention FROM s)
-SELECT source, id AS target, mention FROM m JOIN s ON s.number = regexp_extract(mention, '(\d+(?:\.\d+)*)', 1) WHERE source <> id""")
+_MENTION = X.REFERENCE.replace(r"[\w\d\.]+", r"[\p{L}\p{N}_.]+")
+
+
+@registry.add(rf"""WITH s AS (SELECT *, {_NUMBER} AS number, row_number() OVER (ORDER BY id) AS place FROM {_TITLES}),
+m AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(body, '(?i){_MENTION}')) AS mention FROM s),
+n AS (SELECT source, mention, t.id AS target FROM m LEFT JOIN s t ON t.number = regexp_extract(mention, '(\d+(?:\.\d+)*)', 1)),
+k AS (SELECT lower(regexp_replace(trim(title), '\s+', ' ', 'g')) AS key, id, place FROM s UNION ALL SELECT 'section ' || place, id, place FROM s),
+q AS (SELECT key, max(id) AS target, min(place) AS place FROM k WHERE key <> '' GROUP BY 1)
+SELECT source, target, mention FROM n WHERE target <> source UNION ALL
+SELECT source, arg_min(q.target, (q.place, key)) AS target, mention FROM n JOIN q ON contains(lower(mention), key) AND q.target <> source WHERE n.target IS NULL OR n.target = source GROUP BY 1, 3""")
 def doc_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_edges(spark.sql(f"SELECT * FROM {_TITLES}"))
 
@@ -158,28 +185,105 @@ def doc_number_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_hierarchy(spark.sql(f"SELECT * FROM {_TITLES}"))
 
 
-def section_tree(blocks: DataFrame) -> DataFrame:
-    """doc, pos, level, parent of the headings of each document; ``blocks`` has doc, pos and text.
+def merged_numbers(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (doc, pos, text) in which a number on a line of its own goes before the next line's text; of several in a row the last does."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    alone = X.is_standalone_number(F.trim("text"))
+    before = F.lag(F.when(alone, F.rtrim("text", F.lit("."))), 1).over(order)
+    merged = blocks.withColumn("_number", before).where(~alone)
+    return merged.withColumn("text", F.when(F.col("_number").isNotNull(), F.concat_ws(" ", "_number", "text")).otherwise(F.col("text"))).drop("_number")
+
+
+def heading_threshold(blocks: DataFrame) -> DataFrame:
+    """doc and threshold: the upper median of the text blocks' font sizes and 1.5 more; none without sizes, so no font makes a heading.
 
-    The heading stack depends on order, so it runs document by document; headings are picked
-    by column expressions before. Level 1 is a chapter, a numbered title lies one below its
-    depth, and other headings are sections of the open chapter.
+    ``blocks`` has doc, kind and font. Sizes are few, so they are counted, not gathered: the median is the first
+    size at which the running count passes half.
     """
-    number = X.title_number(F.col("text"))
-    headings = blocks.where(X.is_heading(F.col("text"))).select("doc", "pos", F.coalesce(X.number_depth(number), F.lit(0)).alias("depth"))
+    sizes = blocks.where("kind = 'text' AND font > 0").groupBy("doc", "font").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("doc").orderBy("font").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy("doc")
+    ranked = sizes.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_))
+    return ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("doc").agg((F.min("font") + 1.5).alias("threshold"))
 
-    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_, out = [], []
-        for row in pdf.sort_values("pos").itertuples():
-            chapters = any(level == 1 for level, _ in open_)
-            level = 1 if row.depth == 1 or not chapters else max(2, row.depth) if row.depth else 2
-            while open_ and open_[-1][0] >= level:
-                open_.pop()
-            out.append((row.doc, row.pos, level, open_[-1][1] if open_ else -1))
-            open_.append((level, row.pos))
-        return pd.DataFrame(out, columns=["doc", "pos", "level", "parent"])
 
-    return headings.groupBy("doc").applyInPandas(stack, "doc long, pos long, level int, parent long")
+def section_tree(blocks: DataFrame) -> DataFrame:
+    """doc, pos, kind, level, parent, title, first_page, last_page and text of the chapters and sections of each document.
+
+    ``blocks`` has doc, pos and text, and may have page, font, bold and low_confidence. Headings are picked and
+    numbers read by column expressions; the stack of open headings depends on their order, so it runs document by
+    document. A chapter (a number of one part) has level 1. A numbered section lies at its number's depth, one
+    lower inside a chapter, and no higher than 2; other headings lie at 2, or one below an open section. Text
+    before the first section of a chapter makes a preamble. A box's larger lines are its text. ``parent`` is the
+    parent's pos, or -1 for the document; a section's text is its title and the blocks below it.
+    """
+    fonts = "font" in blocks.columns
+    full = merged_numbers(blocks).withColumn("line", F.btrim(F.regexp_replace("text", r"\s*\n\s*", " "), F.lit(" \t\r\f")))
+    if fonts:
+        full = full.withColumn("kind", F.lit("text")) if "kind" not in full.columns else full
+        full = full.join(heading_threshold(full), "doc", "left").withColumn("threshold", F.coalesce("threshold", F.lit(999.0)))
+        heading = X.is_heading(F.col("line"), F.col("font"), F.col("bold"), F.col("threshold"))
+    else:
+        heading = X.is_heading(F.col("line"))
+    if "low_confidence" in full.columns:
+        heading = heading & ~F.coalesce("low_confidence", F.lit(False))
+    number = F.when(heading, X.title_number(F.col("line")))
+    page = F.col("page") if "page" in full.columns else F.lit(1)
+    read = full.where("line <> ''").select(
+        F.col("doc"),
+        F.col("pos").cast("long").alias("pos"),
+        page.cast("int").alias("page"),
+        F.btrim("text", F.lit(" \t\r\n")).alias("text"),
+        heading.alias("heading"),
+        X.is_box_label(F.col("line")).alias("box"),
+        F.coalesce(X.number_depth(number), F.lit(0)).alias("depth"),
+        X.title_words(F.col("line")).alias("words"),
+    )
+    doc_type = blocks.schema["doc"].dataType.simpleString()
+    return read.groupBy("doc").applyInPandas(
+        _stacked, f"doc {doc_type}, pos long, kind string, level int, parent long, title string, first_page int, last_page int, text string"
+    )
+
+
+def _stacked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sections of one document from its blocks in order."""
+    made: list[dict] = []
+    open_: list[dict] = []  # from the chapter down
+    section = chapter = None
+
+    def add(row, kind: str, level: int, title: str) -> dict:
+        while open_ and open_[-1]["level"] >= level:
+            open_.pop()
+        node = {"doc": row.doc, "pos": row.pos, "kind": kind, "level": level, "parent": open_[-1]["pos"] if open_ else -1, "title": title}
+        node |= {"first_page": row.page, "last_page": row.page, "depth": row.depth, "box": row.box, "body": []}
+        made.append(node)
+        open_.append(node)
+        return node
+
+    for row in pdf.sort_values("pos").itertuples():
+        if row.heading and not (section is not None and section["box"] and not row.box):
+            if row.depth == 1:
+                open_.clear()
+                chapter, section = add(row, "Chapter", 1, row.words.strip()), None
+                continue
+            level = max(2, row.depth + (chapter is not None)) if row.depth else 2
+            if section is not None and open_ and open_[-1] is section and level <= section["level"]:
+                both = row.depth and section["depth"]
+                if not both or row.depth > section["depth"]:
+                    level = section["level"] + 1
+            section = add(row, "Section", level, row.text)
+            continue
+        if section is None:
+            # A preamble stays open at level 2, below the chapter or the document.
+            section = add(row._replace(depth=0, box=False), "Section", 2, "Preamble")
+        section["body"].append(row.text)
+        for node in (section, chapter):
+            if node is not None:
+                node["last_page"] = max(node["last_page"], row.page)
+    for node in made:
+        named = [] if node["title"] == "Preamble" and node["body"] else [node["title"]]
+        node["text"] = "\n\n".join([*(named or ["Preamble"]), *node["body"]])
+    return pd.DataFrame(made, columns=["doc", "pos", "kind", "level", "parent", "title", "first_page", "last_page", "text"])
 
 
 @registry.add()
@@ -188,11 +292,46 @@ def doc_tree_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tree(d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text")))
 
 
-def page_parent(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """The deepest section that spans each page (ties: the later one); ``sections`` has id, first, last, depth and order."""
-    spanned = sections.select("id", "depth", "order", F.explode(F.sequence("first", "last")).alias("page"))
-    best = spanned.groupBy("page").agg(F.max_by("id", F.struct("depth", "order")).alias("section"))
-    return pages.join(best, "page", "left")
+_BLOCK_LINES = "(SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+@registry.add(rf"""WITH b AS (SELECT *, regexp_full_match(trim(text), '\d+(\.\d+)*\.?\s*') AS alone FROM {_BLOCK_LINES}),
+l AS (SELECT *, lag(CASE WHEN alone THEN rtrim(text, '.') END) OVER (PARTITION BY doc ORDER BY pos) AS number FROM b)
+SELECT doc, count(*) AS blocks, count(number) AS merged, CAST(sum(length(text) + coalesce(length(number) + 1, 0)) AS BIGINT) AS chars FROM l WHERE NOT alone GROUP BY 1""")
+def doc_merged_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    blocks = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("before", F.length("text"))
+    merged = merged_numbers(blocks)
+    return merged.groupBy("doc").agg(
+        F.count("*").alias("blocks"), F.count_if(F.length("text") > F.col("before")).alias("merged"), F.sum(F.length("text")).cast("long").alias("chars")
+    )
+
+
+@registry.add(f"""SELECT doc, CAST(list_sort(list(font))[count(*) // 2 + 1] AS DOUBLE) + 1.5 AS threshold FROM (SELECT doc, 8 + length(text) % 7 AS font FROM {_BLOCK_LINES} WHERE text <> '') GROUP BY 1""")
+def doc_font_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median rule over lines whose length stands for a font size."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    sized = lines.select("doc", F.lit("text").alias("kind"), (8 + F.length("text") % 7).cast("double").alias("font"))
+    return heading_threshold(sized)
+
+
+def page_parent(pages: DataFrame, sections: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """``pages`` (doc, page) with section, the deepest one that spans each page (ties: the later one), and parent.
+
+    ``sections`` and ``chapters`` have doc, id, first, last, depth and order. The parent is the section, else the
+    last chapter that spans the page, else null: the document.
+    """
+
+    def spanning(rows: DataFrame, name: str) -> DataFrame:
+        spanned = rows.select("doc", "id", "depth", "order", F.explode(F.sequence("first", F.greatest("first", "last"))).alias("page"))
+        return spanned.groupBy("doc", "page").agg(F.max_by("id", F.struct("depth", "order")).alias(name))
+
+    found = pages.join(spanning(sections, "section"), ["doc", "page"], "left")
+    if chapters is None:
+        return found.withColumn("parent", F.col("section"))
+    last = spanning(chapters.withColumn("depth", F.lit(1)), "chapter")
+    return found.join(last, ["doc", "page"], "left").withColumn("parent", F.coalesce("section", "chapter")).drop("chapter")
 
 
 @registry.add(r"""SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title,
@@ -211,7 +350,38 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_order(regions: DataFrame) -> DataFrame:
-    """Regions with their number on the page, duplicates by page and first 200 characters dropped."""
-    first = Window.partitionBy("page", F.substring("text", 1, 200)).orderBy("pos")
-    place = Window.partitionBy("page").orderBy("pos")
+    """Regions (page, pos, text) with their number on the page, duplicates by page and first 200 characters dropped; also by doc, if there is one."""
+    keys = [c for c in ("doc", "page") if c in regions.columns]
+    first = Window.partitionBy(*keys, F.substring("text", 1, 200)).orderBy("pos")
+    place = Window.partitionBy(*keys).orderBy("pos")
     return regions.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("index", F.row_number().over(place))
+
+
+#: Lines of a document that make a page, where a query takes documents as books.
+PAGE_LINES = 4
+
+
+def paged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, page, pos and text of the documents' lines that aren't empty: each PAGE_LINES lines are a page."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return d.where("text <> ''").withColumn("page", F.floor(F.col("pos") / PAGE_LINES).cast("int") + 1)
+
+
+_BLOCKS = f"(SELECT doc, pos, text, pos // {PAGE_LINES} + 1 AS page FROM {_BLOCK_LINES} WHERE text <> '')"
+
+
+@registry.add(f"""WITH b AS {_BLOCKS}, s AS (SELECT doc, pos AS id, page AS first, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY pos), page) AS last, pos % 3 AS depth FROM b WHERE pos % 5 = 0),
+p AS (SELECT DISTINCT doc, page FROM b), x AS (SELECT s.*, unnest(range(first, last + 1)) AS page FROM s)
+SELECT p.doc, p.page, arg_max(x.id, (x.depth, x.id)) AS section FROM p LEFT JOIN x ON x.doc = p.doc AND x.page = p.page GROUP BY 1, 2""")
+def doc_page_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the deepest of the sections over them; every fifth line opens a section that lasts up to the next one's page."""
+    b = paged_blocks(spark, sf_dir).drop("text")
+    following = F.coalesce(F.lead("page").over(Window.partitionBy("doc").orderBy("pos")), F.col("page"))
+    s = b.where("pos % 5 = 0").select("doc", F.col("pos").alias("id"), F.col("page").alias("first"), following.alias("last"), (F.col("pos") % 3).alias("depth"), F.col("pos").alias("order"))
+    return page_parent(b.select("doc", "page").distinct(), s).select("doc", "page", "section")
+
+
+@registry.add(f"""WITH b AS {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, page, substr(text, 1, 200) ORDER BY pos) AS r FROM b)
+SELECT doc, page, pos, row_number() OVER (PARTITION BY doc, page ORDER BY pos) AS index FROM r WHERE r = 1""")
+def doc_region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_order(paged_blocks(spark, sf_dir)).select("doc", "page", "pos", F.col("index").cast("long").alias("index"))

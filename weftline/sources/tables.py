@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns of the graph's tables as exported.
+# Columns of the graph's tables as exported.
 NODE_FIELDS = ("id", "type", "title", "text", "order", "page_start", "page_end", "depth", "entities", "cluster_id")
 EDGE_FIELDS = ("source_id", "target_id", "rel_type", "weight", "axis", "properties")
 
@@ -28,8 +30,9 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str, newe
     events = spark.read.schema(schema).option("basePath", path).json(path)
     if newest_days is None:
         return events
-    days = events.select("day").distinct().orderBy(F.desc("day")).limit(newest_days)
-    return events.join(F.broadcast(days), "day", "left_semi")
+    # The folders' names tell the days; no file is opened for that.
+    days = {m[1] for f in events.inputFiles() if (m := re.search("day=([^/]+)/", f))}
+    return events.where(F.col("day").cast("string").isin(sorted(days, reverse=True)[:newest_days]))
 
 
 def write_events(events: DataFrame, path: str, ts: str = "ts") -> None:
@@ -50,16 +53,66 @@ def write_edges(edges: DataFrame, path: str) -> None:
     out.select(*EDGE_FIELDS, "axis_part").write.mode("overwrite").partitionBy("axis_part").option("header", True).csv(path)
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes as Parquet, one folder a label, and edges, one folder a type; a folder that is written again is replaced, others stay."""
+    mode = {"partitionOverwriteMode": "dynamic"}
+    nodes.write.options(**mode).mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+    edges.write.options(**mode).mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
+
+
+# The parts of a shipping address in the order of its key.
+ADDRESS = ("shipName", "shipAddress", "shipCity", "shipRegion", "shipPostalCode", "shipCountry")
+
+
+def address_key(*parts: Column) -> Column:
+    """The parts of an address joined; a missing part leaves its place empty."""
+    return F.concat_ws(", ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def load_orders(rows: DataFrame, key: str, customer: str, address: list[str]) -> dict[str, DataFrame]:
+    """Orders, addresses and the edges between them from one table: ``orders``, ``addresses`` (one row a key), ``shipped_to`` and ``ordered``."""
+    keyed = rows.withColumn("address_key", address_key(*[F.col(c) for c in address]))
+    return {
+        "orders": keyed.dropDuplicates([key]),
+        "addresses": keyed.select("address_key", *address).dropDuplicates(["address_key"]),
+        "shipped_to": keyed.select(F.col(key).alias("source"), F.col("address_key").alias("target")).distinct(),
+        "ordered": keyed.where(F.col(customer).isNotNull()).select(F.col(customer).alias("source"), F.col(key).alias("target")).distinct(),
+    }
+
+
+def load_details(rows: DataFrame, orders: DataFrame, products: DataFrame, order: str, product: str) -> DataFrame:
+    """The rows of a bridge table whose order and product are both known, one for each pair: the last value of each property wins by its order."""
+    known = rows.join(orders.select(order), order, "left_semi").join(products.select(product), product, "left_semi")
+    rest = [c for c in rows.columns if c not in (order, product)]
+    return known.groupBy(order, product).agg(F.max(F.struct(*rest)).alias("p")).select(order, product, "p.*")
+
+
+_PARTS = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^;'"`]""", re.S)
+_NAME = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script; semicolons and colons inside literals, names and comments don't count."""
+    found, current = [], []
+    for part in _PARTS.findall(script):
+        if part == ";":
+            found.append("".join(current))
+            current = []
+        elif not part.startswith(("--", "/*")):
+            current.append(part)
+    return [s.strip() for s in [*found, "".join(current)] if s.strip()]
+
+
 def run_script(spark: SparkSession, script: str) -> list[DataFrame]:
-    """Run SQL statements split at semicolons; ``:param name => value;`` lines set named parameters for the rest."""
+    """Run the statements of a script; ``:param name => value;`` sets a named parameter for the rest."""
     args: dict[str, object] = {}
     results = []
-    for statement in (s.strip() for s in script.split(";")):
+    for statement in statements(script):
         if statement.startswith(":param"):
             name, _, value = statement[len(":param") :].partition("=>")
             value = value.strip()
             args[name.strip()] = value[1:-1] if value[:1] in "'\"" else float(value) if "." in value else int(value)
-        elif statement:
-            used = {k: v for k, v in args.items() if f":{k}" in statement}
-            results.append(spark.sql(statement, args=used))
+        else:
+            outside = "".join(p for p in _PARTS.findall(statement) if p[0] not in "'\"`")
+            results.append(spark.sql(statement, args={k: args[k] for k in set(_NAME.findall(outside)) & set(args)}))
     return results
