@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import access, analytics, feedback, graph, retrieval, semantic, structure, versions
+from ..operators import access, analytics, feedback, graph, pages, passages, retrieval, semantic, structure, versions
 from ..streaming import windows
 from .registry import Query
 
-_MODULES = [analytics, graph, structure, semantic, retrieval, versions, access, feedback, windows]
+_MODULES = [analytics, graph, structure, pages, passages, semantic, retrieval, versions, access, feedback, windows]
 
 
 def queries() -> dict[str, Query]:
