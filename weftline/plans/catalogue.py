@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import access, analytics, feedback, graph, pages, passages, retrieval, semantic, structure, versions
+from ..operators import access, analytics, conversation, feedback, graph, loading, pages, passages, presentation, retrieval, semantic, steps, structure, versions
+from ..streaming import feedback as stream_feedback
 from ..streaming import windows
 from .registry import Query
 
-_MODULES = [analytics, graph, structure, pages, passages, semantic, retrieval, versions, access, feedback, windows]
+_MODULES = [analytics, graph, structure, pages, passages, semantic, retrieval, versions, access, feedback, conversation, steps, presentation, loading, windows, stream_feedback]
 
 
 def queries() -> dict[str, Query]:
