@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import access, feedback, graph, structure, versions
+from weftline.functions import intent, questions
+from weftline.operators import access, conversation, feedback, graph, pages, passages, presentation, retrieval, steps, structure, versions
 from weftline.sources import tables
+from weftline.streaming import feedback as stream_feedback
 from weftline.streaming import windows
 
 
@@ -59,15 +61,40 @@ def test_references_of_whole_documents(spark):
     s = structure.document_sections(docs)
     assert sorted((r.doc_id, r.id, r.title) for r in s.collect()) == [(1, 1, "1 Methods"), (1, 3, "2 Results"), (1, 6, "2.1 Table A6 and Figure 2"), (1, 8, "APPENDIX A"), (2, 0, "1 Other")]
     edges = sorted(tuple(r) for r in structure.reference_edges(s, ("doc_id",)).collect())
-    assert edges == [(1, 3, 1, "Section 1"), (1, 3, 6, "Section 2.1"), (1, 3, 8, "Appendix A.")]
+    assert edges == [(1, 3, 1, "described in Section 1"), (1, 3, 6, "see Section 2.1"), (1, 3, 8, "in Appendix A.")]
     assert [tuple(r) for r in structure.number_hierarchy(s, ("doc_id",)).collect()] == [(1, 3, 6)]
-    assert [tuple(r) for r in structure.heading_tags(s).collect()] == [(1, 6, "table,pdf:1,region,table:a6,figure:2")]
+    assert [tuple(r) for r in structure.heading_tags(s).collect()] == [(1, 6, "kind:table,pdf:1,region:1:1,table:a6,figure:2")]
 
 
 def test_section_tree(spark):
-    rows = [(1, 0, "1 Introduction"), (1, 1, "1.1 Scope"), (1, 2, "body text here"), (1, 3, "1.2 Aims"), (1, 4, "2 Methods")]
-    got = structure.section_tree(spark.createDataFrame(rows, "doc long, pos long, text string")).orderBy("pos").collect()
-    assert [(r.pos, r.level, r.parent) for r in got] == [(0, 1, -1), (1, 2, 0), (3, 2, 0), (4, 1, -1)]
+    rows = [
+        ("d1", 1, 1, "1 Introduction", 12.0), ("d1", 1, 2, "Plain paragraph text that is long enough to be body and not a heading at all, see Section 1.2", 10.0),
+        ("d1", 2, 3, "1.1 Scope", 11.0), ("d1", 2, 4, "1.2", 11.0), ("d1", 2, 5, "METHODS", 11.0), ("d1", 3, 6, "body of the methods", 10.0),
+        ("d1", 3, 7, "Box 5", 11.0), ("d1", 4, 8, "A LARGE LINE", 14.0), ("d1", 4, 9, "2 Results", 12.0), ("d1", 5, 10, "text of results", 10.0),
+    ]
+    blocks = spark.createDataFrame([(*r, "text", False, False) for r in rows], "doc string, page int, pos long, text string, font double, kind string, bold boolean, low_confidence boolean")
+    got = [(r.kind, r.level, r.parent, r.title, r.first_page, r.last_page) for r in structure.section_tree(blocks).orderBy("pos").collect()]
+    assert got == [
+        ("Chapter", 1, -1, "Introduction", 1, 5), ("Section", 2, 1, "Preamble", 1, 1), ("Section", 3, 2, "1.1 Scope", 2, 2),
+        ("Section", 3, 2, "1.2 METHODS", 2, 3), ("Section", 4, 5, "Box 5", 3, 5),
+    ]
+    texts = {r.title: r.text for r in structure.section_tree(blocks).where("kind = 'Section'").collect()}
+    assert texts["1.2 METHODS"] == "1.2 METHODS\n\nbody of the methods" and texts["Box 5"] == "Box 5\n\nA LARGE LINE\n\n2 Results\n\ntext of results"
+    plain = spark.createDataFrame([(1, 0, "1 Introduction"), (1, 1, "1.1 Scope"), (1, 2, "body text here"), (1, 3, "1.2 Aims"), (1, 4, "2 Methods")], "doc long, pos long, text string")
+    assert [(r.pos, r.level, r.parent) for r in structure.section_tree(plain).orderBy("pos").collect()] == [(0, 1, -1), (1, 3, 0), (3, 3, 0), (4, 1, -1)]
+
+
+def test_numbers_on_their_own_lines(spark):
+    rows = [(1, 0, "4"), (1, 1, "4.5"), (1, 2, "TITLE"), (1, 3, "body"), (1, 4, "9.")]
+    got = structure.merged_numbers(spark.createDataFrame(rows, "doc int, pos int, text string")).orderBy("pos").collect()
+    assert [(r.pos, r.text) for r in got] == [(2, "4.5 TITLE"), (3, "body")]
+
+
+def test_page_parents(spark):
+    pages_ = spark.createDataFrame([(1, p) for p in range(1, 6)], "doc int, page int")
+    s = spark.createDataFrame([(1, "a", 1, 2, 2, 1), (1, "b", 2, 3, 3, 2), (1, "c", 3, 3, 3, 3)], "doc int, id string, first int, last int, depth int, order int")
+    c = spark.createDataFrame([(1, "x", 1, 4, 1, 0)], "doc int, id string, first int, last int, depth int, order int")
+    assert {r.page: r.parent for r in structure.page_parent(pages_, s, c).collect()} == {1: "a", 2: "b", 3: "c", 4: "x", 5: None}
 
 
 def test_expansion_rules(spark):
@@ -84,7 +111,139 @@ def test_versions(spark):
     up = spark.createDataFrame([("k", 1, "x"), ("k", 2, "x"), ("k", 3, "y")], "logical string, seq int, content string")
     got = [(r.version, r.status) for r in versions.revisions(up).orderBy("seq").collect()]
     assert got == [(1, "EXPIRED"), (1, "SKIPPED"), (2, "ACTIVE")]
-    assert value(spark, versions.logical_id(F.col("p"), F.col("k")), p="/in/My File.pdf", k="") == "doc_my_file"
+    named = versions.logical_id(F.col("p"), F.col("k"), F.lit("j1"))
+    assert value(spark, named, p="/in/j1_My File.pdf", k="") == "doc_my_file"
+    assert value(spark, named, p="/in/x.pdf", k=" _My/KEY 7_ ") == "my_key_7"
+    once = versions.remap(F.col("i"), F.lit("k"), F.lit(2))
+    assert value(spark, once, i="doc_a") == "k:r2::doc_a" and value(spark, once, i="k:r2::doc_a") == "k:r2::doc_a"
+    plan = spark.createDataFrame([("f", "k", 2, "h", "doc_f", "F")], "document string, logical string, version int, hash string, root string, title string")
+    nodes = spark.createDataFrame([("f", "doc_other", "Document", "x"), ("f", "s1", "Section", "y")], "document string, id string, type string, title string")
+    assert {(r.id, r.title, r.revision_id) for r in versions.stamped_nodes(nodes, plan).collect()} == {("k:r2::doc_f", "F", "k:r2"), ("k:r2::s1", "y", "k:r2")}
+    edges = spark.createDataFrame([("f", "s1", "s2")], "document string, source string, target string")
+    assert [(r.source, r.target) for r in versions.stamped_edges(edges, plan).collect()] == [("k:r2::s1", "k:r2::s2")]
+    old = spark.createDataFrame([("k", "a"), ("m", "b")], "logical_doc_id string, id string")
+    new = spark.createDataFrame([("k", "c")], "logical_doc_id string, id string")
+    assert sorted(r.id for r in versions.installed(old, new).collect()) == ["b", "c"]
+
+
+def test_questions(spark):
+    q = F.col("q")
+    ask = lambda c, text: value(spark, c, q=text)
+    assert ask(intent.pdf_page(q), "show pdf page 12 please") == 12 and ask(intent.pdf_page(q), "page 32 of the pdf") == 32
+    assert ask(intent.page_label(q), "what is on page iii") == "iii" and ask(intent.page_label(q), "pdf page data") is None
+    assert ask(intent.page_label(q), "page 29") == "29" and ask(intent.pdf_page(q), "page 29") is None
+    for text, steps_ in (
+        ("top 5 products per category", True), ("for each region list the top 3 customers", True), ("products never ordered in category Dairy", True),
+        ("which supplier has the highest revenue in 1997", True), ("how many orders are there", False), ("top 5 products by revenue", False),
+    ):
+        assert ask(intent.needs_steps(q), text) is steps_, text
+    assert ask(intent.result_limit(q), "what is the best product") == 1 and ask(intent.result_limit(q), "top 40 of the best product") == 25
+    assert ask(intent.result_limit(q), "revenue") == 5 and ask(intent.route(q, "query_hybrid"), "revenue in the annual report") == "query_hybrid"
+    assert ask(intent.retrieval_pattern(q), "hello") == "general" and ask(intent.retrieval_pattern(q), "List all items on page 4") == "page|enumeration"
+    assert ask(questions.anchors(q), "What did WHO and E.coli say of the Paris-Agreement?") == ["e.coli", "ecoli", "e coli", "who", "what", "paris", "agreement"]
+    assert ask(questions.keywords(q), "which network hosted the case-control study") == ["network", "hosted", "the", "case-control", "study"]
+    assert ask(questions.phrases(q), "training of field workers in march 2021")[:3] == ["training field workers march 2021", "training field workers march", "field workers march 2021"]
+    assert ask(questions.contrast_groups(q), "compare acute care versus chronic care") == [["compare", "acute", "care", "compare acute"], ["chronic", "care", "chronic care"]]
+
+
+def test_fusion(spark):
+    legs = spark.createDataFrame([("a", 0.8, "vector"), ("a", 0.92, "fulltext"), ("b", 0.46, "fulltext"), ("c", 0.8 * 0.88 * 0.9, "graph"), ("b", 0.96, "keyword")], "id string, score double, leg string")
+    docs = spark.createDataFrame([(i, "Page 1", "text") for i in "abc"], "id string, title string, text string")
+    assert [(r.id, r.score, r.via) for r in retrieval.fuse(legs, docs, []).collect()] == [("b", 0.96, "fulltext,keyword"), ("a", 0.92, "fulltext,vector"), ("c", 0.6336, "graph")]
+    wide = retrieval.fuse(legs, docs, [], weights=retrieval.leg_weights(synthesis=True)).collect()
+    assert [(r.id, r.score) for r in wide] == [("a", 0.92), ("b", 0.7872), ("c", 0.76032)]
+    parts = spark.createDataFrame([("Alpha report", "x"), ("Beta", "alpha x"), ("Beta", "y")], "document string, text string")
+    assert retrieval.resolve_by_terms(parts, ["alpha", "report"]).first().asDict() == {"document": "Alpha report", "score": 3000.0, "resolved": True}
+
+
+def test_pages(spark):
+    t = F.col("t")
+    assert value(spark, X.figure_captions(t), t="Fig. 02: First\nFigure 3.1. Second one\nFig 2: Last") == {"02": "First", "3.1": "Second one", "2": "Last"}
+    box = X.box_body(F.split(t, "\n"), F.col("n"))
+    assert value(spark, box, t="a\nBox 1 One\nx\ny\nBox 2\nz", n=1) == "x\ny" and value(spark, box, t="Box 1\n", n=2) == ""
+    seen = "## Tables\n- no tables visible\n## Diagrams and flowcharts\n- a box\n- none"
+    assert value(spark, pages.compact_visual(t), t=seen) == "## Diagrams and flowcharts\n- a box"
+    assert value(spark, pages.compact_visual(t), t="- none visible") == ""
+    assert value(spark, X.repaired_urls(t), t="at (https://x.org/a b) end") == "at (https://x.org/ab) end"
+    rows = F.transform(F.split(t, ";"), lambda r: F.split(r, ","))
+    assert value(spark, X.table_markdown(rows), t="a,b;1") == "[Table]\n| a | b |\n| --- | --- |\n| 1 |  |"
+    assert [value(spark, X.thread_key(F.lit("u x"), t), t=x) for x in ("abc", "other:abc", "../../etc", None)] == ["u_x:abc", "u_x:abc", "u_x:default", "u_x:default"]
+    docs = spark.createDataFrame([(1, 1, "1", "Fig. 1: Dogs\nFig. 2: Cats", "a dog"), (1, 2, "ii", "second", "")], "doc int, page int, label string, text string, visual string")
+    regions = spark.createDataFrame([(1, 1, 7, "R", "- no dog"), (1, 1, 8, "S", "a cat")], "doc int, page int, pos int, title string, visual string")
+    ask = spark.createDataFrame([(9, 1, None, "1", "1"), (8, 1, None, "II", None)], "request int, doc int, pdf_page int, label string, figure string")
+    assert [(r.request, r.page, r.title, r.score) for r in pages.page_visuals(ask, docs, regions).collect()] == [(9, 1, "Fig. 1: Dogs", 1.0)]
+    heads = spark.createDataFrame([(1, 1, "Contents", 1, "Section", "x" * 40), (1, 2, "ALPHA", 3, "Section", ""), (2, 1, "Box 3", 1, "Chapter", ""), (2, 2, "1.2 Beta", 5, "Section", ""), (2, 3, "1.2 beta", 5, "Section", "")], "doc int, order int, title string, depth int, label string, text string")
+    got = {r.doc: (r.via, r.text) for r in pages.toc(spark.createDataFrame([(1,), (2,)], "doc int"), docs, heads).collect()}
+    assert got == {1: ("contents_section", "x" * 40), 2: ("outline", "1. 1.2 Beta")}
+
+
+def test_answering_order(spark):
+    q = F.col("q")
+    for text, mode in (
+        ("list all boxes", "structural_box_list"), ("what is in Box 5", "structural_box_content"), 
+        ("subsections of 2.5 in the Malaria guide", "subsection_tree"), ("table of contents", "structural_toc"), ("describe the figure on page 4", "structural_page_visual"), ("page 4", "structural_page"), ("why so", "graph_rag"),
+    ):
+        assert value(spark, passages.mode(q), q=text) == mode, text
+    asked = spark.createDataFrame([(1, "page 4"), (2, "page 9"), (3, "why")], "request int, question string")
+    page = lambda df: df.where("request = 1").select("request", F.lit("p4").alias("id"), F.lit(1.0).alias("score"))
+    found = passages.answer(asked, {"structural_page": page, "graph_rag": lambda df: df.select("request", F.lit("g").alias("id"), F.lit(0.5).alias("score"))})
+    assert sorted((r.request, r.mode, r.id) for r in found.collect()) == [(1, "structural_page", "p4"), (2, "graph_rag", "g"), (3, "graph_rag", "g")]
+
+
+def test_conversation(spark):
+    q = F.col("q")
+    assert value(spark, conversation.needs_measure(q), q="Average order price for Germany") is True
+    assert value(spark, conversation.needs_measure(q), q="average order price with freight") is False
+    titles = F.array(F.lit("Scope of work"), F.lit("Methods"))
+    assert [value(spark, conversation.child_of(q, titles), q=x) for x in ("2", "#1", "tell me of the methods", "other", "9")] == [2, 1, 2, None, None]
+    page = conversation.page_follow_up(q, F.lit(7))
+    assert value(spark, page, q="the text of that page") == "Give me all the text from PDF page 7" and value(spark, page, q="revenue by month") is None
+
+
+def test_presentation(spark):
+    types = presentation.chart_type
+    assert types("", "month", ["a", "b"], [1, 2]) == "line" and types("share of sales", "name", ["a", "b"], [1, 2]) == "doughnut"
+    assert types("sales", "name", ["a", "b"], [30.0, 70.0]) == "pie" and types("sales", "name", ["a", "a label far too long"], [3000, 1]) == "bar-horizontal" and types("sales", "name", ["a", "b"], [3000, 1]) == "bar"
+    rows = spark.createDataFrame([(1, "Ann", 1234.5, 3), (2, "Bob", 20.0, 4)], "id int, companyName string, totalRevenue double, orders int")
+    assert presentation.pick_columns(rows) == ("companyName", "totalRevenue", ["companyName", "totalRevenue", "orders"])
+    table_, chart = presentation.present("sales by company", rows)
+    assert table_["headers"] == ["Company Name", "Total Revenue", "Orders"] and ["Ann", "1,234.50", "3"] in table_["rows"]
+    assert chart == {"type": "chart", "kind": "bar", "title": "Total Revenue", "labels": ["Ann", "Bob"], "values": [1234.5, 20.0]}
+    assert len(presentation.present("which product has the highest sales", rows)) == 1
+
+
+def test_steps(spark):
+    t = {"n": spark.range(10).withColumnRenamed("id", "k")}
+    done, error = steps.run(spark, [steps.Step("a", "", "SELECT k AS `x.k` FROM n WHERE k > 7"), steps.Step("b", "", "SELECT k FROM n WHERE k + 1 IN $x_k")], t)
+    assert error is None and sorted(r.k for r in done["b"].collect()) == [7, 8]
+    done, error = steps.run(spark, [steps.Step("a", "", "SELECT k FROM n"), steps.Step("b", "", "SELECT missing FROM n"), steps.Step("c", "", "SELECT 1")], t)
+    assert list(done) == ["a"] and error.startswith("b:")
+    assert "no earlier step" in steps.run(spark, [steps.Step("a", "", "SELECT $nothing")], t)[1]
+
+
+def test_feedback_stream(spark, tmp_path):
+    src, start = str(tmp_path / "src"), "TIMESTAMP '2024-01-01 00:00:00'"
+    e = spark.sql(f"SELECT concat('r', id % 40) AS request_id, {start} + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts, concat('p', id % 2) AS pattern, 'm' AS mode, 'q' AS route, id % 3 = 0 AS outcome FROM range(60)")
+    e.repartition(3).write.parquet(src)
+    stream = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sink = stream_feedback.Recorder(str(tmp_path / "out"))
+    for _ in range(2):  # the second time there is nothing new
+        stream().writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    expected = {(r.pattern, r.queries, r.passed, r.failed) for r in feedback.counters(e, ["pattern"]).collect()}
+    assert {tuple(r) for r in sink.stats(spark, ["pattern"], "2024-01-05").collect()} == expected
+    newest = {r.request_id: r.t for r in e.groupBy("request_id").agg(F.max("ts").alias("t")).collect()}
+    assert {r.request_id: r.ts for r in sink.last(spark).collect()} == newest and sink.recent(spark, 7).count() == 7
+    counted = stream_feedback.forgetting_counters(stream().withWatermark("ts", "10 days")).writeStream.format("memory").queryName("kept").outputMode("update")
+    counted.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.pattern, r.queries, r.passed, r.failed) for r in spark.sql("SELECT pattern, max(queries) AS queries, max(passed) AS passed, max(failed) AS failed FROM kept GROUP BY 1").collect()} == expected
+    views, labels = str(tmp_path / "v"), str(tmp_path / "l")
+    spark.sql(f"SELECT concat('r', id) AS request_id, {start} + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts FROM range(5) UNION ALL SELECT 'late', {start} + INTERVAL 60 DAYS").coalesce(1).write.parquet(views)
+    spark.sql(f"SELECT 'r1' AS request_id, {start} + INTERVAL 2 DAYS AS ts, true AS outcome UNION ALL SELECT 'r2', {start} + INTERVAL 30 DAYS, false UNION ALL SELECT 'none', {start} + INTERVAL 60 DAYS, true").coalesce(1).write.parquet(labels)
+    read = lambda path, schema: spark.readStream.schema(schema).parquet(path)
+    joined = stream_feedback.attached_stream(read(views, "request_id string, ts timestamp"), read(labels, "request_id string, ts timestamp, outcome boolean"))
+    joined.writeStream.format("memory").queryName("attached").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.request_id: r.outcome for r in spark.table("attached").collect()}
+    assert got["r1"] is True and got.get("r2") is None and "none" not in got
 
 
 def test_hints(spark):
@@ -116,6 +275,10 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{p}/nodes").first()["text"] == "x\\ny"
     out = tables.run_script(spark, ":param n => 3; SELECT :n AS a; SELECT 1 AS b")
     assert [df.first()[0] for df in out] == [3, 1]
+    odd = tables.run_script(spark, ":param n => 'x;y'; SELECT ';:n' AS a, :n AS b -- a; comment\n; SELECT \"q;\" AS c")
+    assert [tuple(df.first()) for df in odd] == [(";:n", "x;y"), ("q;",)]
+    tables.write_graph(spark.sql("SELECT 'a' AS id, 'Page' AS label"), spark.sql("SELECT 'a' AS source, 'b' AS target, 'CONTAINS' AS rel_type"), f"{p}/graph")
+    assert spark.read.parquet(f"{p}/graph/nodes").where("label = 'Page'").count() == 1
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

@@ -16,13 +16,18 @@ registry = Registry()
 #: The usual threshold of similar nodes; the generated vectors need a lower one.
 SIMILAR, SIMILAR_HERE = 0.75, 0.30
 BLOCK_ROWS = 2048
+# Pairs that a relation is sought for at most.
+CANDIDATES = 300
 #: Entities of a document, their least length, how many two documents share to be linked, and the same for the registered query.
 ENTITIES, ENTITY_LENGTH, LEAST_SHARED, LEAST_SHARED_HERE = 10, 5, 1, 4
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, best: int | None = None) -> DataFrame:
     """a, b (a < b) and score of every pair of unit-scaled vectors with cosine at or above ``threshold``.
 
+    With ``best``, a pair of blocks gives out only its ``best`` pairs and those that tie with the last of them,
+    enough for that many overall.
+
     Exact all-pairs work in blocks: each row goes once to every pair of blocks that holds its
     own, and a task multiplies two blocks. ``vectors`` has id and vector.
     """
@@ -43,6 +48,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
         a, b, s = ids[left][r], ids[right][c], score[r, c]
         keep = a < b if i == j else a != b
         a, b, s = a[keep], b[keep], s[keep]
+        if best is not None and len(s) > best:
+            keep = s >= np.partition(s, len(s) - best)[len(s) - best]
+            a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
 
     return keyed.groupBy("i", "j").applyInArrow(multiply, "a long, b long, score double")
@@ -63,7 +71,7 @@ def sem_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.30
 ORDER BY {_COS} DESC, a, b LIMIT 300""")
 def sem_candidate_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = similar_pairs(_vectors(spark, sf_dir), SIMILAR_HERE).orderBy(F.desc("score"), "a", "b").limit(300)
+    best = similar_pairs(_vectors(spark, sf_dir), SIMILAR_HERE, best=CANDIDATES).orderBy(F.desc("score"), "a", "b").limit(CANDIDATES)
     return best.select("a", "b", F.round("score", 4).alias("score"))
 
 
