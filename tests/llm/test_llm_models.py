@@ -203,6 +203,60 @@ def test_language_of_held_out_documents(spark, docs, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in apart) >= 0.9 * len(apart)
 
 
+def plain_prediction(model, text):
+    """The vote of every pair of families, then of every pair of languages in the winner, one dot product at a time."""
+    x = [float(v) for v in language_id.features(text)]
+    score, chosen = 1.0, ""
+    for level in ("", None):
+        names = model.groups["" if level == "" else chosen + ":"]
+        won, total, least = {n: 0 for n in names}, {n: 0.0 for n in names}, {n: math.inf for n in names}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                row = model.place["" if level == "" else chosen + ":", a, b]
+                margin = sum(w * v for w, v in zip(model.weights[row].tolist(), x, strict=True) if v) + float(model.offsets[row])
+                won[a if margin >= 0 else b] += 1
+                for n, own in ((a, margin), (b, -margin)):
+                    total[n] += own
+                    least[n] = min(least[n], own)
+        best = sorted(names, key=lambda n: (-won[n], -total[n]))[0]
+        score *= 1.0 if len(names) == 1 else 1 / (1 + math.exp(-4 * least[best]))
+        chosen = best
+    return chosen, score
+
+
+def test_language_votes_equal_a_plain_count(docs, rows):
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    some = [t for t in rows.values() if t and any(c.isalpha() for c in t)][:60]
+    for text in some:
+        (lang, score), (plain, expected) = model.predict(text), plain_prediction(model, text)
+        assert lang == plain and abs(score - expected) < 1e-4
+
+
+def test_pair_training_equals_the_plain_steps():
+    """Pegasos with averaging, number by number."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(14, 5))
+    y = np.where(rng.random(14) < 0.4, 1.0, -1.0)
+    w, b, t, kept, mean_w, mean_b = [0.0] * 5, 0.0, 0, 0, [0.0] * 5, 0.0
+    side = {1.0: 2 * float((y < 0).mean()), -1.0: 2 * float((y > 0).mean())}
+    order = np.random.default_rng(7)
+    for epoch in range(language_id.PASSES):
+        for i in order.permutation(14):
+            t += 1
+            rate = 1 / (language_id.LAMBDA * (t + 1000))
+            short = y[i] * (sum(p * q for p, q in zip(x[i], w, strict=True)) + b) < 1
+            w = [v * (1 - rate * language_id.LAMBDA) for v in w]
+            if short:
+                w = [v + rate * side[y[i]] * y[i] * p for v, p in zip(w, x[i], strict=True)]
+                b += 0.01 * rate * side[y[i]] * y[i]
+        if epoch >= language_id.PASSES // 2:
+            mean_w, mean_b, kept = [p + q for p, q in zip(mean_w, w, strict=True)], mean_b + b, kept + 1
+    mean_w, mean_b = [v / kept for v in mean_w], mean_b / kept
+    scale = float(np.median([abs(sum(p * q for p, q in zip(r, mean_w, strict=True)) + mean_b) for r in x]))
+    got_w, got_b = language_id.train_pair(x, y)
+    assert np.allclose(got_w, np.array(mean_w) / scale, rtol=1e-4, atol=1e-5) and abs(got_b - mean_b / scale) < 1e-4
+
+
 def test_too_many_languages_are_an_error(spark, monkeypatch):
     rows = [(i, f"some words {chr(97 + i)}", f"x{i}") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -323,6 +377,55 @@ def test_quality_odd_rows(odd, empty, docs):
     assert all(r.score == 0 for r in quality_model.classify(odd, quality_model.fit(empty)).collect())
 
 
+def test_estimation_equals_the_plain_rounds():
+    """Expectation-maximisation over votes of whole texts, one probability at a time."""
+    rng = random.Random(8)
+    k, m = len(quality_model.LABELLERS), 40
+    counts = Counter(sum(rng.choice((0, 0, 1, 2)) * 3**j for j in range(k)) for _ in range(m))
+    texts = [quality_model.digits(p) for p, n in counts.items() for _ in range(n)]
+    junk = [(0.5 if 2 in v else 0.95) if 1 in v else 0.02 for v in texts]
+    prior = ((0.02, 0.02, 0.005), (0.02, 0.001, 0.02))
+    for _ in range(quality_model.EM_ROUNDS):
+        share = min(0.6, max(0.001, sum(junk) / m))
+        rates = []
+        for side, p in ((junk, prior[0]), ([1 - x for x in junk], prior[1])):
+            of_side = max(0.01, sum(side) / m)
+            mass = [[sum(w for w, v in zip(side, texts, strict=True) if v[j] == vote) / m + p[vote] * of_side for vote in range(3)] for j in range(k)]
+            rates.append([[x / sum(row) for x in row] for row in mass])
+        now = []
+        for v in texts:
+            odds = math.log(share / (1 - share)) + sum(math.log(rates[0][j][v[j]] / rates[1][j][v[j]]) for j in range(k))
+            now.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
+        done = max(abs(a - b) for a, b in zip(now, junk, strict=True)) < 1e-6
+        if done:
+            break
+        junk = now
+    model = quality_model.estimate(dict(counts))
+    assert np.allclose(model[0], rates[0], atol=1e-6) and np.allclose(model[1], rates[1], atol=1e-6) and abs(model[2] - share) < 1e-9
+    for pattern in counts:
+        v = quality_model.digits(pattern)
+        sound, bad = (1 - share) * math.prod(rates[1][j][v[j]] for j in range(k)), share * math.prod(rates[0][j][v[j]] for j in range(k))
+        assert abs(quality_model.posterior(pattern, model) - sound / (sound + bad)) < 1e-6
+
+
+def test_scorer_training_lowers_the_loss_like_plain_descent():
+    """The trained scorer's regularised loss is at most a little above that of many plain gradient steps."""
+    rng = np.random.default_rng(2)
+    x = rng.random((80, 6)).astype(np.float32)
+    y = np.clip((x @ np.array([3, -2, 0, 1, 0, -1]) > 0.6) + rng.normal(0, 0.05, 80), 0, 1)
+    weight = [0.5 / max(1, sum((z >= 0.5) == (v >= 0.5) for z in y)) for v in y]
+
+    def loss(w):
+        p = [1 / (1 + math.exp(-(sum(a * b for a, b in zip(r, w[:-1], strict=True)) + w[-1]))) for r in x.tolist()]
+        return -sum(c * (v * math.log(q) + (1 - v) * math.log(1 - q)) for c, v, q in zip(weight, y, p, strict=True)) + quality_model.DECAY / 2 * sum(a * a for a in w)
+
+    w = np.zeros(7)
+    full = np.concatenate([x, np.ones((80, 1))], 1)
+    for _ in range(20_000):
+        w -= 2.0 * (full.T @ (np.array(weight) * (1 / (1 + np.exp(-full @ w)) - y)) + quality_model.DECAY * w)
+    assert loss(quality_model.train(x, y).tolist()) <= loss(w.tolist()) + 0.02
+
+
 def test_estimation_finds_the_accuracies():
     """Votes drawn from known rates: the estimate tells a good labeller from a poor one."""
     rng = np.random.default_rng(4)
