@@ -66,14 +66,19 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
     ``rows`` has source, size and hash; ``budgets`` has source and budget. Each round sums the
     boundary buckets of the last one by ROUND_BITS more bits: at most a bucket count of rows
-    for each source. The last boundary holds rows of one hash; it is taken if that comes nearer.
+    for each source. Only the first two rounds read all rows: the second writes those of the first
+    boundaries, about one in 2**ROUND_BITS, for the rest. The last boundary holds rows of one hash; it
+    is taken if that comes nearer.
     """
     same = lambda a, b: a.eqNullSafe(b)
     state = common.written(budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(True).alias("open")))
     n = state.count()
     for bits in range(ROUND_BITS, HASH_BITS + 1, ROUND_BITS):
         s = common.small_or_not(state.where("open").select(F.col("source").alias("_s"), "prefix", F.col("left").alias("_left")), n)
-        here = rows.join(s, same(rows["source"], s["_s"]) & (F.shiftright("hash", HASH_BITS - bits + ROUND_BITS) == F.col("prefix")))
+        at_border = lambda r: r.join(s, same(r["source"], s["_s"]) & (F.shiftright(r["hash"], HASH_BITS - bits + ROUND_BITS) == s["prefix"]))  # noqa: B023, E731
+        if bits == 2 * ROUND_BITS:
+            rows = common.written(at_border(rows).select("source", "size", "hash"))
+        here = at_border(rows)
         sums = here.groupBy("source", F.shiftright("hash", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("n"), F.first("_left").alias("_left"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         running = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.col("_left"))
