@@ -14,6 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows of a batch that a Python worker gets at once: of whole texts, a few megabytes.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get BATCH_ROWS rows at once for the rest of the session, if they get more: a batch of texts is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
