@@ -6,7 +6,7 @@ whose language can't be told (no letter, or a score nearer to a tie than to the
 language's labelled rows) goes in the second; in the third, one row of each group stays,
 the one of the smallest doc_id (null last), whether rows share a doc_id or not; texts of any length
 are worked on whole; repeated rows are judged alike by every stage but the third, which keeps one;
-ties go to the smaller doc_id, then to the earlier row; columns of any name pass the first four
+ties go to the smaller doc_id, then to the smaller digest of the text; columns of any name pass the first four
 stages unchanged; an empty table passes every stage.
 """
 
@@ -23,6 +23,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted on these, keeps."""
+    common.small_batches(spark)
     score, kept = common.free_names(docs, "score", "kept")
     scored = quality_model.classify(docs, quality_model.fit(docs.select("doc_id", "text")), score=score, kept=kept)
     return scored.where(F.col(kept)).select(*docs.columns)
@@ -30,6 +31,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language a model of the labelled ones tells well enough."""
+    common.small_batches(spark)
     lang, score = common.free_names(docs, "told", "score")
     known = docs.select("doc_id", "text", "lang").where(~language_id.held_out(F.col("doc_id")))
     model = language_id.fit(known)
@@ -43,23 +45,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity SIMILAR_PERCENT or more connect."""
-    # Rows are the nodes, as a doc_id can be null, repeated or have several texts.
-    (row,) = common.free_names(docs, "row")
-    numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = near_dedup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    groups = found.select(F.col("doc_id").alias("node"), "component_id").join(numbered.select(F.col(row).alias("node"), "doc_id"), "node")
+    common.small_batches(spark)
+    # A doc_id can be null, repeated or have several texts, so rows are nodes by a digest of doc_id and text.
+    (key,) = common.free_names(docs, "key")
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
+    text = F.coalesce(F.concat(F.lit(":"), "text"), F.lit(""))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat(named, text).cast("binary"))))
+    found = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = found.select(F.col("doc_id").alias("node"), "component_id").distinct()
+    ids = keyed.groupBy(F.col(key).alias("node")).agg(F.first("doc_id").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
-    kept = groups.groupBy("component_id").agg(first.alias(row)).select(row)
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    kept = groups.join(ids, "node").groupBy("component_id").agg(first.alias(key)).select(key)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix to target weights takes it."""
+    common.small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the ids decode to the text's very bytes."""
+    common.small_batches(spark)
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
