@@ -165,6 +165,10 @@ def test_pages(spark):
     assert value(spark, pages.compact_visual(t), t=seen) == "## Diagrams and flowcharts\n- a box"
     assert value(spark, pages.compact_visual(t), t="- none visible") == ""
     assert value(spark, X.repaired_urls(t), t="at (https://x.org/a b) end") == "at (https://x.org/ab) end"
+    assert value(spark, X.with_urls(t), t="see (https://x.org/a) ") == "see (https://x.org/a)\n\n[Extracted URLs]\n- https://x.org/a"
+    boxes = spark.createDataFrame([(1, "Box 5", "Box 5", 3), (1, "Other", "text", 3)], "doc int, title string, text string, first_page int")
+    page3 = spark.createDataFrame([(1, 3, "a\nBox 5\nits body\nmore\nBox 6\nz")], "doc int, page int, text string")
+    assert sorted(r.text for r in structure.enriched_boxes(boxes, page3).collect()) == ["Box 5\n\nits body\nmore", "text"]
     rows = F.transform(F.split(t, ";"), lambda r: F.split(r, ","))
     assert value(spark, X.table_markdown(rows), t="a,b;1") == "[Table]\n| a | b |\n| --- | --- |\n| 1 |  |"
     assert [value(spark, X.thread_key(F.lit("u x"), t), t=x) for x in ("abc", "other:abc", "../../etc", None)] == ["u_x:abc", "u_x:abc", "u_x:default", "u_x:default"]

@@ -287,9 +287,10 @@ def text_urls(x: Column) -> Column:
 
 
 def with_urls(x: Column) -> Column:
-    """The text, and below it a block of the addresses in it."""
-    found = text_urls(x)
-    return F.when(F.size(found) > 0, F.concat(x, F.lit("\n\n[Extracted URLs]\n"), F.array_join(found, "\n"))).otherwise(x)
+    """The text without blanks at its ends, and below it a list of the addresses in it."""
+    body, found = F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\r\n")), text_urls(x)
+    listed = F.array_join(F.transform(found, lambda u: F.concat(F.lit("- "), u)), "\n")
+    return F.when(F.size(found) > 0, F.concat(body, F.lit("\n\n[Extracted URLs]\n"), listed)).otherwise(body)
 
 
 def user_key(x: Column) -> Column:

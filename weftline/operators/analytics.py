@@ -293,3 +293,33 @@ def orders_union_intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame
     made = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n") for op, df in made.items()]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+def revenue_by_country(spark: SparkSession, sf_dir: str, year: int, country_of: str = "customer") -> DataFrame:
+    """country and revenue of a year: a country is the customer's, unless ``country_of`` says the supplier's, where goods are shipped from."""
+    n = table(spark, sf_dir, "nation")
+    all_lines = lines(spark, sf_dir, year)
+    if country_of == "customer":
+        sums = all_lines.groupBy(F.col("o_custkey").alias("key")).agg(F.sum(net().cast(MONEY)).alias("r"))
+        owner = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("n_nationkey"))
+    elif country_of == "supplier":
+        sums = all_lines.groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(net().cast(MONEY)).alias("r"))
+        owner = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("n_nationkey"))
+    else:
+        raise ValueError(f"country_of is customer or supplier, not {country_of}")
+    met = sums.join(owner, "key").join(n, "n_nationkey")
+    return met.groupBy(F.col("n_name").alias("country")).agg(F.round(F.sum("r").cast("double"), 2).alias("revenue"))
+
+
+_COUNTRY_SQL = """SELECT n_name AS country, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(38, 6))) AS DOUBLE), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN {0} JOIN nation ON {1} = n_nationkey WHERE year(o_orderdate) = 1997 GROUP BY 1"""
+
+
+@registry.add(_COUNTRY_SQL.format("customer ON o_custkey = c_custkey", "c_nationkey"))
+def customer_country_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revenue_by_country(spark, sf_dir, 1997)
+
+
+@registry.add(_COUNTRY_SQL.format("supplier ON l_suppkey = s_suppkey", "s_nationkey"))
+def supplier_country_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revenue_by_country(spark, sf_dir, 1997, "supplier")

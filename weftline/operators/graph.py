@@ -197,3 +197,14 @@ def graph_prerequisite_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
     chain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), following.alias("target")).where("target IS NOT NULL")
     return closure(chain, 5).withColumn("path", F.array_join("path", ">"))
+
+
+def properties(nodes: dict[str, DataFrame]) -> list[tuple[str, str, int]]:
+    """Label, property and place of every property of the node tables, read from their schemas."""
+    return [(label, name, place) for label, df in nodes.items() for place, name in enumerate(df.columns, 1)]
+
+
+@registry.add("SELECT table_name AS label, column_name AS property, CAST(ordinal_position AS INT) AS place FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'part', 'supplier')")
+def graph_schema_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = ("customer", "orders", "part", "supplier")
+    return spark.createDataFrame(properties({t: table(spark, sf_dir, t) for t in labels}), "label string, property string, place int")

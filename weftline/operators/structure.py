@@ -349,6 +349,36 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def enriched_boxes(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """``sections`` (doc, title, text, first_page) in which a box with little but its label gets the lines below it on its page.
+
+    ``pages`` has doc, page and text.
+    """
+    page = pages.select("doc", F.col("page").alias("first_page"), F.col("text").alias("_page"))
+    number = F.regexp_extract("title", r"(\d+)", 1)
+    body = X.box_body(F.split(F.coalesce("_page", F.lit("")), "\n"), number)
+    bare = X.is_box_label(F.col("title")) & (F.length(F.trim("text")) <= F.length("title") + 80)
+    text = F.when(bare & (body != ""), F.concat("title", F.lit("\n\n"), body)).otherwise(F.col("text"))
+    return sections.join(page, ["doc", "first_page"], "left").withColumn("text", text).select(*sections.columns)
+
+
+def sequential_edges(nodes: DataFrame) -> DataFrame:
+    """source, target and rel_type between neighbours of ``nodes`` (doc, label, order, id): chapters, sections and pages each in their own order."""
+    following = F.lead("id").over(Window.partitionBy("doc", "label").orderBy("order", "id"))
+    pairs = nodes.select("id", following.alias("next")).where("next IS NOT NULL")
+    ends = F.array(F.struct(F.col("id").alias("source"), F.col("next").alias("target"), F.lit("PRECEDES").alias("rel_type")), F.struct(F.col("next").alias("source"), F.col("id").alias("target"), F.lit("FOLLOWS").alias("rel_type")))
+    return pairs.select(F.explode(ends).alias("e")).select("e.*")
+
+
+@registry.add(f"""WITH n AS (SELECT doc, 'Page' AS label, page AS o, doc || '_page_' || page AS id FROM {{blocks}} GROUP BY doc, page UNION ALL SELECT doc, 'Section', pos, doc || '_section_' || pos FROM {{blocks}}),
+s AS (SELECT id, lead(id) OVER (PARTITION BY doc, label ORDER BY o, id) AS next FROM n)
+SELECT id AS source, next AS target, 'PRECEDES' AS rel_type FROM s WHERE next IS NOT NULL UNION ALL SELECT next, id, 'FOLLOWS' FROM s WHERE next IS NOT NULL""".replace("{blocks}", f"(SELECT doc, pos, text, pos // 4 + 1 AS page FROM {_BLOCK_LINES} WHERE text <> '')"))
+def doc_sequential_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = paged_blocks(spark, sf_dir)
+    pages = b.select("doc", "page").distinct().select("doc", F.lit("Page").alias("label"), F.col("page").alias("order"), F.concat_ws("_", "doc", F.lit("page"), "page").alias("id"))
+    return sequential_edges(pages.union(b.select("doc", F.lit("Section"), "pos", F.concat_ws("_", "doc", F.lit("section"), "pos"))))
+
+
 def region_order(regions: DataFrame) -> DataFrame:
     """Regions (page, pos, text) with their number on the page, duplicates by page and first 200 characters dropped; also by doc, if there is one."""
     keys = [c for c in ("doc", "page") if c in regions.columns]
