@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: The largest broadcast table, in entries.
 MAX_TABLE = 1_000_000
 #: Entries of a worker's cache; longer pre-tokens than CACHED_CHARS aren't kept.
@@ -150,10 +152,10 @@ def counter_udf(spark, model_path: str) -> Callable:
 
 
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str = "text") -> DataFrame:
-    """``df`` with n_bytes (UTF-8), n_tokens and over_limit (more tokens than ``limit``)."""
+    """``df`` with n_bytes (UTF-8), n_tokens and over_limit (more tokens than ``limit``); a table of fewer splits than cores is dealt out first."""
     counts = counter_udf(df.sparkSession, model_path)
     return (
-        df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
+        spread(df).withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
         .withColumn("n_tokens", counts(F.col(text)))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
