@@ -356,6 +356,11 @@ def test_rules_find_a_planted_threshold(spark):
     assert rules and all(kept[i] == (q == 1) for i, _, q in data)
 
 
+def test_rules_of_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.judge(empty, quality_rules.fit(empty, labels)).count() == 0
+
+
 def test_rules_without_labels(docs, spark):
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
     assert quality_rules.fit(docs.select("doc_id", "text"), labels) == []
