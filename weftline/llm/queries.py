@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, token_store
+from . import ann, byte_bpe, conversation_repair, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, structure_sql, token_counts, token_store, url_filters, whitening
+from .url_filters import Rule
 
 SHARDS = 8
+#: Rules that come before the templates of paths.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +89,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(talks, conversation_repair.damage(talks))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    return url_filters.judge_pages(pages, labels, URL_RULES)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op5_ann, op6_language_id, op7_quality_rules, op8_quality_model, op9_mixing, op10_token_counts]
+    found = [op1_sharding, op2_byte_bpe, op3_token_store, op4_near_dedup, op5_ann, op6_language_id, op7_quality_rules, op8_quality_model, op9_mixing, op10_token_counts, op11_conversation_repair, op12_url_filters, op13_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -132,5 +155,7 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NO
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operators whose rows the contract or a repeatable draw fixes; the others run tokenizers or trained models."""
-    return {"op1_sharding": _SHARDS, "op4_near_dedup": _NEAR, "op9_mixing": _MIXED}
+    """SQL for the operators whose rows the contract, a repeatable draw or counts fix; the others run tokenizers or trained models."""
+    f = url_filters
+    judged = structure_sql.filtered([(r.host, r.path, r.verdict) for r in URL_RULES], f.DEPTH, f.LEAST_ROWS, f.MOST_BRANCHES, f.SMOOTHING, f.DEVIATE, f.REJECT)
+    return {"op1_sharding": _SHARDS, "op4_near_dedup": _NEAR, "op9_mixing": _MIXED, "op11_conversation_repair": structure_sql.REPAIRED, "op12_url_filters": judged}
