@@ -160,7 +160,7 @@ def fold(turns: Column, state: int) -> Column:
 
 
 def stretches(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of each stretch with its number ``k`` in its conversation, and its four by four ways; both written.
+    """Counts of each stretch with its number ``k`` in its conversation, and its four by four ways, written.
 
     A conversation's first stretch is only entered in the state EMPTY; its other three are null.
     """
@@ -178,7 +178,7 @@ def stretches(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     order = Window.partitionBy("conv_id").orderBy("block")
     border = F.concat(F.lag("last").over(order), F.col("first"))
-    counts = common.written(
+    counts = (
         collected.drop("turns")
         .withColumn("k", F.row_number().over(order).cast("long") - 1)
         .withColumn("illegal", F.col("illegal") + F.coalesce((~border.isin(*PAIRS)).cast("long"), F.lit(0)))
@@ -219,7 +219,7 @@ def cheapest(ways: DataFrame) -> DataFrame:
     ends = F.least(
         _add(of(EMPTY), 0, "", str(EMPTY)), _add(of(ASSISTANT), 0, "", str(ASSISTANT)), _add(of(USER), INSERT, "I", str(USER)), _add(of(SYSTEM), 2 * INSERT, "II", str(SYSTEM))
     )
-    return common.written(level.select("conv_id", ends.alias("end")).select("conv_id", "end.cost", "end.audit", F.col("end.edits").alias("path")))
+    return level.select("conv_id", ends.alias("end")).select("conv_id", "end.cost", "end.audit", F.col("end.edits").alias("path"))
 
 
 def _letters(text: Column) -> Column:
@@ -233,7 +233,7 @@ def repaired_turns(rows: DataFrame, ways: DataFrame, found: DataFrame) -> DataFr
     steps = steps.select("_c", "_k", F.col("_in").cast("int").alias("_in"), F.col("_path")[F.col("_k") + 1].cast("int").alias("_out"), (F.col("_k") + 2 == F.col("_n")).alias("_last"))
     chosen = ways.join(steps, ways["conv_id"].eqNullSafe(steps["_c"]) & (ways["k"] == steps["_k"]))
     tail = F.when(F.col("_last") & (F.col("_out") == USER), "A").when(F.col("_last") & (F.col("_out") == SYSTEM), "UA").otherwise("")
-    edits = common.written(chosen.select("conv_id", "block", "k", F.concat(F.col("ways")[F.col("_in")][F.col("_out")]["edits"], tail).alias("edits")))
+    edits = chosen.select("conv_id", "block", "k", F.concat(F.col("ways")[F.col("_in")][F.col("_out")]["edits"], tail).alias("edits"))
     upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     kept = F.length(F.translate("edits", "D", "")).cast("long")
     offset = edits.select("conv_id", "block", "edits", F.coalesce(F.sum(kept).over(upto), F.lit(0)).alias("offset"))
