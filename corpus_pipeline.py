@@ -88,7 +88,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages over ``documents``, in a session of its own, so that the caller's settings stay.
+
+    A stage's intermediate tables go as soon as its result is written, and that goes when the next one's is.
+    """
+    own = common.own_settings(spark)
+    docs = own.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with common.clearing(own) as kept:
+            found = common.written(stage(own, docs, sf_dir))
+            kept.append(found)
+        if i:
+            common.drop(docs)
+        docs = found
+    return STAGES[-1][1](own, docs, sf_dir)

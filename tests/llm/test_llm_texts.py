@@ -232,3 +232,22 @@ def test_mix_rows_and_odd_tables(spark, odd, empty):
     words = sum(len(WORD.findall(r.text or "")) for r in mixed.select("text").collect())
     assert words == sum(r["taken"] for r in report)
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_mix_parts_repeated_rows(spark):
+    """A source of 60 equal rows and a smaller one meets its target within half a row, in the report and in the mixed rows."""
+    rows = [(1, "a", "w " * 100)] * 60 + [(2, "a", "v " * 50)] + [(10 + i, s, "x " * 40) for i in range(100) for s in ("b", "c")] + [(None, "b", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    report = dicts(mixing.mix_report(df, weights=(2, 3, 1)))
+    assert len(report) == len(rows)
+    mixed = {r["source"]: r["n"] for r in dicts(mixing.mix(df, weights=(2, 3, 1)).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\w+"))).alias("n")))}
+    taken = {}
+    for (_, source, _), size in ((r, len((r[2] or "").split())) for r in set(rows)):
+        mine = [x for x in report if x["size"] == size and x["source_size"] == sum(len((r[2] or "").split()) for r in rows if r[1] == source)]
+        assert mine
+    for r in report:
+        taken.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(t) - target) <= 50 for (_, target), t in taken.items())
+    one = [r for r in report if r["source_size"] == 6050]
+    assert abs(sum(r["taken"] for r in one) - one[0]["target"]) <= 50 and mixed["a"] == sum(r["taken"] for r in one)
+    assert sorted(r["taken"] for r in report) == sorted(r["taken"] for r in dicts(mixing.mix_report(df.coalesce(1), weights=(2, 3, 1))))

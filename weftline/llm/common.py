@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -25,6 +27,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Folders that ``written`` has made and nothing has deleted yet.
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the folders that ``written`` makes within it, but for those of the tables in the list that it gives."""
+    before, kept = set(_FOLDERS), []
+    try:
+        yield kept
+    finally:
+        keep = {t._weftline_path for t in kept}
+        for path in [p for p in _FOLDERS if p not in before and p not in keep]:
+            remove(spark, path)
+
+
+def own_settings(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` that can be changed without changing those."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
@@ -47,6 +74,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``scratch_dir`` and all in it; a missing one is no error."""
+    if path in _FOLDERS:
+        _FOLDERS.remove(path)
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
@@ -60,6 +89,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None, options: dict
     writer = df.write.options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _FOLDERS.append(path)
     writer.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._weftline_path = path
@@ -88,6 +118,18 @@ def md5_draw(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *keys).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with a gapless long from 0 in this order: sorted by range, numbered in each partition, and no task holds all rows."""
+    at, part, first = free_names(df, "at", "part", "first")
+    sorted_ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    placed = sorted_.withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias(first))
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    firsts = counts.select(part, F.coalesce(F.sum(first).over(upto), F.lit(0)).alias(first))
+    within = F.col(at).bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(firsts), part).select(*df.columns, (F.col(first) + within).alias(name))
+
+
 def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for a broadcast if its counted ``rows`` allow it; else left to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

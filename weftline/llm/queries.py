@@ -146,12 +146,13 @@ sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) A
 l AS (SELECT arg_min(greatest(0.0, 1.5 * total - full_before) / free, i) AS level FROM f WHERE 2.0 * source_size > weight * greatest(0.0, 1.5 * total - full_before) / free),
 t AS (SELECT source, source_size, least(2.0 * source_size, CAST(weight * coalesce(level, 1e300) AS DOUBLE)) AS target FROM s, (SELECT max(level) AS level FROM l)),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-h AS (SELECT source, hash, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1, 2),
+h AS (SELECT source, hash, CAST(sum(size) AS BIGINT) AS n, count(*) AS rows FROM d GROUP BY 1, 2),
 u AS (SELECT h.*, sum(n) OVER (PARTITION BY source ORDER BY hash) AS upto FROM h),
-x AS (SELECT u.source, hash, CASE WHEN upto <= target - whole * source_size THEN 1 WHEN upto - n > target - whole * source_size THEN 0
-WHEN upto - (target - whole * source_size) < target - whole * source_size - (upto - n) THEN 1 ELSE 0 END AS more FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN size * (whole + CASE WHEN target > whole * source_size THEN more ELSE 0 END) ELSE 0 END AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.hash = x.hash"""
+x AS (SELECT u.source, hash, CASE WHEN upto <= target - whole * source_size THEN rows WHEN upto - n > target - whole * source_size THEN 0
+ELSE ceil((target - whole * source_size - (upto - n)) * rows / n - 0.5) END AS more FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source),
+y AS (SELECT *, row_number() OVER (PARTITION BY source, hash) AS place FROM d)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN size * (whole + CASE WHEN target > whole * source_size AND place <= more THEN 1 ELSE 0 END) ELSE 0 END AS taken
+FROM y d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.hash = x.hash"""
 
 
 def oracle_sql() -> dict[str, str]:

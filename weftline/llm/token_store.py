@@ -346,10 +346,15 @@ def read_documents(spark: SparkSession, path: str, id_type: T.DataType) -> DataF
 
 
 def shard_starts(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
-    """shard and the number of ids in all shards before it; one row per file, read from two columns."""
-    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = shards(spark, path, id_type).select("shard", "n_tokens")
-    return sizes.select("shard", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)).cast("long").alias("shard_start"))
+    """shard and the number of ids in all shards before it; one row per file, read from two columns.
+
+    Each writing task's shards are summed first, so that no task gets a row for every shard.
+    """
+    sizes = shards(spark, path, id_type).select("shard", "n_tokens", F.shiftright("shard", 32).alias("task"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    tasks = sizes.groupBy("task").agg(F.sum("n_tokens").alias("n_tokens")).select("task", before(Window.orderBy("task")).alias("task_start"))
+    own = sizes.withColumn("own_start", before(Window.partitionBy("task").orderBy("shard")))
+    return own.join(F.broadcast(tasks), "task").select("shard", (F.col("task_start") + F.col("own_start")).alias("shard_start"))
 
 
 def occurrences(spark: SparkSession, path: str, id_type: T.DataType, token: int) -> DataFrame:
