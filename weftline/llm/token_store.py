@@ -15,14 +15,15 @@ a shard of its own; other columns aren't stored.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,12 @@ from . import common, pretokens
 
 #: Bits between stored ranks, and tokens after which a shard is closed.
 BLOCK, SHARD_TOKENS = 512, 1 << 21
-#: Entries of a generation of a worker's cache; longer ones than CACHED_CHARS aren't kept.
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 48
+#: Entries of a worker's cache of words; longer ones than CACHED_CHARS aren't kept.
+CACHE_ENTRIES, CACHED_CHARS = 800_000, 48
 #: Marks that make a pre-token of their own after a word.
 END_MARKS = frozenset(".,;:!?)")
-#: Documents encoded at a time.
-CHUNK = 200
+#: Bytes of texts that are encoded at a time, one text at least; documents that are read back at a time.
+CHUNK_BYTES, CHUNK = 4 << 20, 200
 
 
 class Wavelet:
@@ -129,25 +130,33 @@ def _settled(char: str) -> bool:
     return old != "Cn" and old[0] == unicodedata.category(char)[0]
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of CHUNK_BYTES or less, or of one text."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, done + CHUNK_BYTES, "right")))
+        yield at, to
+        at, done = to, int(upto[to - 1])
+
+
 class _Cache(dict):
-    """Bounded cache from text to its ids as bytes, in two generations.
+    """Bounded cache from a word to its ids as bytes; when it is full, the older half goes.
 
-    When the young generation is full it becomes the old one; an entry used again moves back,
-    so common entries stay and rare ones go.
+    A word with a mark at its end isn't kept, as its two parts are.
     """
 
     def __init__(self, ids_of: Callable[[str], bytes]):
         super().__init__()
-        self.ids_of, self.old = ids_of, {}
+        self.ids_of = ids_of
 
     def __missing__(self, word: str) -> bytes:
-        found = self.old.pop(word, None)
-        if found is None:
-            found = self.ids_of(word)
-        if len(word) <= CACHED_CHARS:
+        found = self.ids_of(word)
+        if len(word) <= CACHED_CHARS and (word[-1:] not in END_MARKS or len(word) == 1):
             if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
+                newer = dict(islice(self.items(), CACHE_ENTRIES // 2, None))
                 self.clear()
+                self.update(newer)
             self[word] = found
         return found
 
@@ -185,7 +194,7 @@ class LibraryEncoder:
         level = pre is not None and "ByteLevel" in str(pre) and "add_prefix_space=False" in str(pre)
         self.by_parts = level and self.library.normalizer is None
         self.pieces, self.after_space = _Cache(self._piece), _Cache(self._word)
-        self.uneven = re.compile(f"^ | $| [{pretokens.BLANKS}]|[{pretokens.BLANKS}] ").search
+        self.uneven = f"^ | $| [{pretokens.BLANKS}]|[{pretokens.BLANKS}] "
         self.characters = byte_characters()
 
     def _piece(self, word: str) -> bytes:
@@ -206,23 +215,54 @@ class LibraryEncoder:
     def _joined(self, parts: list[str]) -> bytes:
         return b"".join([self.after_space[x[1:]] if x[0] == " " and len(x) > 1 else self.pieces[x] for x in parts])
 
-    def _whole(self, text: str) -> bool:
+    def _whole(self, text: str, latin: bool) -> bool:
         """Whether only the library may split this text."""
         if not self.by_parts or any(s in text for s in self.special):
             return True
-        return not (pretokens.is_latin(text) or all(map(_settled, set(text))))
+        return not (latin or all(map(_settled, set(text))))
 
-    def _ids(self, text: str) -> bytes:
-        if self._whole(text):
+    def _ids(self, text: str, latin: bool) -> bytes:
+        if self._whole(text, latin):
             return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if not pretokens.is_latin(text) or self.uneven(text):
-            return self._joined(self.find(text))
-        first, *words = text.split(" ")
-        return self._joined(self.find(first)) + b"".join(map(self.after_space.__getitem__, words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``kind``."""
-        return list(map(self._ids, texts))
+        return self._joined(self.find(text))
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by ``end`` if there is one, and how many each has.
+
+        The words of evenly spaced texts are numbered by Arrow, and only distinct ones are looked up.
+        """
+        latin = pc.invert(pc.match_substring_regex(texts, "[^\\x{0}-\\x{24f}]"))
+        even = pc.and_(latin, pc.invert(pc.match_substring_regex(texts, self.uneven)))
+        for special in self.special:
+            even = pc.and_(even, pc.invert(pc.match_substring(texts, special)))
+        evenly = even.to_numpy(zero_copy_only=False) & self.by_parts
+        heads, rest = [], []
+        for text, is_latin, by_words in zip(texts.to_pylist(), latin.to_pylist(), evenly.tolist(), strict=True):
+            first, _, more = text.partition(" ") if by_words else ("", "", "")
+            heads.append(self._joined(self.find(first)) if by_words else self._ids(text, is_latin))
+            rest.append(more or None)
+        words = pc.split_pattern(pa.array(rest, pa.string()), " ")
+        coded = words.values.dictionary_encode() if len(words.values) else None
+        distinct = coded.dictionary.to_pylist() if coded else []
+        codes = coded.indices.to_numpy(zero_copy_only=False) if coded else np.zeros(0, np.int32)
+        pieces = [*map(self.after_space.__getitem__, distinct), *heads]
+        kind = np.dtype("<u4" if end is not None and end >> 16 else self.kind)
+        ids = np.frombuffer(b"".join(pieces), self.kind).astype(kind, copy=False)
+        ids = np.append(ids, np.array([] if end is None else [end], kind))
+        sizes = np.append(np.fromiter(map(len, pieces), np.int32, len(pieces)) // np.dtype(self.kind).itemsize, np.int32(end is not None))
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        n = len(heads)
+        counts = np.diff(words.offsets.to_numpy())  # words after the first of each text
+        first = np.cumsum(counts) - counts + 2 * np.arange(n)  # where each text's head stands among all pieces
+        last = first + counts + 1  # and its end
+        order = np.empty(len(codes) + 2 * n, np.int32)
+        rows = np.ones(len(order), bool)
+        rows[first] = rows[last] = False
+        order[rows], order[first], order[last] = codes, len(distinct) + np.arange(n), len(pieces)
+        own = sizes[order]
+        upto = np.cumsum(own, dtype=np.int32)
+        flat = ids[np.repeat(starts[order] - (upto - own), own) + np.arange(upto[-1] if n else 0, dtype=np.int32)]
+        return flat, np.diff(upto[last], prepend=0)
 
 
 _OPEN: dict[int, LibraryEncoder] = {}
@@ -269,16 +309,15 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_to
         encoder = _encoder(shared.value)
         bits = max(encoder.bits, int(end_id).bit_length())
         kind = "<u2" if bits <= 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
         number = TaskContext.get().partitionId() << 32
         ids, lengths, parts, total = [], [], [], 0
         out = pa.schema([(f.name, t) for f, t in zip(schema, _arrow_types(schema), strict=True)])
 
         def closed() -> pa.RecordBatch:
             nonlocal number, total
-            joined = b"".join(parts)
+            joined = np.concatenate(parts)
             parts.clear()
-            w = Wavelet.build(np.frombuffer(joined, kind), bits)
+            w = Wavelet.build(joined, bits)
             row = [number, total, bits, list(ids), list(lengths), [p.tobytes() for p in w.planes], [r.tobytes() for r in w.ranks], w.zeros]
             number, total = number + 1, 0
             ids.clear()
@@ -286,16 +325,17 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_to
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out, strict=True)], schema=out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                some = batch.slice(at, CHUNK)
-                for doc, found in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    if bits > encoder.bits and encoder.kind != kind:
-                        found = np.frombuffer(found, encoder.kind).astype(kind).tobytes()
-                    parts += [found, end]
-                    n = len(found) // np.dtype(kind).itemsize + 1
-                    ids.append(doc)
-                    lengths.append(n)
-                    total += n
+            for at, to in chunks(batch.column(1)):
+                docs, (flat, counts) = batch.column(0)[at:to].to_pylist(), encoder.encode(batch.column(1)[at:to], end_id)
+                flat, upto = flat.astype(kind, copy=False), np.cumsum(counts)
+                i = done = 0
+                while i < len(docs):  # up to and with the document that fills the shard
+                    j = min(len(docs), int(np.searchsorted(upto, done + shard_tokens - total)) + 1)
+                    ids += docs[i:j]
+                    lengths += counts[i:j].tolist()
+                    parts.append(flat[done : upto[j - 1]])
+                    total += int(upto[j - 1]) - done
+                    i, done = j, int(upto[j - 1])
                     if total >= shard_tokens:
                         yield closed()
         if ids:
