@@ -15,6 +15,7 @@ a shard of its own; other columns aren't stored.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -184,24 +185,26 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.bits = max(1, (max(self.library.get_vocab().values())).bit_length())
         self.code = "H" if self.bits <= 16 else "I"
         self.kind = "<u2" if self.bits <= 16 else "<u4"
+        self.pack = [struct.Struct(f"<{i}{self.code}").pack for i in range(12)]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find = pretokens.finder(pretokens.PATTERN)
         pre = self.library.pre_tokenizer
         level = pre is not None and "ByteLevel" in str(pre) and "add_prefix_space=False" in str(pre)
         self.by_parts = level and self.library.normalizer is None
         self.pieces, self.after_space = _Cache(self._piece), _Cache(self._word)
-        self.uneven = f"^ | $| [{pretokens.BLANKS}]|[{pretokens.BLANKS}] "
+        self.uneven = f"[^\\x{{0}}-\\x{{24f}}]|^ | $| [{pretokens.BLANKS}]|[{pretokens.BLANKS}] "
         self.characters = byte_characters()
 
     def _piece(self, word: str) -> bytes:
         return self._tokens(word.encode().decode("latin-1").translate(self.characters))
 
     def _tokens(self, characters: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(characters)]).tobytes()
+        ids = [t.id for t in self.tokenize(characters)]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """The ids of ``word``, in characters below U+0250, after a space."""
@@ -226,25 +229,31 @@ class LibraryEncoder:
             return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return self._joined(self.find(text))
 
-    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of ``kind``."""
+        flat, lengths = self.encode_array(pa.array(texts, pa.string()))
+        upto = [0, *np.cumsum(lengths).tolist()]
+        return [flat[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)]
+
+    def encode_array(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by ``end`` if there is one, and how many each has.
 
-        The words of evenly spaced texts are numbered by Arrow, and only distinct ones are looked up.
+        The words of evenly spaced Latin texts are numbered by Arrow, and only distinct ones are looked up.
         """
-        latin = pc.invert(pc.match_substring_regex(texts, "[^\\x{0}-\\x{24f}]"))
-        even = pc.and_(latin, pc.invert(pc.match_substring_regex(texts, self.uneven)))
+        even = pc.invert(pc.match_substring_regex(texts, self.uneven))
         for special in self.special:
             even = pc.and_(even, pc.invert(pc.match_substring(texts, special)))
-        evenly = even.to_numpy(zero_copy_only=False) & self.by_parts
-        heads, rest = [], []
-        for text, is_latin, by_words in zip(texts.to_pylist(), latin.to_pylist(), evenly.tolist(), strict=True):
-            first, _, more = text.partition(" ") if by_words else ("", "", "")
-            heads.append(self._joined(self.find(first)) if by_words else self._ids(text, is_latin))
-            rest.append(more or None)
-        words = pc.split_pattern(pa.array(rest, pa.string()), " ")
-        coded = words.values.dictionary_encode() if len(words.values) else None
-        distinct = coded.dictionary.to_pylist() if coded else []
-        codes = coded.indices.to_numpy(zero_copy_only=False) if coded else np.zeros(0, np.int32)
+        if not self.by_parts:
+            even = pa.array([False] * len(texts))
+        odd = pc.invert(even)
+        words = pc.split_pattern(pc.if_else(even, texts, "") if pc.any(odd).as_py() else texts, " ")
+        offsets = words.offsets.to_numpy()
+        values = words.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(texts) else words.values
+        heads = [self._joined(self.find(w)) for w in values.take(pa.array(offsets[:-1] - offsets[0])).to_pylist()]
+        for i, text in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), texts.filter(odd).to_pylist(), strict=True):
+            heads[i] = self._ids(text, pretokens.is_latin(text))
+        coded = values.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         pieces = [*map(self.after_space.__getitem__, distinct), *heads]
         kind = np.dtype("<u4" if end is not None and end >> 16 else self.kind)
         ids = np.frombuffer(b"".join(pieces), self.kind).astype(kind, copy=False)
@@ -252,13 +261,14 @@ class LibraryEncoder:
         sizes = np.append(np.fromiter(map(len, pieces), np.int32, len(pieces)) // np.dtype(self.kind).itemsize, np.int32(end is not None))
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         n = len(heads)
-        counts = np.diff(words.offsets.to_numpy())  # words after the first of each text
-        first = np.cumsum(counts) - counts + 2 * np.arange(n)  # where each text's head stands among all pieces
-        last = first + counts + 1  # and its end
-        order = np.empty(len(codes) + 2 * n, np.int32)
+        counts = np.diff(offsets)  # words of each text, its head among them
+        first = offsets[:-1] - offsets[0] + np.arange(n)  # where each text's head stands among all pieces
+        last = first + counts  # and its end
+        order = np.empty(len(codes) + n, np.int32)
         rows = np.ones(len(order), bool)
-        rows[first] = rows[last] = False
-        order[rows], order[first], order[last] = codes, len(distinct) + np.arange(n), len(pieces)
+        rows[last] = False
+        order[rows] = codes
+        order[first], order[last] = len(distinct) + np.arange(n), len(pieces)
         own = sizes[order]
         upto = np.cumsum(own, dtype=np.int32)
         flat = ids[np.repeat(starts[order] - (upto - own), own) + np.arange(upto[-1] if n else 0, dtype=np.int32)]
@@ -326,7 +336,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_to
 
         for batch in batches:
             for at, to in chunks(batch.column(1)):
-                docs, (flat, counts) = batch.column(0)[at:to].to_pylist(), encoder.encode(batch.column(1)[at:to], end_id)
+                docs, (flat, counts) = batch.column(0)[at:to].to_pylist(), encoder.encode_array(batch.column(1)[at:to], end_id)
                 flat, upto = flat.astype(kind, copy=False), np.cumsum(counts)
                 i = done = 0
                 while i < len(docs):  # up to and with the document that fills the shard
@@ -374,13 +384,11 @@ def read_documents(spark: SparkSession, path: str, id_type: T.DataType) -> DataF
                 ids, places = wavelet.all(), np.cumsum([0, *lengths])
                 for at in range(0, len(docs), CHUNK):
                     to = min(at + CHUNK, len(docs))
-                    cols = [
-                        [shard] * (to - at),
-                        docs[at:to],
-                        places[at:to].tolist(),
-                        [ids[places[i] : places[i + 1]].astype("<u4").tobytes() for i in range(at, to)],
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+                    flat = ids[places[at] : places[to]].astype("<u4")
+                    offsets = ((places[at : to + 1] - places[at]) * 4).astype(np.int32)
+                    binary = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                    cols = [pa.array([shard] * (to - at), types[0]), pa.array(docs[at:to], types[1]), pa.array(places[at:to], types[2]), binary]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return shards(spark, path, id_type).mapInArrow(unpack, schema)
 
