@@ -141,6 +141,11 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at, done = to, int(upto[to - 1])
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """The strings of an array without nulls, made in Arrow: several times as fast as one by one."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Cache(dict):
     """Bounded cache from a word to its ids as bytes; when it is full, the older half goes.
 
@@ -229,6 +234,18 @@ class LibraryEncoder:
             return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return self._joined(self.find(text))
 
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words after a space."""
+        known, marks = self.after_space, self.pieces
+        found = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            if word[-1:] in END_MARKS and word[:-1].isalpha():
+                found[i] = known[word[:-1]] + marks[word[-1]]
+            else:
+                found[i] = known[word]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
         flat, lengths = self.encode_array(pa.array(texts, pa.string()))
@@ -249,12 +266,12 @@ class LibraryEncoder:
         words = pc.split_pattern(pc.if_else(even, texts, "") if pc.any(odd).as_py() else texts, " ")
         offsets = words.offsets.to_numpy()
         values = words.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(texts) else words.values
-        heads = [self._joined(self.find(w)) for w in values.take(pa.array(offsets[:-1] - offsets[0])).to_pylist()]
+        heads = [self._joined(self.find(w)) for w in _strings(values.take(pa.array(offsets[:-1] - offsets[0])))]
         for i, text in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), texts.filter(odd).to_pylist(), strict=True):
             heads[i] = self._ids(text, pretokens.is_latin(text))
         coded = values.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        pieces = [*map(self.after_space.__getitem__, distinct), *heads]
+        distinct, codes = _strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        pieces = [*self._distinct(distinct), *heads]
         kind = np.dtype("<u4" if end is not None and end >> 16 else self.kind)
         ids = np.frombuffer(b"".join(pieces), self.kind).astype(kind, copy=False)
         ids = np.append(ids, np.array([] if end is None else [end], kind))
