@@ -192,6 +192,11 @@ def test_answering_order(spark):
     page = lambda df: df.where("request = 1").select("request", F.lit("p4").alias("id"), F.lit(1.0).alias("score"))
     found = passages.answer(asked, {"structural_page": page, "graph_rag": lambda df: df.select("request", F.lit("g").alias("id"), F.lit(0.5).alias("score"))})
     assert sorted((r.request, r.mode, r.id) for r in found.collect()) == [(1, "structural_page", "p4"), (2, "graph_rag", "g"), (3, "graph_rag", "g")]
+    # A question of several shapes goes from one way to the next until one finds something.
+    asked = spark.createDataFrame([(1, "table of contents of Box 5 annex"), (2, "table of contents on page 4 of Box 5"), (3, "Box 7"), (4, None)], "request int, question string")
+    some = lambda name, *ids: lambda df: df.where(F.col("request").isin(*ids)).select("request", F.lit(name).alias("id"), F.lit(1.0).alias("score"))
+    ways = {"graph_rag": some("g", 1, 2, 3, 4), "structural_toc": some("t", 1, 3), "structural_page": some("p", 1, 2, 3), "structural_box_content": some("b", 3)}
+    assert sorted((r.request, r.mode) for r in passages.answer(asked, ways).collect()) == [(1, "structural_toc"), (2, "structural_page"), (3, "structural_box_content"), (4, "graph_rag")]
 
 
 def test_conversation(spark):
@@ -205,9 +210,14 @@ def test_conversation(spark):
 
 
 def test_presentation(spark):
-    types = presentation.chart_type
+    def types(question, key, labels, values):
+        points = spark.createDataFrame(list(zip(labels, map(float, values), strict=True)), "label string, value double")
+        return points.agg(presentation.chart_kind(points, question, key)).first()[0]
+
     assert types("", "month", ["a", "b"], [1, 2]) == "line" and types("share of sales", "name", ["a", "b"], [1, 2]) == "doughnut"
     assert types("sales", "name", ["a", "b"], [30.0, 70.0]) == "pie" and types("sales", "name", ["a", "a label far too long"], [3000, 1]) == "bar-horizontal" and types("sales", "name", ["a", "b"], [3000, 1]) == "bar"
+    assert types("share", "name", list("abcdefg"), range(7)) == "pie" and types("sales", "name", ["a", "b"], [0.4, 0.5]) == "doughnut" and types("monthly share", "month", ["a"], [1]) == "bar"
+    assert types("sales", "name", ["a", "b"], [-1, 99]) == "bar" and types("sales", "name", list("abcdefghijk"), [5] * 11) == "bar-horizontal" and types("sales by month", "name", ["a", "b"], [1, 2]) == "line"
     rows = spark.createDataFrame([(1, "Ann", 1234.5, 3), (2, "Bob", 20.0, 4)], "id int, companyName string, totalRevenue double, orders int")
     assert presentation.pick_columns(rows) == ("companyName", "totalRevenue", ["companyName", "totalRevenue", "orders"])
     table_, chart = presentation.present("sales by company", rows)
@@ -223,6 +233,12 @@ def test_steps(spark):
     done, error = steps.run(spark, [steps.Step("a", "", "SELECT k FROM n"), steps.Step("b", "", "SELECT missing FROM n"), steps.Step("c", "", "SELECT 1")], t)
     assert list(done) == ["a"] and error.startswith("b:")
     assert "no earlier step" in steps.run(spark, [steps.Step("a", "", "SELECT $nothing")], t)[1]
+    # Values come from all earlier steps, without repeats, and two runs don't see each other's tables.
+    several = [steps.Step("a", "", "SELECT k AS part FROM n WHERE k < 3"), steps.Step("b", "", "WITH m AS (SELECT k AS part FROM n WHERE k IN (2, 5)) SELECT * FROM m"), steps.Step("c", "", "SELECT k FROM n WHERE k IN $parts")]
+    done, error = steps.run(spark, several, t)
+    other, _ = steps.run(spark, several, {"n": spark.range(2).withColumnRenamed("id", "k")})
+    assert error is None and sorted(r.k for r in done["c"].collect()) == [0, 1, 2, 5] and sorted(r.k for r in other["c"].collect()) == [0, 1]
+    assert not [v.name for v in spark.catalog.listTables() if v.isTemporary and v.name.startswith("w")]
 
 
 def test_feedback_stream(spark, tmp_path):

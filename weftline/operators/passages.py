@@ -89,21 +89,20 @@ def merged_chunks(primary: DataFrame, extra: DataFrame, limit: int = MERGED) ->
     return first.withColumn("rank", rank).where(F.col("rank") <= limit).select("request", "rank", "id", "score")
 
 
-def mode(question: Column) -> Column:
-    """How a question is answered; the ways are tried in this order, and each gives way to the next if it finds nothing."""
+def shapes(question: Column) -> dict[str, Column]:
+    """For each way of MODES whether a question's shape allows it; one question can allow several."""
     number, box = F.regexp_extract(question, intent.SECTION_NUMBER, 1), F.regexp_extract(question, intent.BOX, 1)
     listing = question.rlike(intent.BOX_LIST_CUE)
     sub = (question.rlike(intent.SUBSECTION_CUE) | F.lower(question).contains("sub section")) & (number != "")
-    return (
-        F.when(listing, "structural_box_list")
-        .when(box != "", "structural_box_content")
-        .when(sub & (F.size(questions.document_terms(question)) == 0), "needs_clarification")
-        .when(sub, "subsection_tree")
-        .when(intent.flag(question, "toc"), "structural_toc")
-        .when(intent.flag(question, "visual_page") & intent.names_page(question), "structural_page_visual")
-        .when(intent.names_page(question), "structural_page")
-        .otherwise("graph_rag")
-    )
+    unnamed = F.size(questions.document_terms(question)) == 0
+    page = intent.names_page(question)
+    allowed = (listing, (box != "") & ~listing, sub & unnamed, sub & ~unnamed, intent.flag(question, "toc"), intent.flag(question, "visual_page") & page, page)
+    return dict(zip(MODES, [*(F.coalesce(x, F.lit(False)) for x in allowed), F.lit(True)], strict=True))
+
+
+def mode(question: Column) -> Column:
+    """The first way that a question's shape allows."""
+    return F.coalesce(*[F.when(allowed, name) for name, allowed in shapes(question).items()])
 
 
 MODES = ("structural_box_list", "structural_box_content", "needs_clarification", "subsection_tree", "structural_toc", "structural_page_visual", "structural_page", "graph_rag")
@@ -112,16 +111,12 @@ MODES = ("structural_box_list", "structural_box_content", "needs_clarification",
 def answer(asked: DataFrame, ways: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """request, mode and the passages (id, score) of every question of ``asked`` (request, question, and what the ways need).
 
-    Each way of ``ways``, a mode's name and a function from requests to request, id and score, gets the questions of its mode
-    and those that the ways before it found nothing for and whose shape allows it; the last one, ``graph_rag``, gets all that is left.
+    Each way of ``ways``, a mode's name and a function from requests to request, id and score, gets the questions whose shape allows it
+    and that no way before it found anything for; so a question falls through all its shapes to the last way, ``graph_rag``.
     """
-    left = asked.withColumn("mode", mode(F.col("question")))
-    out = None
-    for name in MODES:
-        if name not in ways:
-            continue
-        mine = left if name == MODES[-1] else left.where(F.col("mode") == name)
-        found = ways[name](mine.drop("mode")).select("request", F.lit(name).alias("mode"), "id", F.col("score").cast("double").alias("score"))
+    allowed, left, out = shapes(F.col("question")), asked, None
+    for name in [m for m in MODES if m in ways]:
+        found = ways[name](left.where(allowed[name])).select("request", F.lit(name).alias("mode"), "id", F.col("score").cast("double").alias("score"))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("request"), "request", "left_anti")
     return out
@@ -144,15 +139,17 @@ def documents_named(documents: DataFrame, names: DataFrame) -> DataFrame:
     return n.join(d, "gram").where(F.contains("hay", F.col("name"))).groupBy("request").agg(F.min("id").alias("document"))
 
 
-def documents_by_terms(documents: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """document and n: how many of ``terms`` the title of each document (id, title) has; none without any."""
-    low = F.lower(F.coalesce("title", "id"))
-    n = sum((low.contains(t).cast("int") for t in terms), F.lit(0))
-    return documents.select(F.col("id").alias("document"), n.alias("n")).where("n > 0")
+def documents_by_terms(documents: DataFrame, parts: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """document and n: how many of ``terms`` each document (id, title) has in its title, its id or one of its ``parts`` (document, text); none without any."""
+    inside = parts.groupBy("document").agg(*[F.max(F.lower(F.coalesce("text", F.lit(""))).contains(t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    both = documents.withColumnRenamed("id", "document").join(inside, "document", "left")
+    low = F.lower(F.concat_ws("\n", "title", "document"))
+    n = sum(((low.contains(t) | F.coalesce(f"t{i}", F.lit(False))).cast("int") for i, t in enumerate(terms)), F.lit(0))
+    return both.select("document", n.alias("n")).where("n > 0")
 
 
 def resolve(documents: DataFrame, parts: DataFrame, terms: Sequence[str], votes: DataFrame | None = None) -> DataFrame:
-    """One row, document and via: by terms if one document leads, else by the vector majority, else by terms in titles, else the one with most sections.
+    """One row, document and via: by terms if one document leads, else by the vector majority, else the one with most terms in title or texts, else the one with most sections.
 
     ``documents`` has id and title, ``parts`` document and text, ``votes`` document and resolved. Each way is a
     row at most, and the first that has one is taken, so one plan answers.
@@ -164,7 +161,7 @@ def resolve(documents: DataFrame, parts: DataFrame, terms: Sequence[str], votes:
     if votes is not None:
         ways.append(votes.where("resolved").select("document", F.lit("vectors").alias("via")))
     if terms:
-        ways.append(documents_by_terms(documents, terms).orderBy(F.desc("n"), "document").limit(1).select("document", F.lit("title").alias("via")))
+        ways.append(documents_by_terms(documents, parts, terms).orderBy(F.desc("n"), "document").limit(1).select("document", F.lit("titles and texts").alias("via")))
     most = parts.groupBy("document").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "document").limit(1)
     ways.append(most.select("document", F.lit("sections").alias("via")))
     out = None
@@ -251,3 +248,16 @@ def res_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     parts = d.select(F.col("source").alias("document"), "text")
     return resolve(d.select(F.col("source").alias("id"), F.col("source").alias("title")).distinct(), parts, ("zzqx",))
+
+
+@registry.add("""WITH b AS (SELECT source AS document, count(*) FILTER (WHERE contains(lower(text), 'erst')) AS n0, count(*) FILTER (WHERE contains(lower(text), 'zutz')) AS n1 FROM documents GROUP BY 1),
+k AS (SELECT count(*) AS total, count(*) FILTER (WHERE n0 > 0) AS d0, count(*) FILTER (WHERE n1 > 0) AS d1 FROM b),
+s AS (SELECT document, CASE WHEN d0 > 0 THEN total / d0 ELSE 0 END * n0 + CASE WHEN d1 > 0 THEN total / d1 ELSE 0 END * n1 AS score, CAST(n0 > 0 AS INT) + CAST(n1 > 0 AS INT) AS n FROM b, k),
+t AS (SELECT document, score, lead(score) OVER (ORDER BY score DESC, document) AS second FROM s QUALIFY row_number() OVER (ORDER BY score DESC, document) = 1)
+SELECT CASE WHEN score > 0 AND score >= 1.5 * coalesce(second, 0) THEN document ELSE (SELECT document FROM s WHERE n > 0 ORDER BY n DESC, document LIMIT 1) END AS document,
+CASE WHEN score > 0 AND score >= 1.5 * coalesce(second, 0) THEN 'terms' ELSE 'titles and texts' END AS via FROM t""")
+def res_cascade_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that stand in the texts of many documents and in no title: none leads, so the one that has most of them is taken."""
+    d = table(spark, sf_dir, "documents")
+    parts = d.select(F.col("source").alias("document"), "text")
+    return resolve(d.select(F.col("source").alias("id"), F.col("source").alias("title")).distinct(), parts, ("erst", "zutz"))

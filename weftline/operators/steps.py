@@ -1,13 +1,14 @@
 """Analytics in several steps: each step is a query over tables and over the rows of the steps before it.
 
 A step's SQL names an earlier step's rows as a table, ``<id>_rows``, or asks for their values by ``$name``: the
-distinct values of the first column of that name (or of its singular) among the earlier steps. Both are parts of
+distinct values of the columns of that name (or of its singular) in all earlier steps. Both are parts of
 one plan, so nothing is gathered between steps. Data reaches later steps under plain names: dots become ``_``.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,13 +42,16 @@ def parameters(sql: str) -> list[str]:
 
 
 def bound(sql: str, done: dict[str, DataFrame], view: dict[str, str]) -> str:
-    """``sql`` with each ``$name`` as a subquery of its values, and each ``<id>_rows`` as that step's view."""
+    """``sql`` with each ``$name`` as a subquery of its values in all earlier steps, and each ``<id>_rows`` as that step's view.
+
+    Values come from the columns of that very name; only if no step has one, from those of its singular.
+    """
     for name in parameters(sql):
-        asked = [name, name.rstrip("s")]
-        source = next(((step, c) for c in asked for step, df in done.items() if c in df.columns), None)
-        if source is None and name.removesuffix("_rows") not in done:
+        sources = next((found for c in (name, name.rstrip("s")) if (found := [(view[step], c) for step, df in done.items() if c in df.columns])), [])
+        if not sources and name.removesuffix("_rows") not in done:
             raise ValueError(f"no earlier step has values of {name}")
-        value = f"(SELECT DISTINCT `{source[1]}` FROM {view[source[0]]} WHERE `{source[1]}` IS NOT NULL)" if source else view[name.removesuffix("_rows")]
+        parts = " UNION ".join(f"SELECT `{c}` FROM {v} WHERE `{c}` IS NOT NULL" for v, c in sources)  # without repeats
+        value = f"({parts})" if sources else view[name.removesuffix("_rows")]
         sql = re.sub(rf"\${name}\b", lambda _, v=value: v, sql)
     for step, name in view.items():
         sql = re.sub(rf"\b{step}_rows\b", name, sql)
@@ -55,19 +59,30 @@ def bound(sql: str, done: dict[str, DataFrame], view: dict[str, str]) -> str:
 
 
 def run(spark: SparkSession, steps: Sequence[Step], tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], str | None]:
-    """The rows of each step until one can't be planned, and what is wrong with that one."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    """The rows of each step until one can't be planned, and what is wrong with that one.
+
+    Tables and rows are known to the steps alone: they stand under names of this run only, and these go when the steps are planned.
+    """
+    own = f"w{uuid.uuid4().hex}"
     done: dict[str, DataFrame] = {}
     view: dict[str, str] = {}
-    for step in steps:
-        try:
-            found = plain_names(spark.sql(bound(step.sql, done, view)))
-        except (PySparkException, ValueError) as error:
-            return done, f"{step.id}: {error}"
-        view[step.id] = f"_{step.id}_rows"
-        found.createOrReplaceTempView(view[step.id])
-        done[step.id] = found
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(f"{own}_{name}")
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {own}_{name})" for name in tables)
+        for step in steps:
+            try:
+                sql = bound(step.sql, done, view)
+                head = re.match(r"(?i)\s*WITH\b", sql)
+                found = plain_names(spark.sql(f"WITH {named}, {sql[head.end() :]}" if head and named else f"WITH {named} {sql}" if named else sql))
+            except (PySparkException, ValueError) as error:
+                return done, f"{step.id}: {error}"
+            view[step.id] = f"{own}__{step.id}"
+            found.createOrReplaceTempView(view[step.id])
+            done[step.id] = found
+    finally:
+        for name in [*(f"{own}_{name}" for name in tables), *view.values()]:
+            spark.catalog.dropTempView(name)
     return done, None
 
 
