@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,51 +13,156 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..sources.tables import table
+from ..sources.tables import kept, table
 
 registry = Registry()
 
 #: The usual threshold of similar nodes; the generated vectors need a lower one.
 SIMILAR, SIMILAR_HERE = 0.75, 0.30
 BLOCK_ROWS = 2048
+#: Pivots at most, vectors drawn for each, and what is added to angles and taken from bounds, so that rounding loses no pair.
+PIVOTS, DRAWN, SLACK = 512, 8, 1e-6
+#: Documents from which an entity is a hot one, and parts into which it is dealt.
+HOT_ENTITY, SALTS = 20, 16
 # Pairs that a relation is sought for at most.
 CANDIDATES = 300
 #: Entities of a document, their least length, how many two documents share to be linked, and the same for the registered query.
 ENTITIES, ENTITY_LENGTH, LEAST_SHARED, LEAST_SHARED_HERE = 10, 5, 1, 4
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, best: int | None = None) -> DataFrame:
-    """a, b (a < b) and score of every pair of unit-scaled vectors with cosine at or above ``threshold``.
+def _unit(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    x = np.array(pc.list_flatten(t.column("vector")).to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)  # a copy, as it is scaled in place
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
+    return x
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """``most`` rows of ``x``, each the farthest from those before it."""
+    chosen, nearest = [0], _angles(x, x[:1])[:, 0]
+    while len(chosen) < most:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _angles(x, x[chosen[-1] :][:1])[:, 0])
+    return x[chosen]
 
-    With ``best``, a pair of blocks gives out only its ``best`` pairs and those that tie with the last of them,
-    enough for that many overall.
 
-    Exact all-pairs work in blocks: each row goes once to every pair of blocks that holds its
-    own, and a task multiplies two blocks. ``vectors`` has id and vector.
+@dataclass(frozen=True)
+class Cells:
+    """Vectors by their nearest pivot: ``members`` (id, vector, cell, block), the pivots, and for each cell its radius and its number of blocks."""
+
+    members: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    blocks: np.ndarray
+
+
+def cells(vectors: DataFrame, block_rows: int = BLOCK_ROWS, store: Callable[[DataFrame], DataFrame] = kept) -> Cells:
+    """Each vector with the pivot at the smallest angle.
+
+    Pivots are PIVOTS vectors, or as many as the root of all, each the farthest from those before it among DRAWN times as many whose ids hash lowest.
+    """
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    n = rows.count()
+    most = min(PIVOTS, max(1, math.isqrt(n)))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(DRAWN * most).select("vector").toArrow()
+    pivots = _spread(_unit(drawn), most) if drawn.num_rows else np.zeros((1, 1))
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                angles = _angles(_unit(t), shared.value)
+                cell = angles.argmin(axis=1)
+                names = ["id", "vector", "cell", "angle"]
+                yield pa.RecordBatch.from_arrays([t.column("id"), t.column("vector"), pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell])], names=names)
+
+    assigned = store(rows.mapInArrow(assign, "id long, vector array<double>, cell int, angle double"))
+    radius, blocks = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
+    for r in assigned.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # a row for each pivot
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], -(-r["n"] // block_rows)
+    of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
+    return Cells(assigned.withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int")).drop("angle"), pivots, radius, blocks)
+
+
+def visits(c: Cells, threshold: float, own: bool = False) -> DataFrame:
+    """id, vector, cell and block of every block that a vector must meet: those of its own cell from its own block on, and of later cells that may hold a match.
+
+    A cell whose pivot is farther from the vector than its radius and the angle of ``threshold`` together can't hold one. ``own``: only the own cell.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), mine.alias("mine"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    reach = math.pi if threshold <= 0 else math.acos(min(1.0, threshold)) + SLACK
+    shared = c.members.sparkSession.sparkContext.broadcast((c.pivots, c.radius, c.blocks))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radius, blocks = shared.value
+        for t in batches:
+            if not t.num_rows:
+                continue
+            cell, block = t.column("cell").to_numpy(), t.column("block").to_numpy()
+            row, to = np.nonzero((_angles(_unit(t), pivots) <= radius + reach) & (np.arange(len(radius)) > cell[:, None]))
+            if own:
+                row, to = row[:0], to[:0]
+            row, to = np.concatenate([row, np.arange(len(cell))]), np.concatenate([to, cell])
+            first = np.where(to == cell[row], block[row], 0)
+            times = blocks[to] - first
+            at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            row, to = np.repeat(row, times), np.repeat(to, times)
+            taken = t.take(pa.array(row))
+            arrays = [taken.column("id"), taken.column("vector"), pa.array(to.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array((to == cell[row]) & (at == block[row]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "vector", "cell", "block", "resident"])
+
+    return c.members.mapInArrow(go, "id long, vector array<double>, cell int, block int, resident boolean")
+
+
+def pair_work(c: Cells, threshold: float) -> int:
+    """How many pairs ``similar_pairs`` multiplies at this threshold."""
+    met = visits(c, threshold).groupBy("cell", "block").agg(F.count_if("resident").alias("r"), F.count_if(~F.col("resident")).alias("v"))
+    return met.agg(F.sum(F.col("r") * (F.col("r") - 1) / 2 + F.col("r") * F.col("v"))).first()[0] or 0
+
+
+def _multiplied(c: Cells, threshold: float, block_rows: int, best: int | None, own: bool) -> DataFrame:
+    sent = visits(c, threshold, own)
+    sizes = sent.where("NOT resident").groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
+    parted = sent.join(sizes, ["cell", "block"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # Residents go to every chunk of their visitors, and meet each other in the first.
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    chunk = F.explode(F.when(F.col("resident"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))))
 
     def multiply(t: pa.Table) -> pa.Table:
-        ids, mine = t.column("id").to_numpy(), t.column("mine").to_numpy()
-        x = np.array(pc.list_flatten(t.column("vector")).to_numpy()).reshape(len(ids), -1)  # a copy, as it is scaled in place
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        score = x[left] @ x[right].T
-        r, c = np.nonzero(score >= threshold)
-        a, b, s = ids[left][r], ids[right][c], score[r, c]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[keep]
+        ids, home, x = t.column("id").to_numpy(), t.column("resident").to_numpy(zero_copy_only=False), _unit(t)
+        out = []
+        for left in (np.flatnonzero(~home), *([np.flatnonzero(home)] if t.column("chunk")[0].as_py() == 0 else [])):
+            right = np.flatnonzero(home)
+            score = x[left] @ x[right].T
+            r, k = np.nonzero(score >= threshold)
+            a, b, s = ids[left][r], ids[right][k], score[r, k]
+            keep = (a < b) if len(left) and home[left[0]] else a != b
+            out.append((a[keep], b[keep], s[keep]))
+        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
         if best is not None and len(s) > best:
             keep = s >= np.partition(s, len(s) - best)[len(s) - best]
             a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
 
-    return keyed.groupBy("i", "j").applyInArrow(multiply, "a long, b long, score double")
+    return parted.withColumn("chunk", chunk).drop("chunks").groupBy("cell", "block", "chunk").applyInArrow(multiply, "a long, b long, score double")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, best: int | None = None) -> DataFrame:
+    """a, b (a < b) and score of every pair of unit-scaled vectors with cosine at or above ``threshold``; ``vectors`` has id and vector.
+
+    Exact: vectors lie in cells around pivots, and by the triangle inequality of angles a vector meets only the cells that can hold a match.
+    A task multiplies a block of a cell with as many visitors at most. With ``best``, each task gives out only its ``best`` pairs
+    and those that tie with the last of them, enough for that many overall; the pairs within cells come first, and the last of their ``best``
+    is a bound below which the other cells needn't look.
+    """
+    c = cells(vectors, block_rows)
+    if best is not None:
+        near = _multiplied(c, threshold, block_rows, best, own=True).orderBy(F.desc("score")).limit(best).agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+        if near["n"] == best:
+            threshold = max(threshold, near["s"] - SLACK)
+    return _multiplied(c, threshold, block_rows, best, own=False)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +235,23 @@ def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     return found.select("a", "b", F.size("shared").cast("long").alias("weight"), "shared")
 
 
+def entity_edges(ents: DataFrame, hot: int = HOT_ENTITY) -> DataFrame:
+    """Who shares an entity with whom, whole and without the square of a hot one: a, b, kind, shared (entities in alphabetical order) and links.
+
+    Documents with a rarer entity in common are a pair (a < b; ``links`` is 1). An entity of more than ``hot`` documents is a class: a row for each
+    of its members b with the representative a, its smallest document, and ``links``, with how many others the entity alone links the member.
+    Entities meet their counts in SALTS parts, so no task gets a hot one whole.
+    """
+    df = ents.groupBy("entity").agg(F.count("*").alias("df"), F.min("doc_id").alias("first"))
+    salted = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = ents.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "salt"])
+    members = known.where(F.col("df") > hot).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit("member").alias("kind"), F.array("entity").alias("shared"), (F.col("df") - 1).alias("links"))
+    light = known.where(F.col("df") <= hot)
+    left, right = light.select(F.col("doc_id").alias("a"), "entity"), light.select(F.col("doc_id").alias("b"), "entity")
+    pairs = left.join(right, "entity").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_list("entity")).alias("shared"))
+    return pairs.select("a", "b", F.lit("pair").alias("kind"), "shared", F.lit(1).cast("long").alias("links")).unionByName(members)
+
+
 def entity_links(ents: DataFrame) -> DataFrame:
     """entity, documents and links: how many links of one shared entity each entity alone makes, without making them."""
     n = F.count("*")
@@ -150,3 +276,12 @@ def sem_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("""WITH f AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY 1) SELECT first AS a, vec_id AS b, e.label AS category FROM embeddings e JOIN f ON e.label = f.label WHERE vec_id <> first""")
 def sem_category_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_edges(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("category")))
+
+
+@registry.add(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]{{5,}}')) AS entity FROM documents), c AS (SELECT doc_id, entity, count(*) AS n FROM w GROUP BY 1, 2),
+e AS (SELECT doc_id, entity FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) <= 10), f AS (SELECT *, count(*) OVER v AS df, min(doc_id) OVER v AS first FROM e WINDOW v AS (PARTITION BY entity))
+SELECT x.doc_id AS a, y.doc_id AS b, 'pair' AS kind, string_agg(entity, ',' ORDER BY entity) AS shared, 1 AS links FROM f x JOIN f y USING (entity) WHERE x.doc_id < y.doc_id AND x.df <= {HOT_ENTITY} GROUP BY 1, 2
+UNION ALL SELECT first, doc_id, 'member', entity, df - 1 FROM f WHERE df > {HOT_ENTITY}""")
+def sem_entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares one entity or more with another."""
+    return entity_edges(entities(table(spark, sf_dir, "documents"))).withColumn("shared", F.array_join("shared", ","))
