@@ -106,13 +106,17 @@ def usage(events: DataFrame) -> DataFrame:
 _PREVIOUS = "(SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations)"
 
 
-@registry.add(f"""WITH p AS (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS q, string_split(coalesce(previous, ''), chr(10)) AS t FROM {_PREVIOUS} WHERE role = 'user'),
-m AS (SELECT conv_id, turn, q, nullif(coalesce(list_position(list_transform(t, lambda x: length(trim(x)) >= 3 AND (contains(q, lower(trim(x))) OR contains(lower(trim(x)), q))), true), 0), 0) AS k FROM p)
-SELECT conv_id, turn, CASE WHEN q <> '' AND length(q) < 100 THEN CAST(k AS INT) END AS child FROM m""")
+@registry.add(f"""WITH r AS (SELECT *, string_split(coalesce(previous, ''), chr(10)) AS t FROM {_PREVIOUS} WHERE role = 'user'),
+p AS (SELECT conv_id, turn, t, lower(trim(coalesce(CASE (conv_id + turn) % 4 WHEN 0 THEN CAST(conv_id % 5 AS VARCHAR) WHEN 1 THEN substr(t[2], 1, 20) WHEN 2 THEN '#2' ELSE text END, text, ''))) AS q FROM r),
+m AS (SELECT *, TRY_CAST(regexp_extract(q, '{CHILD_ORDINAL}', 1) AS INT) AS n, nullif(coalesce(list_position(list_transform(t, lambda x: length(trim(x)) >= {TITLE_CHARS} AND (contains(q, lower(trim(x))) OR contains(lower(trim(x)), q))), true), 0), 0) AS k FROM p)
+SELECT conv_id, turn, CASE WHEN n BETWEEN 1 AND len(t) THEN n WHEN q <> '' AND length(q) < 100 THEN CAST(k AS INT) END AS child FROM m""")
 def conversation_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which line of the answer before each question is about."""
+    """Which line of the answer before is meant by a user who replies with a number, with the start of the second line, or with their own words."""
+    lines, turn = F.split(F.coalesce("previous", F.lit("")), "\n"), (F.col("conv_id") + F.col("turn")) % 4
     c = with_previous(table(spark, sf_dir, "conversations")).where("role = 'user'")
-    return c.select("conv_id", "turn", child_of(F.col("text"), F.split(F.coalesce("previous", F.lit("")), "\n")).alias("child"))
+    start = F.substring(F.get(lines, F.lit(1)), 1, 20)
+    reply = F.coalesce(F.when(turn == 0, (F.col("conv_id") % 5).cast("string")).when(turn == 1, start).when(turn == 2, "#2").otherwise(F.col("text")), "text", F.lit(""))
+    return c.select("conv_id", "turn", child_of(reply, lines).alias("child"))
 
 
 _OPTIONS = "[['order_total', 'order total (recommended)', 'total', 'order total', 'line item total', 'sum items', 'items total'], ['freight', 'freight / shipping cost', 'freight', 'shipping', 'shipping cost', 'ship cost'], ['unit_price', 'average unit price', 'unit price', 'unitprice', 'item price']]"

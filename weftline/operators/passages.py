@@ -14,7 +14,7 @@ from ..functions import intent, questions
 from ..functions import text as X
 from ..plans.registry import Registry
 from ..sources.tables import table
-from .feedback import _BOX_RX, _FLAG, _rx, _turns, _TURNS
+from .feedback import _BOX_RX, _FLAG, _NAMES_PAGE, _rx, _turns, _TURNS
 from .retrieval import resolve_by_terms
 from .structure import _BLOCKS, paged_blocks
 
@@ -214,7 +214,7 @@ _SUB = f"({_rx(intent.SUBSECTION_CUE)} AND regexp_matches(question, '{intent.SEC
 
 
 @registry.add(f"""SELECT conv_id, turn, CASE WHEN {_rx(intent.BOX_LIST_CUE)} THEN 'structural_box_list' WHEN {_BOX_RX} THEN 'structural_box_content' WHEN {_SUB} THEN 'subsection_tree' WHEN {_FLAG['toc']} THEN 'structural_toc'
-WHEN {_FLAG['visual_page']} AND ({_FLAG['page']}) THEN 'structural_page_visual' WHEN {_FLAG['page']} AND NOT {_rx(intent.PAGE)} THEN 'structural_page' ELSE 'graph_rag' END AS mode FROM {_TURNS}""")
+WHEN {_FLAG['visual_page']} AND {_NAMES_PAGE} THEN 'structural_page_visual' WHEN {_NAMES_PAGE} THEN 'structural_page' ELSE 'graph_rag' END AS mode FROM {_TURNS}""")
 def conversation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", mode(F.col("question")).alias("mode"))
 

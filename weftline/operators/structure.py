@@ -53,14 +53,23 @@ def doc_heading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL = " , ".join(
     f"CASE WHEN length(regexp_extract(s, '{p}', 1)) BETWEEN 1 AND 12 THEN regexp_extract(s, '{p}', 1) END" for p in X.PAGE_LABELS
 )
-_LABELLED = rf"""WITH l AS (SELECT doc_id, {_LINES.format('text')} AS ls FROM documents),
+# Every document with a last line that may be a printed page label: a number, a Roman one, a page's name, or none.
+_FOOTED = "CASE doc_id % 5 WHEN 0 THEN concat(doc_id % 300, '') WHEN 1 THEN element_at(array('i', 'iv', 'ix', 'xiv'), CAST(doc_id % 4 + 1 AS INT)) WHEN 2 THEN concat('Page ', doc_id) WHEN 3 THEN '- 17 -' ELSE lang END"
+_FOOTED_SQL = _FOOTED.replace("element_at(array('i', 'iv', 'ix', 'xiv'), CAST(doc_id % 4 + 1 AS INT))", "['i', 'iv', 'ix', 'xiv'][doc_id % 4 + 1]")
+
+
+def _footed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), F.expr(_FOOTED)).alias("text"))
+
+
+_LABELLED = rf"""WITH f AS (SELECT doc_id, text || chr(10) || {_FOOTED_SQL} AS text FROM documents), l AS (SELECT doc_id, {_LINES.format('text')} AS ls FROM f),
 c AS (SELECT doc_id, ls[greatest(1, len(ls) - 3):len(ls)] || ls[1:2] AS cs FROM l),
 p AS (SELECT doc_id, list_filter(list_transform(cs, lambda s: coalesce({_LABEL})), lambda x: x IS NOT NULL)[1] AS label FROM c)"""
 
 
 @registry.add(_LABELLED + " SELECT doc_id, label FROM p")
 def doc_page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.page_label(F.col("text")).alias("label"))
+    return _footed(spark, sf_dir).select("doc_id", X.page_label(F.col("text")).alias("label"))
 
 
 _ROMANS = "[" + ", ".join(f"'{r}'" for r in X.ROMAN) + "]"
@@ -71,11 +80,16 @@ nullif(coalesce(list_position({_ROMANS}, lower(label)), 0), 0) AS r FROM p)
 SELECT doc_id, concat_ws(',', 'pdf:' || p, 'pdf-page:' || p, 'doc:' || label, 'document-page:' || label, CASE WHEN d THEN 'doc-num:' || label END,
 CASE WHEN r IS NOT NULL THEN 'doc-roman:' || low END, 'doc-num:' || r, CASE WHEN label IS NOT NULL THEN CASE WHEN d AND label = p THEN 'pdf-doc-same' ELSE 'pdf-doc-differ' END END) AS tags FROM t""")
 def doc_page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = table(spark, sf_dir, "documents").select("doc_id", X.page_label(F.col("text")).alias("label"))
+    labelled = _footed(spark, sf_dir).select("doc_id", X.page_label(F.col("text")).alias("label"))
     return labelled.select("doc_id", F.array_join(X.page_tags(F.col("doc_id"), F.col("label")), ",").alias("tags"))
 
 
-_REGIONS = "(VALUES (1, 'table', 3, 'Table A6 results'), (2, 'figure', 4, 'Figure 2.1 and Table 7'), (3, 'table', 9, 'No number')) AS v(id, kind, page, title)"
+#: A region for each document: a table or a figure, with a title that may name others.
+_REGION = {
+    "id": "doc_id", "kind": "CASE WHEN doc_id % 3 = 1 THEN 'figure' ELSE 'table' END", "page": "doc_id % 50 + 1", "index": "doc_id % 4 + 1",
+    "title": "CASE doc_id % 3 WHEN 0 THEN concat('Table A', doc_id % 9, ' ', source) WHEN 1 THEN concat('Figure 2.', doc_id % 5, ' and Table ', doc_id % 7) ELSE concat(lang, ' without a number') END",
+}
+_REGIONS = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in _REGION.items()) + " FROM documents)"
 
 
 _REGION_SQL = r"""concat_ws(',', 'kind:' || kind, 'pdf:' || page, 'region:' || page || ':' || index,
@@ -84,13 +98,26 @@ nullif(array_to_string(list_transform(regexp_extract_all(lower(title), '\bfigure
 CASE WHEN kind = 'table' AND NOT regexp_matches(lower(title), '\btable\s+([a-z]?\d+(?:\.\d+)?)\b') THEN 'table,table:' || index END, CASE WHEN kind = 'figure' THEN 'figure,figure:' || index END)"""
 
 
-@registry.add(f"SELECT id, {_REGION_SQL} AS tags FROM (SELECT *, 1 AS index FROM {_REGIONS})")
+@registry.add(f"SELECT id, {_REGION_SQL} AS tags FROM {_REGIONS}")
 def doc_region_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = spark.sql(f"SELECT * FROM {_REGIONS}")
-    return regions.select("id", F.array_join(X.region_tags(F.col("kind"), F.col("title"), F.col("page"), F.lit(1)), ",").alias("tags"))
+    regions = table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _REGION.items()])
+    return regions.select("id", F.array_join(X.region_tags(F.col("kind"), F.col("title"), F.col("page"), F.col("index")), ",").alias("tags"))
+
+
+#: Ten documents in a row as the sections of a book: a part, eight of its subsections and an orphan, whose bodies refer to each other by number, name or place.
+_TITLE = {
+    "book": "doc_id - doc_id % 10", "id": "doc_id",
+    "title": "CASE doc_id % 10 WHEN 0 THEN concat('2 Part ', source) WHEN 9 THEN '4.5 Orphan' ELSE concat('2.', doc_id % 10, ' Topic ', lang, doc_id % 10) END",
+    "body": "CASE doc_id % 5 WHEN 0 THEN concat('as shown in Section 2.', doc_id * 7 % 9, ' below') WHEN 1 THEN concat('see Section 2.', doc_id * 3 % 8 + 1, ' and Chapter 2') "
+    "WHEN 2 THEN concat('described in Section ', doc_id * 3 % 12 + 1, ' and Section 4.5') WHEN 3 THEN concat('see Section 2.', doc_id % 10) ELSE source END",
+}
+_TITLES = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in _TITLE.items()) + " FROM documents)"
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _TITLE.items()])
 
 
-_TITLES = "(VALUES (1, '2 Methods', 'intro'), (2, '2.1 Data', 'as shown in Section 2.2 below'), (3, '2.2 Models', 'see Section 2.1 and Chapter 2'), (4, '4.5 Orphan', 'none')) AS v(id, title, body)"
 _NUMBER = r"nullif(rtrim(regexp_extract(title, '^(\d+(?:\.\d+)*\.?)\s+(.+)$', 1), '.'), '')"
 
 
@@ -168,21 +195,22 @@ def document_region_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MENTION = X.REFERENCE.replace(r"[\w\d\.]+", r"[\p{L}\p{N}_.]+")
 
 
-@registry.add(rf"""WITH s AS (SELECT *, {_NUMBER} AS number, row_number() OVER (ORDER BY id) AS place FROM {_TITLES}),
-m AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(body, '(?i){_MENTION}')) AS mention FROM s),
-n AS (SELECT source, mention, t.id AS target FROM m LEFT JOIN s t ON t.number = regexp_extract(mention, '(\d+(?:\.\d+)*)', 1)),
-k AS (SELECT lower(regexp_replace(trim(title), '\s+', ' ', 'g')) AS key, id, place FROM s UNION ALL SELECT 'section ' || place, id, place FROM s),
-q AS (SELECT key, max(id) AS target, min(place) AS place FROM k WHERE key <> '' GROUP BY 1)
-SELECT source, target, mention FROM n WHERE target <> source UNION ALL
-SELECT source, arg_min(q.target, (q.place, key)) AS target, mention FROM n JOIN q ON contains(lower(mention), key) AND q.target <> source WHERE n.target IS NULL OR n.target = source GROUP BY 1, 3""")
+@registry.add(rf"""WITH s AS (SELECT *, {_NUMBER} AS number, row_number() OVER (PARTITION BY book ORDER BY id) AS place FROM {_TITLES}),
+m AS (SELECT DISTINCT book, id AS source, unnest(regexp_extract_all(body, '(?i){_MENTION}')) AS mention FROM s),
+n AS (SELECT book, source, mention, max(t.id) AS target FROM m LEFT JOIN s t USING (book) WHERE true GROUP BY 1, 2, 3, regexp_extract(mention, '(\d+(?:\.\d+)*)', 1), t.number HAVING t.number = regexp_extract(mention, '(\d+(?:\.\d+)*)', 1)),
+k AS (SELECT book, lower(regexp_replace(trim(title), '\s+', ' ', 'g')) AS key, id, place FROM s UNION ALL SELECT book, 'section ' || place, id, place FROM s),
+q AS (SELECT book, key, max(id) AS target, min(place) AS place FROM k WHERE key <> '' GROUP BY 1, 2),
+u AS (SELECT m.book, m.source, m.mention, n.target FROM m LEFT JOIN n ON n.book = m.book AND n.source = m.source AND n.mention = m.mention)
+SELECT book, source, target, mention FROM u WHERE target <> source UNION ALL
+SELECT u.book, source, arg_min(q.target, (q.place, key)) AS target, mention FROM u JOIN q ON q.book = u.book AND contains(lower(mention), key) AND q.target <> source WHERE u.target IS NULL OR u.target = source GROUP BY 1, 2, 4""")
 def doc_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_edges(spark.sql(f"SELECT * FROM {_TITLES}"))
+    return reference_edges(_books(spark, sf_dir), ("book",))
 
 
-@registry.add(rf"""WITH s AS (SELECT id, {_NUMBER} AS number FROM {_TITLES})
-SELECT p.id AS parent, c.id AS child FROM s c JOIN s p ON p.number = regexp_replace(c.number, '\.[^.]+$', '') WHERE c.number LIKE '%.%'""")
+@registry.add(rf"""WITH s AS (SELECT book, id, {_NUMBER} AS number FROM {_TITLES})
+SELECT p.book, p.id AS parent, c.id AS child FROM s c JOIN s p ON p.book = c.book AND p.number = regexp_replace(c.number, '\.[^.]+$', '') WHERE c.number LIKE '%.%'""")
 def doc_number_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_hierarchy(spark.sql(f"SELECT * FROM {_TITLES}"))
+    return number_hierarchy(_books(spark, sf_dir), ("book",))
 
 
 def merged_numbers(blocks: DataFrame) -> DataFrame:
@@ -295,12 +323,14 @@ def doc_tree_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCK_LINES = "(SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
-@registry.add(rf"""WITH b AS (SELECT *, regexp_full_match(trim(text), '\d+(\.\d+)*\.?\s*') AS alone FROM {_BLOCK_LINES}),
+@registry.add(rf"""WITH b0 AS (SELECT doc, pos, CASE WHEN pos % 5 IN (1, 2) AND doc % 3 > 0 THEN pos || '.' || doc % 7 || '.' ELSE text END AS text FROM {_BLOCK_LINES}), b AS (SELECT *, regexp_full_match(trim(text), '\d+(\.\d+)*\.?\s*') AS alone FROM b0),
 l AS (SELECT *, lag(CASE WHEN alone THEN rtrim(text, '.') END) OVER (PARTITION BY doc ORDER BY pos) AS number FROM b)
 SELECT doc, count(*) AS blocks, count(number) AS merged, CAST(sum(length(text) + coalesce(length(number) + 1, 0)) AS BIGINT) AS chars FROM l WHERE NOT alone GROUP BY 1""")
 def doc_merged_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    blocks = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("before", F.length("text"))
+    blocks = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    number = F.concat("pos", F.lit("."), F.col("doc") % 7, F.lit("."))  # of two such lines in a row the last one counts
+    blocks = blocks.withColumn("text", F.when((F.col("pos") % 5).isin(1, 2) & (F.col("doc") % 3 > 0), number).otherwise(F.col("text"))).withColumn("before", F.length("text"))
     merged = merged_numbers(blocks)
     return merged.groupBy("doc").agg(
         F.count("*").alias("blocks"), F.count_if(F.length("text") > F.col("before")).alias("merged"), F.sum(F.length("text")).cast("long").alias("chars")
