@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..sources.tables import table
+from ..sources.tables import kept, numbered, table
 
 registry = Registry()
 
 #: Levels that a containment search follows at most, and the edge types that expansion follows.
 MOST_LEVELS = 6
+#: Rounds after which pointers that still go up mean a cycle, and bits of an entry.
+MOST_ROUNDS, BITS = 40, 40
 # Edge types that expansion traverses.
 TRAVERSED = ("CONTAINS", "PART_OF", "PRECEDES", "FOLLOWS", "REFERENCES", "SEMANTICALLY_SIMILAR", "SHARES_ENTITY", "SAME_CATEGORY", "EXPLAINS")
 DEFAULT_WEIGHT = 0.75
@@ -72,6 +74,55 @@ def closure(edge: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     return found
 
 
+def containment_index(edge: DataFrame) -> DataFrame:
+    """id, parent, depth, entry and exit of every node of the forest that ``edge`` (source, target, place) makes, written.
+
+    Nodes are numbered from 0 in preorder, siblings by place, then id; the descendants of a node are those with an entry after its own up to its exit.
+    Ancestors are found by pointer doubling: each round doubles the steps that a pointer spans, for paths downward and for
+    the last entry upward, so a forest of depth d takes log2(d) rounds, whatever its shape. A node with several parents lies below the
+    smallest; a cycle is an error.
+    """
+    parents = edge.where("source IS NOT NULL AND target IS NOT NULL").groupBy(F.col("target").alias("id")).agg(F.min(F.struct("source", "place")).alias("p"))
+    roots = edge.select(F.col("source").alias("id")).where("id IS NOT NULL").distinct().join(parents.select("id"), "id", "left_anti")
+    own = lambda place: F.array(F.struct(place.alias("place"), F.col("id").alias("id")))
+    kind = edge.schema["place"].dataType.simpleString()
+    rows = parents.select("id", F.col("p.source").alias("parent"), own(F.col("p.place")).alias("path"))
+    rows = rows.unionByName(roots.select("id", F.lit(None).cast(edge.schema["source"].dataType).alias("parent"), own(F.lit(None).cast(kind)).alias("path")))
+    rows = kept(rows.select("id", "parent", F.col("parent").alias("above"), "path"))
+    jumps = []
+    while rows.where("above IS NOT NULL").limit(1).count():
+        if len(jumps) > MOST_ROUNDS:
+            raise ValueError("the containment edges have a cycle")
+        jumps.append(rows.select("id", "above"))
+        up = rows.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("path").alias("_path"))
+        longer = F.when(F.col("_id").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        rows = kept(rows.join(up, rows["above"] == up["_id"], "left").select("id", "parent", F.col("_above").alias("above"), longer.alias("path")))
+    found = numbered(rows.select("id", "parent", "path"), ["path"], "entry").select("id", "parent", (F.size("path") - 1).alias("depth"), "entry", F.col("entry").alias("exit"))
+    for jump in jumps:
+        below = found.join(jump.where("above IS NOT NULL"), "id").groupBy(F.col("above").alias("_id")).agg(F.max("exit").alias("_exit"))
+        found = kept(found.join(below, found["id"] == below["_id"], "left").select("id", "parent", "depth", "entry", F.greatest("exit", "_exit").alias("exit")))
+    return found
+
+
+def descendants(index: DataFrame, most: int | None = None) -> DataFrame:
+    """ancestor, descendant and depth (levels between them, up to ``most``) from ``containment_index``, by one join.
+
+    An interval of entries is cut into aligned runs of a power of two, of which each entry is in one, so equal runs meet and nothing else does.
+    """
+    inner = index.where("exit > entry").select(F.col("id").alias("ancestor"), F.col("depth").alias("_d"), (F.col("entry") + 1).alias("_lo"), (F.col("exit") + 1).alias("_hi"))
+    levels = range(BITS)
+    bit = lambda c, k: F.shiftright(F.col(c), k)
+    # At each level the run at the lower end is taken if the bounds, rounded inward so far, leave it alone there; so for the upper end.
+    low = lambda k: F.shiftright(F.col("_lo") + ((1 << k) - 1), k)
+    parts = [F.when((low(k) < bit("_hi", k)) & (low(k) % 2 == 1), F.struct(F.lit(k).alias("level"), low(k).alias("run"))) for k in levels]
+    parts += [F.when((low(k) < bit("_hi", k)) & (bit("_hi", k) % 2 == 1) & ((low(k) % 2 == 0) | (low(k) + 1 < bit("_hi", k))), F.struct(F.lit(k).alias("level"), (bit("_hi", k) - 1).alias("run"))) for k in levels]
+    cut = inner.select("ancestor", "_d", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("ancestor", "_d", "p.level", "p.run")
+    used = cut.select("level").distinct()  # a row for each power of two
+    each = index.crossJoin(F.broadcast(used)).select(F.col("id").alias("descendant"), F.col("depth").alias("_e"), "level", F.expr("shiftright(entry, level)").alias("run"))
+    found = cut.join(each, ["level", "run"]).select("ancestor", "descendant", (F.col("_e") - F.col("_d")).alias("depth"))
+    return found if most is None else found.where(F.col("depth") <= most)
+
+
 def with_inverse(edge: DataFrame) -> DataFrame:
     """Edges in both directions, for walks that don't mind direction."""
     return edge.select("edge_id", "source", "target", "rel_type", "weight").union(edge.select("edge_id", "target", "source", "rel_type", "weight"))
@@ -133,7 +184,20 @@ def graph_degree_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT ancestor, target, depth + 1 FROM c JOIN {_CONTAINS} e ON e.source = descendant WHERE depth < 6)
 SELECT ancestor, depth, count(*) AS descendants FROM c GROUP BY 1, 2""")
 def graph_containment_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure(contains(spark, sf_dir)).groupBy("ancestor", "depth").agg(F.count("*").alias("descendants"))
+    index = containment_index(contains(spark, sf_dir).withColumn("place", F.lit(0)))
+    return descendants(index, MOST_LEVELS).groupBy("ancestor", "depth").agg(F.count("*").alias("descendants"))
+
+
+@registry.add(f"""WITH RECURSIVE e AS (SELECT source, target, CAST(coalesce(nullif(regexp_extract(target, '_section_(\\d+)$', 1), ''), '0') AS BIGINT) AS place FROM {_CONTAINS}),
+t AS (SELECT DISTINCT source AS id, CAST(NULL AS VARCHAR) AS parent, [lpad('0', 12, '0') || source] AS path FROM e WHERE source NOT IN (SELECT target FROM e)
+UNION ALL SELECT target, t.id, list_append(path, lpad(CAST(place AS VARCHAR), 12, '0') || target) FROM t JOIN e ON e.source = t.id),
+n AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS entry FROM t)
+SELECT id, parent, len(path) - 1 AS depth, entry, entry + (SELECT count(*) FROM {_CONTAINS} c JOIN {_CONTAINS} d ON d.source = c.target WHERE c.source = n.id) + (SELECT count(*) FROM {_CONTAINS} c WHERE c.source = n.id) AS exit FROM n""")
+def graph_containment_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry and exit of every source, document and section; sections go by their line."""
+    edge = contains(spark, sf_dir)
+    place = F.coalesce(F.nullif(F.regexp_extract("target", r"_section_(\d+)$", 1), F.lit("")), F.lit("0")).cast("long")
+    return containment_index(edge.withColumn("place", place))
 
 
 # A graph of parts and customers that orders connect: weights are numbers of orders.

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with a gapless long from 0 in this order: sorted by range and numbered in each partition, so no task holds all rows."""
+    stored = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = stored.withColumn("_part", F.shiftright("_at", 33))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    firsts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
+    within = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(firsts), "_part").select(*df.columns, (F.col("_first") + within).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores, for heavy work on a table of few splits; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
