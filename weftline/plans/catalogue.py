@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import access, analytics, answers, conversation, feedback, graph, loading, pages, passages, presentation, retrieval, semantic, steps, structure, versions
+from ..operators import access, analytics, answers, conversation, feedback, graph, loading, pages, passages, presentation, retrieval, semantic, steps, stored_graph, structure, versions
 from ..streaming import feedback as stream_feedback
 from ..streaming import windows
 from .registry import Query
 
-_MODULES = [analytics, graph, structure, pages, passages, semantic, retrieval, answers, versions, access, feedback, conversation, steps, presentation, loading, windows, stream_feedback]
+_MODULES = [analytics, graph, stored_graph, structure, pages, passages, semantic, retrieval, answers, versions, access, feedback, conversation, steps, presentation, loading, windows, stream_feedback]
 
 
 def queries() -> dict[str, Query]:
