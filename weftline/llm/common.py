@@ -130,6 +130,12 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(firsts), part).select(*df.columns, (F.col(first) + within).alias(name))
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if fewer have rows: heavy work on a table of few splits uses all of them. Others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.select(F.spark_partition_id().alias("p")).distinct().count() < cores else df
+
+
 def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for a broadcast if its counted ``rows`` allow it; else left to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

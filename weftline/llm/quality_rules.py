@@ -222,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every document."""
+    """doc_id, the counts, base_failed and kept of every document; a table of fewer splits than cores is dealt out first."""
     repeated = 100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
-    judged = tested(statistics(docs)).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | repeated)
+    judged = tested(statistics(common.dealt_out(docs))).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | repeated)
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
