@@ -158,13 +158,17 @@ class _Cache(dict):
 
     def __missing__(self, word: str) -> bytes:
         found = self.ids_of(word)
-        if len(word) <= CACHED_CHARS and (word[-1:] not in END_MARKS or len(word) == 1):
+        if word[-1:] not in END_MARKS or len(word) == 1:
+            self.keep(word, found)
+        return found
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 newer = dict(islice(self.items(), CACHE_ENTRIES // 2, None))
                 self.clear()
                 self.update(newer)
-            self[word] = found
-        return found
+            self[word] = ids
 
 
 def byte_characters() -> str:
@@ -235,15 +239,24 @@ class LibraryEncoder:
         return self._joined(self.find(text))
 
     def _distinct(self, words: list[str]) -> list[bytes]:
-        """The ids of each of these words after a space."""
-        known, marks = self.after_space, self.pieces
-        found = list(map(known.get, words))
+        """The ids of each of these words after a space; one of letters, with or without a mark at its end, is worked out here at once."""
+        known, marks, tokenize, pack, lead, table = self.after_space, self.pieces, self.tokenize, self.pack, self.characters[32], self.characters
+        get, keep, sizes = known.get, known.keep, len(self.pack)
+        found = list(map(get, words))
         for i in [i for i, ids in enumerate(found) if ids is None]:
-            word = words[i]
-            if word[-1:] in END_MARKS and word[:-1].isalpha():
-                found[i] = known[word[:-1]] + marks[word[-1]]
-            else:
-                found[i] = known[word]
+            word, mark = words[i], b""
+            if not word.isalpha():
+                if word[-1:] not in END_MARKS or not word[:-1].isalpha():
+                    found[i] = known[word]
+                    continue
+                word, mark = word[:-1], marks[word[-1]]
+                if (ids := get(word)) is not None:
+                    found[i] = ids + mark
+                    continue
+            ids = [t.id for t in tokenize(lead + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(table))]
+            ids = pack[len(ids)](*ids) if len(ids) < sizes else array(self.code, ids).tobytes()
+            keep(word, ids)
+            found[i] = ids + mark
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
