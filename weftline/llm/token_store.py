@@ -39,7 +39,7 @@ CACHE_ENTRIES, CACHED_CHARS = 800_000, 48
 #: Marks that make a pre-token of their own after a word.
 END_MARKS = frozenset(".,;:!?)")
 #: Bytes of texts that are encoded at a time, one text at least; documents that are read back at a time.
-CHUNK_BYTES, CHUNK = 4 << 20, 200
+CHUNK_BYTES, CHUNK = 8 << 20, 200
 
 
 class Wavelet:
