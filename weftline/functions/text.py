@@ -30,7 +30,7 @@ TOC_HEADING = r"(?im)(?:^|\n)\s*(?:table\s+of\s+contents?|contents)\s*(?:\n|$)"
 TOC_LINE = r"(?:\.{2,}|…+|\s\.\s)\s*\d{1,4}\s*$|\s+\d{1,4}\s*$"
 PAGE_NUMBER_LINE = r"(?i)^(?:\d{1,4}|[ivxlcdm]{1,6})$"
 PAGE_LABELS = (
-    r"(?i)(?:^|\s)(?:page|p\.?|pg\.?)\s*[:.]?\s*([a-zA-Z0-9\-]+)\s*$",
+    r"(?i)(?:^|\s)(?:page|p\.?|pg\.?)\s*[:.]?\s*([a-zA-Z0-9ivxlcdm\-]+)\s*$",
     r"(?i)^\s*([ivxlcdm]+)\s*$",
     r"(?i)^\s*([a-z])\s*$",
     r"^\s*(\d{1,4})\s*$",

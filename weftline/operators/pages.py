@@ -21,7 +21,7 @@ TOC_PAGES, TOC_LEAST, TOC_SECTION = 40, 0.42, 30
 SECTION_EXCERPT, REGION_EXCERPT, PAGE_EXCERPT, VISION_TEXT = 2500, 1500, 1200, 120
 VISUAL_HINTS = r"(?i)\btable\b|\bfigure\b|\bfig\.\b|\bannex\b|\[table\]|\[figure\]|chart|diagram|graph\b|flowchart|flow\s+chart|map\b|illustration|screenshot|infographic|box\s+\d+|appendix"
 VISUAL_TITLES = r"(?:Tables|Charts and graphs|Diagrams and flowcharts|Shapes, maps, and other figures|Other visible content)"
-NEGATIVE_LINE = r"(?i)^\s*-\s*(?:no\s+.*|none\s*(?:visible|present|found)?\.?|nothing\s+(?:visible|present|on\s+the\s+page)\.?)\s*$"
+NEGATIVE_LINE = r"(?i)^\s*-\s*(no\s+.+?\s+(visible|present|on\s+the\s+page|on\s+this\s+page)|none\s*(visible|present|found)?\.?|nothing\s+(visible|present|on\s+the\s+page)\.?|n/?a\.?)\s*\.?\s*$"
 
 
 def page_nodes(pages: DataFrame, parents: DataFrame) -> DataFrame:
