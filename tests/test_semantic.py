@@ -72,3 +72,24 @@ def test_entity_edges(spark):
     assert {(r.a, r.b): set(r.shared) for r in found if r.kind == "pair"} == pairs
     members = {(r.a, r.b, r.shared[0], r.links) for r in found if r.kind == "member"}
     assert members == {(min(m), d, e, len(m) - 1) for e, m in docs.items() if len(m) > 8 for d in m}
+
+
+def test_shared_entities_shuffle_no_pairs(spark):
+    rows = [(d, e) for d in range(60) for e in {f"e{d % 7}", f"r{d // 3}", "all", f"x{d % 2}"}]
+    ents = spark.createDataFrame(rows, "doc_id long, entity string")
+    docs = defaultdict(set)
+    for d, e in rows:
+        docs[d].add(e)
+    for least in (1, 2, 3):
+        found = semantic.shared_entities(ents, least)
+        want = {(a, b): sorted(docs[a] & docs[b]) for a, b in combinations(docs, 2) if len(docs[a] & docs[b]) >= least}
+        rows_found = found.collect()
+        assert {(r.a, r.b): r.shared for r in rows_found} == want and len(rows_found) == len(want)
+        assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs aren't made twice and dropped again
+
+
+def test_entities_shuffle_texts_once(spark):
+    texts = spark.createDataFrame([(1, "alpha alpha gamma delta"), (2, None), (3, "Alpha ALPHA omega")], "doc_id long, text string")
+    found = semantic.entities(texts)
+    assert {(r.doc_id, r.entity) for r in found.collect()} == {(1, "alpha"), (1, "gamma"), (1, "delta"), (3, "alpha"), (3, "omega")}
+    assert semantic.entities(texts)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -211,13 +211,25 @@ def sem_kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id and entity: a document's most frequent long words, ties in alphabetical order."""
+    """doc_id and entity: a document's most frequent long words, ties in alphabetical order. Texts are shuffled once, words never."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{%d,}" % ENTITY_LENGTH), F.lit(0))).alias("entity")
-    counts = docs.select("doc_id", word).groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
+    counts = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", word).groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "entity"))
     return counts.withColumn("r", rank).where(F.col("r") <= ENTITIES).select("doc_id", "entity")
 
 
+def _common(sets: DataFrame, least: int) -> DataFrame:
+    """a, b (a < b) and shared, in alphabetical order, of documents that share ``least`` entities or more of their ``s``; ``sets`` has doc_id, s and of.
+
+    ``of`` are the entities by which documents meet, in an order that all documents agree on; a pair comes out where its first common one is, so
+    pairs are neither shuffled nor made twice.
+    """
+    left, right = (sets.select(F.col("doc_id").alias(i), F.col("s").alias(f"s_{i}"), F.col("of").alias(f"of_{i}"), F.explode("of").alias("entity")) for i in "ab")
+    met = left.join(right, "entity").where("a < b").where(F.get(F.array_intersect("of_a", "of_b"), F.lit(0)) == F.col("entity"))
+    found = met.select("a", "b", F.array_sort(F.array_intersect("s_a", "s_b")).alias("shared"))
+    return found.where(F.size("shared") >= least)
+
+
 def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """a, b (a < b), weight and shared, the entities in alphabetical order, of documents that share ``least`` entities or more.
 
@@ -227,11 +239,7 @@ def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     df = ents.groupBy("entity").agg(F.count("*").alias("df"))
     ranked = ents.join(df, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "entity"))).alias("s"))
     sets = ranked.select("doc_id", F.transform("s", lambda x: x["entity"]).alias("s")).where(F.size("s") >= least)
-    prefix = sets.select("doc_id", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("entity"))
-    left, right = prefix.select(F.col("doc_id").alias("a"), "entity"), prefix.select(F.col("doc_id").alias("b"), "entity")
-    pairs = left.join(right, "entity").where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    found = pairs.select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared")).where(F.size("shared") >= least)
+    found = _common(sets.withColumn("of", F.slice("s", F.lit(1), F.size("s") - least + 1)), least)
     return found.select("a", "b", F.size("shared").cast("long").alias("weight"), "shared")
 
 
@@ -262,7 +270,7 @@ def entity_links(ents: DataFrame) -> DataFrame:
 e AS (SELECT doc_id, entity FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) <= 10)
 SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS weight, string_agg(entity, ',' ORDER BY entity) AS shared FROM e x JOIN e y USING (entity) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 4""")
 def sem_shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shared_entities(entities(table(spark, sf_dir, "documents")), LEAST_SHARED_HERE)
+    found = shared_entities(kept(entities(table(spark, sf_dir, "documents"))), LEAST_SHARED_HERE)
     return found.withColumn("shared", F.array_join("shared", ","))
 
 
