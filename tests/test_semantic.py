@@ -93,3 +93,9 @@ def test_entities_shuffle_texts_once(spark):
     found = semantic.entities(texts)
     assert {(r.doc_id, r.entity) for r in found.collect()} == {(1, "alpha"), (1, "gamma"), (1, "delta"), (3, "alpha"), (3, "omega")}
     assert semantic.entities(texts)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_entity_edges_shuffle_no_pairs(spark):
+    ents = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, entity string")
+    plan = semantic.entity_edges(ents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan

@@ -255,8 +255,12 @@ def entity_edges(ents: DataFrame, hot: int = HOT_ENTITY) -> DataFrame:
     known = ents.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "salt"])
     members = known.where(F.col("df") > hot).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit("member").alias("kind"), F.array("entity").alias("shared"), (F.col("df") - 1).alias("links"))
     light = known.where(F.col("df") <= hot)
-    left, right = light.select(F.col("doc_id").alias("a"), "entity"), light.select(F.col("doc_id").alias("b"), "entity")
-    pairs = left.join(right, "entity").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_list("entity")).alias("shared"))
+    # At most ``hot`` documents a group: it is one row, and its pairs are made in place, each where its first common entity is.
+    own = light.groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("s"))
+    groups = own.select("doc_id", "s", F.explode("s").alias("entity")).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("doc_id", "s"))).alias("m")).where(F.size("m") > 1)
+    firsts = groups.select("entity", "m", F.posexplode("m").alias("at", "x"))
+    met = firsts.select("entity", "x", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("y"))
+    pairs = met.select("entity", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.array_sort(F.array_intersect("x.s", "y.s")).alias("shared")).where("shared[0] = entity AND a < b")
     return pairs.select("a", "b", F.lit("pair").alias("kind"), "shared", F.lit(1).cast("long").alias("links")).unionByName(members)
 
 
@@ -292,4 +296,4 @@ SELECT x.doc_id AS a, y.doc_id AS b, 'pair' AS kind, string_agg(entity, ',' ORDE
 UNION ALL SELECT first, doc_id, 'member', entity, df - 1 FROM f WHERE df > {HOT_ENTITY}""")
 def sem_entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that shares one entity or more with another."""
-    return entity_edges(entities(table(spark, sf_dir, "documents"))).withColumn("shared", F.array_join("shared", ","))
+    return entity_edges(kept(entities(table(spark, sf_dir, "documents")))).withColumn("shared", F.array_join("shared", ","))
