@@ -58,3 +58,13 @@ def test_hops_give_the_same_rows(spark, stored):
     assert g.edges.where("other = 'unknown'").count() == 0 and g.nodes.count() == 200
     triples = {(r.source_label, r.rel_type, r.target_label): r.n for r in stored_graph.schema_triples(g).collect()}
     assert sum(triples.values()) == 600
+
+
+def test_buckets_grow_in_number(spark, tmp_path, monkeypatch):
+    from weftline.operators import stored_graph
+
+    monkeypatch.setattr(stored_graph, "BUCKET_ROWS", 10)
+    nodes = spark.range(101).selectExpr("CAST(id AS STRING) AS id", "'N' AS label")
+    edges = spark.range(100).selectExpr("CAST(id AS STRING) AS edge_id", "CAST(id AS STRING) AS source", "CAST(id + 1 AS STRING) AS target", "'NEXT' AS rel_type", "1.0D AS weight")
+    stored = stored_graph.store(nodes, edges, str(tmp_path / "g"))
+    assert stored.edges.count() == 200 and len(stored.edges.inputFiles()) > stored_graph.BUCKETS

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..sources.tables import scratch
+from ..sources.tables import kept, scratch
 from . import graph
 from .graph import DEFAULT_WEIGHT, TRAVERSED
 
 registry = Registry()
 
-#: Buckets of the edges. A task reads one, so a cluster's graph has as many as keep a bucket at some hundred megabytes.
-BUCKETS = 16
+#: Buckets of the edges at least, and rows of a bucket: a task writes and reads one, so buckets grow in number, not in size.
+BUCKETS, BUCKET_ROWS = 16, 500_000
 
 
 @dataclass(frozen=True)
@@ -34,16 +34,18 @@ class StoredGraph:
     nodes: DataFrame
 
 
-def store(nodes: DataFrame, edges: DataFrame, path: str, name: str | None = None, buckets: int = BUCKETS) -> StoredGraph:
+def store(nodes: DataFrame, edges: DataFrame, path: str, name: str | None = None, buckets: int | None = None) -> StoredGraph:
     """Store ``nodes`` (id, label) and ``edges`` (edge_id, source, target, rel_type, weight) below ``path``.
 
     The edges become a table of the session's catalogue, ``name``, as bucketing is known to tables only; its files are in ``path``.
+    There are ``buckets`` buckets, or as many as hold BUCKET_ROWS rows each, BUCKETS at least.
     """
     spark, name = nodes.sparkSession, name or f"edges_{uuid.uuid4().hex}"
     nodes.select("id", "label").write.partitionBy("label").parquet(f"{path}/nodes")
     known = nodes.groupBy("id").agg(F.min("label").alias("label"))
     end = lambda c: known.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    told = edges.select("edge_id", "source", "target", "rel_type", "weight").join(end("source"), "source").join(end("target"), "target")
+    told = kept(edges.select("edge_id", "source", "target", "rel_type", "weight").join(end("source"), "source").join(end("target"), "target"))
+    buckets = buckets or max(BUCKETS, -(-2 * told.count() // BUCKET_ROWS))
     way = lambda a, b, forward: F.struct(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(forward).alias("forward"), F.col(f"{a}_label").alias("node_label"), F.col(f"{b}_label").alias("other_label"))
     both = told.select("edge_id", "rel_type", "weight", F.explode(F.array(way("source", "target", True), way("target", "source", False))).alias("w"))
     rows = both.select("w.node", "w.other", "w.forward", "edge_id", "rel_type", "weight", "w.node_label", "w.other_label")
