@@ -99,3 +99,10 @@ def test_entity_edges_shuffle_no_pairs(spark):
     ents = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, entity string")
     plan = semantic.entity_edges(ents)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" not in plan
+
+
+def test_visits_in_slices_are_all(spark):
+    c = semantic.cells(frame(spark, clustered(400, 10)), 4)
+    met = semantic.visits(c, -1.0)
+    assert semantic.SENT < met.count() == met.distinct().count() and met.where("resident").count() == 400
+    assert semantic.pair_work(c, -1.0) == 400 * 399 / 2

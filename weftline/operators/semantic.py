@@ -20,6 +20,8 @@ registry = Registry()
 #: The usual threshold of similar nodes; the generated vectors need a lower one.
 SIMILAR, SIMILAR_HERE = 0.75, 0.30
 BLOCK_ROWS = 2048
+#: Copies of vectors that a task sends to blocks at once: a vector may meet every block.
+SENT = 8192
 #: Pivots at most, vectors drawn for each, and what is added to angles and taken from bounds, so that rounding loses no pair.
 PIVOTS, DRAWN, SLACK = 512, 8, 1e-6
 #: Documents from which an entity is a hot one, and parts into which it is dealt.
@@ -109,9 +111,11 @@ def visits(c: Cells, threshold: float, own: bool = False) -> DataFrame:
             times = blocks[to] - first
             at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
             row, to = np.repeat(row, times), np.repeat(to, times)
-            taken = t.take(pa.array(row))
-            arrays = [taken.column("id"), taken.column("vector"), pa.array(to.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array((to == cell[row]) & (at == block[row]))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "vector", "cell", "block", "resident"])
+            for i in range(0, len(row), SENT):
+                r, k, block_at = row[i : i + SENT], to[i : i + SENT], at[i : i + SENT]
+                taken = t.take(pa.array(r))
+                arrays = [taken.column("id"), taken.column("vector"), pa.array(k.astype(np.int32)), pa.array(block_at.astype(np.int32)), pa.array((k == cell[r]) & (block_at == block[r]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "vector", "cell", "block", "resident"])
 
     return c.members.mapInArrow(go, "id long, vector array<double>, cell int, block int, resident boolean")
 
