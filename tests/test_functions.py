@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
@@ -84,6 +85,20 @@ def test_section_tree(spark):
     assert [(r.pos, r.level, r.parent) for r in structure.section_tree(plain).orderBy("pos").collect()] == [(0, 1, -1), (1, 3, 0), (3, 3, 0), (4, 1, -1)]
 
 
+def test_section_trees_come_from_one_stream(spark, monkeypatch):
+    monkeypatch.setattr(structure, "BATCH_CHARS", 2000)
+    rows = [{"doc": d // 4 if d < 80 else None, "pos": d * 2 + k, "page": d, "text": f"{d % 4 + 1} Title {d}" if k == 0 else "x" * 50, "heading": k == 0, "box": False, "depth": 1 - k, "words": f"Title {d}"} for d in range(84) for k in (0, 1)]
+    whole = pa.Table.from_pylist(rows)
+    found = list(structure._stacked(iter(whole.to_batches(max_chunksize=7))))
+    assert len(found) > 10 and max(b.num_rows for b in found) < 8
+    made = [r for b in found for r in b.to_pylist()]
+    assert [(r["doc"], r["pos"], r["kind"], r["parent"]) for r in sorted(made, key=lambda r: (r["pos"], r["kind"]))] == [
+        x for d in range(84) for x in ((d // 4 if d < 80 else None, d * 2, "Chapter", -1), (d // 4 if d < 80 else None, d * 2 + 1, "Section", d * 2))
+    ]
+    lines = spark.range(40).selectExpr("id % 3 AS doc", "id AS pos", "IF(id % 5 = 0, concat(id, ' Heading'), 'some body') AS text")
+    assert "FlatMapGroupsInPandas" not in structure.section_tree(lines)._jdf.queryExecution().toString() and structure.section_tree(lines).where("kind = 'Chapter'").count() == 8
+
+
 def test_numbers_on_their_own_lines(spark):
     rows = [(1, 0, "4"), (1, 1, "4.5"), (1, 2, "TITLE"), (1, 3, "body"), (1, 4, "9.")]
     got = structure.merged_numbers(spark.createDataFrame(rows, "doc int, pos int, text string")).orderBy("pos").collect()

@@ -108,7 +108,8 @@ def is_heading(x: Column, font: Column | None = None, bold: Column | None = None
         large = F.coalesce(font >= threshold, F.lit(False))
         larger = F.coalesce(font >= threshold + 1, F.lit(False))
         found = found | (bold & large & (F.length(x) <= 120)) | (larger & (words <= 12))
-    return F.coalesce(F.length(x).between(3, 160) & (words <= 18) & ~(x.rlike(TABLE_OR_FIGURE) & (F.length(x) > 80)) & found, F.lit(False))
+    # Most lines are longer, so the patterns come behind a condition.
+    return F.when(F.length(x).between(3, 160), F.coalesce((words <= 18) & ~(x.rlike(TABLE_OR_FIGURE) & (F.length(x) > 80)) & found, F.lit(False))).otherwise(F.lit(False))
 
 
 def is_box_label(x: Column) -> Column:

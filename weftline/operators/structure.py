@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from ..sources.tables import table
 
 registry = Registry()
 
+#: Columns of a section tree, and characters of text that a batch of it holds before it is given out.
+FIELDS = ("doc", "pos", "kind", "level", "parent", "title", "first_page", "last_page", "text")
+BATCH_CHARS = 1 << 22
+
 _LINES = r"list_filter(list_transform(string_split({}, chr(10)), lambda s: trim(s, chr(32) || chr(9) || chr(13) || chr(12) || chr(11))), lambda s: s <> '')"
 _UPPER = r"(CASE WHEN length(regexp_replace(l, '[^\p{L}]', '', 'g')) > 0 THEN length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(l, '[^\p{L}]', '', 'g')) ELSE 0 END)"
 
@@ -239,8 +244,8 @@ def section_tree(blocks: DataFrame) -> DataFrame:
     """doc, pos, kind, level, parent, title, first_page, last_page and text of the chapters and sections of each document.
 
     ``blocks`` has doc, pos and text, and may have page, font, bold and low_confidence. Headings are picked and
-    numbers read by column expressions; the stack of open headings depends on their order, so it runs document by
-    document. A chapter (a number of one part) has level 1. A numbered section lies at its number's depth, one
+    numbers read by column expressions; the stack of open headings depends on their order, so it runs over sorted
+    blocks, many documents in one stream. A chapter (a number of one part) has level 1. A numbered section lies at its number's depth, one
     lower inside a chapter, and no higher than 2; other headings lie at 2, or one below an open section. Text
     before the first section of a chapter makes a preamble. A box's larger lines are its text. ``parent`` is the
     parent's pos, or -1 for the document; a section's text is its title and the blocks below it.
@@ -257,7 +262,9 @@ def section_tree(blocks: DataFrame) -> DataFrame:
         heading = heading & ~F.coalesce("low_confidence", F.lit(False))
     number = F.when(heading, X.title_number(F.col("line")))
     page = F.col("page") if "page" in full.columns else F.lit(1)
-    read = full.where("line <> ''").select(
+    # Each task takes whole documents, one after another in the order of their blocks.
+    ordered = full.repartition("doc").sortWithinPartitions("doc", "pos")
+    read = ordered.where("line <> ''").select(
         F.col("doc"),
         F.col("pos").cast("long").alias("pos"),
         page.cast("int").alias("page"),
@@ -268,50 +275,74 @@ def section_tree(blocks: DataFrame) -> DataFrame:
         X.title_words(F.col("line")).alias("words"),
     )
     doc_type = blocks.schema["doc"].dataType.simpleString()
-    return read.groupBy("doc").applyInPandas(
-        _stacked, f"doc {doc_type}, pos long, kind string, level int, parent long, title string, first_page int, last_page int, text string"
-    )
+    return read.mapInArrow(_stacked, f"doc {doc_type}, pos long, kind string, level int, parent long, title string, first_page int, last_page int, text string")
 
 
-def _stacked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sections of one document from its blocks in order."""
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sections of documents whose blocks come in order, one document after another.
+
+    A section is given out when the next one begins, a chapter at the next chapter, so only open headings and one section's text are held.
+    """
     made: list[dict] = []
+    schema, held = None, 0
     open_: list[dict] = []  # from the chapter down
     section = chapter = None
+    current = []  # the document, in a list as it may be null
 
-    def add(row, kind: str, level: int, title: str) -> dict:
+    def add(kind: str, level: int, title: str, depth: int, box: bool) -> dict:
         while open_ and open_[-1]["level"] >= level:
             open_.pop()
-        node = {"doc": row.doc, "pos": row.pos, "kind": kind, "level": level, "parent": open_[-1]["pos"] if open_ else -1, "title": title}
-        node |= {"first_page": row.page, "last_page": row.page, "depth": row.depth, "box": row.box, "body": []}
-        made.append(node)
+        node = {"doc": doc, "pos": pos, "kind": kind, "level": level, "parent": open_[-1]["pos"] if open_ else -1, "title": title}
+        node |= {"first_page": page, "last_page": page, "depth": depth, "box": box, "body": []}
         open_.append(node)
         return node
 
-    for row in pdf.sort_values("pos").itertuples():
-        if row.heading and not (section is not None and section["box"] and not row.box):
-            if row.depth == 1:
+    def close(node: dict | None) -> int:
+        """Put a heading that is complete into the result; about the characters that it takes."""
+        if node is None:
+            return 0
+        made.append({f: node[f] for f in FIELDS[:-1]} | {"text": "\n\n".join([node["title"], *node.pop("body")])})
+        return len(made[-1]["text"]) + 500
+
+    for batch in batches:
+        if schema is None:
+            kinds = {"doc": batch.schema.field("doc").type, "pos": pa.int64(), "parent": pa.int64(), "level": pa.int32(), "first_page": pa.int32(), "last_page": pa.int32()}
+            schema = pa.schema([(f, kinds.get(f, batch.schema.field("text").type)) for f in FIELDS])
+        for doc, pos, page, text, heading, in_box, depth, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held > BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(made, schema)
+                made.clear()
+                held = 0
+            if current != [doc]:
+                held += close(section) + close(chapter)
+                section = chapter = None
                 open_.clear()
-                chapter, section = add(row, "Chapter", 1, row.words.strip()), None
+                current = [doc]
+            if heading and not (section is not None and section["box"] and not in_box):
+                held += close(section)
+                if depth == 1:
+                    held += close(chapter)
+                    open_.clear()
+                    chapter, section = add("Chapter", 1, words.strip(), depth, in_box), None
+                    continue
+                level = max(2, depth + (chapter is not None)) if depth else 2
+                if section is not None and open_ and open_[-1] is section and level <= section["level"]:
+                    both = depth and section["depth"]
+                    if not both or depth > section["depth"]:
+                        level = section["level"] + 1
+                section = add("Section", level, text, depth, in_box)
                 continue
-            level = max(2, row.depth + (chapter is not None)) if row.depth else 2
-            if section is not None and open_ and open_[-1] is section and level <= section["level"]:
-                both = row.depth and section["depth"]
-                if not both or row.depth > section["depth"]:
-                    level = section["level"] + 1
-            section = add(row, "Section", level, row.text)
-            continue
-        if section is None:
-            # A preamble stays open at level 2, below the chapter or the document.
-            section = add(row._replace(depth=0, box=False), "Section", 2, "Preamble")
-        section["body"].append(row.text)
-        for node in (section, chapter):
-            if node is not None:
-                node["last_page"] = max(node["last_page"], row.page)
-    for node in made:
-        named = [] if node["title"] == "Preamble" and node["body"] else [node["title"]]
-        node["text"] = "\n\n".join([*(named or ["Preamble"]), *node["body"]])
-    return pd.DataFrame(made, columns=["doc", "pos", "kind", "level", "parent", "title", "first_page", "last_page", "text"])
+            if section is None:
+                # A preamble stays open at level 2, below the chapter or the document.
+                section = add("Section", 2, "Preamble", 0, False)
+            section["body"].append(text)
+            for node in (section, chapter):
+                if node is not None and page is not None and node["last_page"] is not None:
+                    node["last_page"] = max(node["last_page"], page)
+    close(section)
+    close(chapter)
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema)
 
 
 @registry.add()
