@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import parity
 import pytest
 
 from weftline.operators import graph, stored_graph
@@ -68,3 +69,20 @@ def test_buckets_grow_in_number(spark, tmp_path, monkeypatch):
     edges = spark.range(100).selectExpr("CAST(id AS STRING) AS edge_id", "CAST(id AS STRING) AS source", "CAST(id + 1 AS STRING) AS target", "'NEXT' AS rel_type", "1.0D AS weight")
     stored = stored_graph.store(nodes, edges, str(tmp_path / "g"))
     assert stored.edges.count() == 200 and len(stored.edges.inputFiles()) > stored_graph.BUCKETS
+
+
+def test_trade_near_its_nodes_only(spark, sf, monkeypatch):
+    whole = graph.with_inverse(graph.trade(spark, sf))
+    ids = spark.createDataFrame([("p7",), ("p7",), ("c11",), ("c1",), ("p0",), ("other",)], "id string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    near = rows(graph.trade_near(spark, sf)(ids))
+    assert near == rows(whole.where("source IN ('p7', 'c11', 'c1', 'p0')")) and {r[1][0] for r in near} == {"p", "c"}
+    monkeypatch.setattr(graph, "SHARE_ROWS", 100)
+    small = graph.trade(spark, sf)
+    assert small.rdd.getNumPartitions() > 50 and rows(graph.with_inverse(small)) == rows(whole)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "trade", None)  # the hops build no whole graph
+        from weftline.plans import catalogue
+
+        for name in ("graph_expand_1hop", "graph_expand_2hop"):
+            parity.compare(catalogue.queries()[name](spark, sf), catalogue.oracle_sql()[name], sf)

@@ -6,6 +6,8 @@ the order of lines. Traversals are equi-joins, and every top list breaks ties by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ MOST_ROUNDS, BITS = 40, 40
 # Edge types that expansion traverses.
 TRAVERSED = ("CONTAINS", "PART_OF", "PRECEDES", "FOLLOWS", "REFERENCES", "SEMANTICALLY_SIMILAR", "SHARES_ENTITY", "SAME_CATEGORY", "EXPLAINS")
 DEFAULT_WEIGHT = 0.75
+#: Rows of the larger table in a task that builds the whole trade graph.
+SHARE_ROWS = 1_000_000
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,24 +132,43 @@ def with_inverse(edge: DataFrame) -> DataFrame:
     return edge.select("edge_id", "source", "target", "rel_type", "weight").union(edge.select("edge_id", "target", "source", "rel_type", "weight"))
 
 
-def expand(seeds: DataFrame, edge: DataFrame, active: DataFrame, limit: int = 24) -> DataFrame:
-    """One hop from ``seeds`` (id, score) over traversed edges to ``active`` nodes; ``edge`` has edge_id, source, target, rel_type, weight."""
+#: Edges, or a function that gives those that leave the nodes of a table (id), in both directions.
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def leaving(edge: Edges, ids: DataFrame) -> DataFrame:
+    """The traversed edges from the nodes ``ids`` (id) in either direction: edge_id, source, target, rel_type and weight."""
+    if callable(edge):
+        return edge(ids).where(F.col("rel_type").isin(*TRAVERSED))
     both = with_inverse(edge.where(F.col("rel_type").isin(*TRAVERSED)))
-    found = both.join(seeds.select(F.col("id").alias("source")), "source", "left_semi").join(active.select(F.col("id").alias("target")), "target", "left_semi")
+    return both.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
+
+
+def _ending(found: DataFrame, active: DataFrame) -> DataFrame:
+    """``found`` whose targets are ``active``; what was found is few beside all nodes, so those are cut to it before they move."""
+    ends = active.select(F.col("id").alias("target")).join(found.select("target").distinct(), "target", "left_semi")
+    return found.join(ends, "target", "left_semi")
+
+
+def expand(seeds: DataFrame, edge: Edges, active: DataFrame, limit: int = 24) -> DataFrame:
+    """One hop from ``seeds`` (id, score) over traversed edges to ``active`` nodes; ``edge`` has edge_id, source, target, rel_type, weight."""
+    found = _ending(kept(leaving(edge, seeds)), active)
     found = found.select(F.col("source").alias("seed"), F.col("target").alias("id"), "rel_type", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight")).distinct()
     return found.orderBy(F.desc("weight"), "rel_type", "id", "seed").limit(limit)
 
 
-def expand_twice(seeds: DataFrame, edge: DataFrame, active: DataFrame, limit: int = 16) -> DataFrame:
-    """Two hops over different edges, ending away from the seed; the weight is the second edge's."""
-    both = with_inverse(edge.where(F.col("rel_type").isin(*TRAVERSED)))
-    one = both.join(seeds.select(F.col("id").alias("source")), "source", "left_semi")  # Catalyst filters below an aggregation
-    one = one.select(F.col("source").alias("seed"), F.col("target").alias("middle"), F.col("edge_id").alias("first"), F.col("rel_type").alias("r1"))
-    near = both.join(one.select(F.col("middle").alias("source")).distinct(), "source", "left_semi")
+def expand_twice(seeds: DataFrame, edge: Edges, active: DataFrame, limit: int = 16) -> DataFrame:
+    """Two hops over different edges, ending away from the seed; the weight is the second edge's.
+
+    The first hop is written, so its size is known when the second one's join is planned.
+    """
+    one = leaving(edge, seeds).select(F.col("source").alias("seed"), F.col("target").alias("middle"), F.col("edge_id").alias("first"), F.col("rel_type").alias("r1"))
+    one = kept(one)
+    near = leaving(edge, one.select(F.col("middle").alias("id")).distinct())
     two = one.join(near, F.col("middle") == F.col("source")).where("edge_id <> first AND target <> seed")
-    found = two.join(active.select(F.col("id").alias("target")), "target", "left_semi")
     weight = F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight")
-    found = found.select("seed", F.col("target").alias("id"), F.concat("r1", F.lit("->"), "rel_type").alias("rel_type"), weight).distinct()
+    two = kept(two.select("seed", "target", F.concat("r1", F.lit("->"), "rel_type").alias("rel_type"), weight).distinct())
+    found = _ending(two, active).select("seed", F.col("target").alias("id"), "rel_type", "weight")
     return found.orderBy(F.desc("weight"), "rel_type", "id", "seed").limit(limit)
 
 
@@ -206,12 +229,35 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custk
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    w = o.groupBy("l_partkey", "o_custkey").agg(F.count_distinct("o_orderkey").cast("double").alias("weight"))
+    """The whole graph. The tables are dealt out by their rows, so a task's share of a join or a count doesn't grow with them."""
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // SHARE_ROWS))
+    both = lines.repartition(shares, "l_orderkey").join(orders.repartition(shares, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _traded(both.select("l_partkey", "o_custkey", "o_orderkey").repartition(shares, "l_partkey", "o_custkey"))
+
+
+def _traded(bought: DataFrame) -> DataFrame:
+    w = bought.groupBy("l_partkey", "o_custkey").agg(F.count_distinct("o_orderkey").cast("double").alias("weight"))
     p, c = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("c"), "o_custkey")
     return w.select(F.concat(p, F.lit("-"), c).alias("edge_id"), p.alias("source"), c.alias("target"), F.lit("REFERENCES").alias("rel_type"), "weight")
 
 
+def trade_near(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """The edges of ``trade`` from given nodes in either direction: only those nodes' rows are joined and counted."""
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    met = F.col("l_orderkey") == F.col("o_orderkey")
+
+    def near(ids: DataFrame) -> DataFrame:
+        key = lambda sign, name: ids.where(F.col("id").rlike(rf"^{sign}-?\d+$")).select(F.substring("id", 2, 20).try_cast("long").alias(name)).distinct()
+        # What is left of a table is written, so its size is known when the join with the other one is planned.
+        parts = kept(lines.join(key("p", "l_partkey"), "l_partkey", "left_semi")).join(orders, met)
+        customers = kept(orders.join(key("c", "o_custkey"), "o_custkey", "left_semi")).join(lines, met)
+        forward, back = _traded(parts), _traded(customers)
+        return forward.union(back.select("edge_id", "target", "source", "rel_type", "weight"))
+
+    return near
+
+
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     return c.union(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
@@ -230,14 +276,14 @@ _SEEDS = "(SELECT 'p' || p_partkey AS id FROM part ORDER BY p_retailprice DESC,
 @registry.add(f"""SELECT DISTINCT source AS seed, target AS id, rel_type, CAST(weight AS DOUBLE) AS weight FROM {_BOTH} WHERE source IN (SELECT id FROM {_SEEDS}) AND target IN (SELECT id FROM {_ACTIVE})
 ORDER BY weight DESC, rel_type, id, seed LIMIT 24""")
 def graph_expand_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand(_seeds(spark, sf_dir), trade(spark, sf_dir), _active(spark, sf_dir))
+    return expand(_seeds(spark, sf_dir), trade_near(spark, sf_dir), _active(spark, sf_dir))
 
 
 @registry.add(f"""WITH b AS MATERIALIZED (SELECT * FROM {_BOTH}) SELECT DISTINCT x.source AS seed, y.target AS id, x.rel_type || '->' || y.rel_type AS rel_type, CAST(y.weight AS DOUBLE) AS weight
 FROM b x JOIN b y ON x.target = y.source WHERE x.source IN (SELECT id FROM {_SEEDS}) AND x.edge_id <> y.edge_id AND y.target <> x.source AND y.target IN (SELECT id FROM {_ACTIVE})
 ORDER BY weight DESC, rel_type, id, seed LIMIT 16""")
 def graph_expand_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand_twice(_seeds(spark, sf_dir), trade(spark, sf_dir), _active(spark, sf_dir))
+    return expand_twice(_seeds(spark, sf_dir), trade_near(spark, sf_dir), _active(spark, sf_dir))
 
 
 def neighbourhood(edge: DataFrame, rel_types: tuple[str, ...] = TRAVERSED) -> DataFrame:
