@@ -40,3 +40,10 @@ def test_routes_of_words_beside_other_letters(spark, sf, folder):
     odd = "['éorders', 'ordersé', 'which product' || chr(13) || 'has the most', 'top' || chr(11) || '5', 'top 0000000012 x', 'top 5é', 'ßphoto sales', 'photoß sales']"
     made = folder("conversations", f"SELECT conv_id, turn, 'user' AS role, ({odd})[(conv_id // 16) % 8 + 1] AS text FROM (SELECT i AS conv_id, 0 AS turn FROM range(128) r(i))")
     same(spark, "conversation_routes", made)
+
+
+def test_rankings_read_texts_of_candidates_only(spark, sf):
+    for name in ("ret_fusion", "ret_precision_pin", "ret_contrast_pin"):
+        df = __spark_entry__.queries()[name](spark, sf)
+        assert not [f for f in df.inputFiles() if "documents.parquet" in f]
+        assert compare(df, __spark_entry__.oracle_sql()[name], sf) > 0
