@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import ann, graph, language_id, near_dedup, quality_model, quality_rules, queries
+from weftline.llm import ann, common, graph, language_id, near_dedup, quality_model, quality_rules, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +116,20 @@ def test_near_duplicates_of_one_id_with_several_texts(spark):
     assert found == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 3, False), (8, 3, False), (20, 20, True)}
 
 
+def test_near_duplicates_broadcast_no_table_of_many_rows(spark, monkeypatch):
+    """Tables of ids grow with the documents: none of many rows goes whole through the driver, however small its files are."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    texts = [" ".join(f"w{i % 7}_{j}" for j in range(40)) for i in range(30)] + [" ".join([f"w{i % 7}_{j}" for j in range(39)] + ["else"]) for i in range(30)]
+    rows = [*enumerate(texts), (3, texts[4])]
+    near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, region_rows=4, block_shingles=50).collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList(before, store.executionsCount() - before)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     found = near_dedup.near_duplicates(odd, 4).collect()
     assert len(found) == odd.count()

@@ -227,11 +227,10 @@ def linked(ids: list, sets: list[np.ndarray], percent: int) -> Iterator[tuple]:
             queue += reached.tolist()
 
 
-def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v of confirmed links that connect what all links connect. ``members`` has doc_id, clump, and a and b, the two blocks that meet."""
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """doc_id and shingles of every text of ``members`` (doc_id) that has any; texts are shuffled once for all rounds."""
     id_type = docs.schema["doc_id"].dataType
-    own = members.select("doc_id", "clump", "a", "b")
-    texts = docs.select("doc_id", "text").join(own.select("doc_id"), "doc_id", "left_semi")
+    texts = common.joined(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id", "left_semi", rows=members.count())
     set_schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("shingles", T.BinaryType())])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +240,14 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
                 sets = pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], names=set_schema.names)
 
-    met = texts.mapInArrow(to_sets, set_schema).join(own, "doc_id").where(F.length("shingles") > 0)
+    return common.written(texts.mapInArrow(to_sets, set_schema).where(F.length("shingles") > 0))
+
+
+def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """u, v of confirmed links that connect what all links connect. ``members`` has doc_id, clump, and a and b, the two blocks that meet."""
+    met = common.joined(sets, members.select("doc_id", "clump", "a", "b"), "doc_id", rows=members.count())
     met = met.repartition("clump", "a", "b").sortWithinPartitions("clump", "a", "b", "doc_id")
+    id_type = sets.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,28 +284,30 @@ def _confirmed(docs: DataFrame, sized: DataFrame, width: int, percent: int, bloc
     """node and component of every document that a confirmed link joins. ``sized`` has doc_id, n and clump."""
     cut = lambda total: F.greatest(F.lit(1), F.ceil(total / block_shingles)).cast("int")
     block = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    n = sized.count()  # at least the rows of what is joined below
     totals = sized.groupBy("clump").agg(cut(F.sum("n")).alias("blocks"))
-    members = common.written(sized.join(totals, "clump").withColumn("a", block("blocks")).withColumn("b", F.col("a")))
-    links = common.written(_links(docs, members, width, percent))
+    members = common.written(common.joined(sized, totals, "clump", rows=n).withColumn("a", block("blocks")).withColumn("b", F.col("a")))
+    sets = _sets(docs, members, width)
+    links = common.written(_links(sets, members, percent))
     cut_up = members.where("blocks > 1").select("doc_id", "n", "clump")
     if not cut_up.limit(1).count():
         return graph.components(links)
     # One document of each part of two or more in a cut clump meets the other parts'.
     parts = _parts(cut_up, links)
     many = parts.groupBy("clump", "part").agg(F.count("*").alias("docs")).where("docs > 1")
-    first = common.written(parts.where("doc_id = part").join(many, ["clump", "part"], "left_semi"))
-    links = common.written(links.union(_links(docs, _paired(first, first, cut, block), width, percent)))
+    first = common.written(common.joined(parts.where("doc_id = part"), many, ["clump", "part"], "left_semi", rows=n))
+    links = common.written(links.union(_links(sets, _paired(first, first, cut, block), percent)))
     parts = _parts(cut_up, links)
     largest = parts.groupBy("clump", "part").agg(F.sum("n").alias("n")).groupBy("clump").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
-    apart = common.written(parts.join(largest.where("parts > 1"), "clump"))
+    apart = common.written(common.joined(parts, largest.where("parts > 1"), "clump", rows=n))
     others = apart.where("part <> most")
-    return graph.components(links.union(_links(docs, _paired(others, apart, cut, block), width, percent)))
+    return graph.components(links.union(_links(sets, _paired(others, apart, cut, block), percent)))
 
 
 def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with part, the smallest document that links join each to."""
-    joined = graph.components(links).select(F.col("node").alias("doc_id"), "component")
-    return common.written(members.join(joined, "doc_id", "left").select("doc_id", "n", "clump", F.coalesce("component", "doc_id").alias("part")))
+    reached = graph.components(links).select(F.col("node").alias("doc_id"), "component")
+    return common.written(common.joined(members, reached, "doc_id", "left", rows=reached.count()).select("doc_id", "n", "clump", F.coalesce("component", "doc_id").alias("part")))
 
 
 def _paired(some: DataFrame, every: DataFrame, cut, block) -> DataFrame:
@@ -308,13 +315,14 @@ def _paired(some: DataFrame, every: DataFrame, cut, block) -> DataFrame:
 
     Blocks of ``some`` are numbered from 0, those of the others from -1 down; a pair of blocks has one from ``some``.
     """
+    n = every.count()
     mine = some.groupBy("clump").agg(cut(2 * F.sum("n")).alias("blocks"))
-    rest = every.join(some.select("doc_id", "clump"), ["doc_id", "clump"], "left_anti").join(mine.withColumnRenamed("blocks", "some_blocks"), "clump")
+    rest = common.joined(common.joined(every, some.select("doc_id", "clump"), ["doc_id", "clump"], "left_anti", rows=n), mine.withColumnRenamed("blocks", "some_blocks"), "clump", rows=n)
     sizes = rest.groupBy("clump").agg(cut(2 * F.sum("n")).alias("rest_blocks"))
-    first = some.join(mine, "clump").join(sizes, "clump", "left").withColumn("own", block("blocks"))
+    first = common.joined(common.joined(some, mine, "clump", rows=n), sizes, "clump", "left", rows=n).withColumn("own", block("blocks"))
     other = F.explode(F.sequence(-F.coalesce("rest_blocks", F.lit(0)), F.col("blocks") - 1))
     first = first.withColumn("other", other).where((F.col("other") != F.col("own")) | (F.col("blocks") - 1 + F.coalesce("rest_blocks", F.lit(0)) == 0))
-    second = rest.join(sizes, "clump").withColumn("own", -1 - block("rest_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("some_blocks") - 1)))
+    second = common.joined(rest, sizes, "clump", rows=n).withColumn("own", -1 - block("rest_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("some_blocks") - 1)))
     both = first.select("doc_id", "clump", "own", "other").union(second.select("doc_id", "clump", "own", "other"))
     return common.written(both.select("doc_id", "clump", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")))
 
@@ -337,20 +345,21 @@ def near_duplicates(
     forest = nodes.select(F.col("node").alias("doc_id"), "labels", trees.alias("tree"))
     forest = forest.select("doc_id", "tree", F.substring("labels", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"))
     clumps = graph.components(_candidate_edges(forest, region_rows))
-    sized = nodes.groupBy("node").agg(F.sum("n").alias("n")).join(clumps, "node")
-    linked_to = _confirmed(docs, sized.select(F.col("node").alias("doc_id"), "n", F.col("component").alias("clump")), width, percent, block_shingles)
+    n = nodes.count()
+    sized = common.joined(nodes.groupBy("node").agg(F.sum("n").alias("n")), clumps, "node", rows=n)
+    linked_to = _confirmed(docs, common.written(sized.select(F.col("node").alias("doc_id"), "n", F.col("component").alias("clump"))), width, percent, block_shingles)
     # A doc_id of several sets, an empty one too, is one node: it joins the nodes of them all.
     empty_set = F.concat(F.lit("no words: "), F.col("doc_id").cast("string")).cast("binary")
     key = F.coalesce("set_hash", empty_set)
     named = signed.where("doc_id IS NOT NULL").select("doc_id", "set_hash", key.alias("key"))
     several = named.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
-    several = common.written(named.join(several, "doc_id").distinct())
-    if several.limit(1).count():
-        own = several.join(nodes, "set_hash").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    several = common.written(common.joined(named, several, "doc_id", rows=signed.count()).distinct())
+    if more := several.count():
+        own = common.joined(several, nodes, "set_hash", rows=n + more).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
         linked_to = graph.components(linked_to.select(F.col("node").alias("u"), F.col("component").alias("v")).union(own))
     firsts = nodes.select(F.col("set_hash").alias("key"), "node")
     firsts = firsts.union(several.where("set_hash IS NULL").select("key", F.col("doc_id").alias("node")))
-    firsts = firsts.join(linked_to, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", key.alias("key")).join(firsts, "key", "left")
+    firsts = common.joined(firsts, linked_to, "node", "left", rows=linked_to.count()).select("key", F.coalesce("component", "node").alias("component"))
+    out = common.joined(signed.select("doc_id", "n_shingles", key.alias("key")), firsts, "key", "left", rows=n + more)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
