@@ -88,6 +88,22 @@ def test_shared_entities_shuffle_no_pairs(spark):
         assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs aren't made twice and dropped again
 
 
+def test_shared_entities_in_blocks(spark, monkeypatch):
+    """Groups of entities cut in blocks and pairs in slices, sets of one to fourteen words that go on over batches, and ids that are text."""
+    monkeypatch.setattr(semantic, "GROUP_ROWS", 7)
+    monkeypatch.setattr(semantic, "MET", 5)
+    rng = np.random.default_rng(4)
+    docs = {f"d{i:03}": {f"wörd{w}" for w in rng.integers(0, 16, rng.integers(1, 15))} for i in range(90)}
+    ents = spark.createDataFrame([(d, w) for d, ws in docs.items() for w in ws] + [(None, "wörd1"), ("d000", None)], "doc_id string, entity string")
+    for least in (1, 4):
+        found = semantic.shared_entities(ents, least)
+        want = {(a, b): sorted(docs[a] & docs[b]) for a, b in combinations(docs, 2) if len(docs[a] & docs[b]) >= least}
+        rows_found = found.collect()
+        assert {(r.a, r.b): r.shared for r in rows_found} == want and len(rows_found) == len(want)
+        assert all(r.weight == len(r.shared) for r in rows_found)
+        assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # not pair by pair
+
+
 def test_entities_shuffle_texts_once(spark):
     texts = spark.createDataFrame([(1, "alpha alpha gamma delta"), (2, None), (3, "Alpha ALPHA omega")], "doc_id long, text string")
     found = semantic.entities(texts)

@@ -24,6 +24,8 @@ BLOCK_ROWS = 2048
 SENT = 8192
 #: Pivots at most, vectors drawn for each, and what is added to angles and taken from bounds, so that rounding loses no pair.
 PIVOTS, DRAWN, SLACK = 512, 8, 1e-6
+#: Documents of a block of an entity, and pairs of sets that a task compares at once.
+GROUP_ROWS, MET = 2048, 65_536
 #: Documents from which an entity is a hot one, and parts into which it is dealt.
 HOT_ENTITY, SALTS = 20, 16
 # Pairs that a relation is sought for at most.
@@ -222,29 +224,104 @@ def entities(docs: DataFrame) -> DataFrame:
     return counts.withColumn("r", rank).where(F.col("r") <= ENTITIES).select("doc_id", "entity")
 
 
+def _overlaps(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """a, b and shared of the pairs that share ``least`` words or more, each under its first common word only.
+
+    ``rows`` (doc_id, s, entity, x, y, own) has whole groups of an entity and two blocks x and y, in order; within a group, documents of one block meet
+    those of the other, or each other if the blocks are one.
+    """
+    n = rows.num_rows
+    words, ids = rows.column("s").combine_chunks(), rows.column("doc_id").combine_chunks()
+    sizes = pc.list_value_length(words).to_numpy()
+    named = pc.unique(words.flatten())
+    named = named.take(pc.sort_indices(named))  # so that numbers of words are in alphabetical order
+    flat = pc.index_in(words.flatten(), named).to_numpy()
+    codes = np.full((n, int(sizes.max())), -1, np.int32)
+    codes[np.arange(codes.shape[1]) < sizes[:, None]] = flat
+    entity = pc.index_in(rows.column("entity").combine_chunks(), named).to_numpy()
+    # A bit for each word; words of one bit are allowed for, so no pair is lost by them.
+    bit = np.uint64(1) << ((codes.astype(np.int64) * 0x9E3779B1 >> 7) & 63).astype(np.uint64)
+    bits = np.bitwise_or.reduce(np.where(codes >= 0, bit, np.uint64(0)), axis=1)
+    enough = least - (sizes - np.bitwise_count(bits))
+    x, y, own = (rows.column(c).to_numpy() for c in ("x", "y", "own"))
+    first = np.concatenate([[True], (entity[1:] != entity[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)[np.cumsum(first) - 1]
+    # Where the partners of a row begin: after it, or where the other block does.
+    other = np.flatnonzero(np.concatenate([[True], first[1:] | (own[1:] != own[:-1])]))
+    after = np.append(other[1:], n)[np.searchsorted(other, np.arange(n), "right") - 1]
+    begin = np.where(x == y, np.arange(n) + 1, after)
+    times = np.maximum(ends - begin, 0)
+    upto = np.cumsum(times)
+    for lo in range(0, int(upto[-1]), MET):
+        hi = min(lo + MET, int(upto[-1]))
+        r = np.arange(np.searchsorted(upto, lo, "right"), np.searchsorted(upto, hi - 1, "right") + 1)
+        to, of = np.minimum(upto[r], hi) - lo, np.maximum(upto[r] - times[r], lo) - lo
+        left = np.repeat(r, to - of)
+        right = np.arange(lo, hi) - np.repeat(upto[r] - times[r] - begin[r], to - of)
+        some = np.flatnonzero(np.bitwise_count(bits[left] & bits[right]) >= enough[left])
+        left, right = left[some], right[some]
+        mine = codes[left]
+        there = np.zeros(mine.shape, bool)
+        for k in range(codes.shape[1]):
+            there |= mine == codes[right, k][:, None]
+        there &= mine >= 0
+        count = there.sum(axis=1)
+        keep = np.flatnonzero((count >= least) & (mine[np.arange(len(mine)), there.argmax(axis=1)] == entity[left]))
+        if len(keep):
+            left, right, count, mine, there = left[keep], right[keep], count[keep], mine[keep], there[keep]
+            held = np.sort(np.where(there, mine, len(named)), axis=1)
+            shared = named.take(pa.array(held[held < len(named)]))
+            a, b = ids.take(pa.array(left)), ids.take(pa.array(right))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), shared)
+            yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), lists], names=["a", "b", "shared"])
+
+
 def _common(sets: DataFrame, least: int) -> DataFrame:
     """a, b (a < b) and shared, in alphabetical order, of documents that share ``least`` entities or more of their ``s``; ``sets`` has doc_id, s and of.
 
-    ``of`` are the entities by which documents meet, in an order that all documents agree on; a pair comes out where its first common one is, so
-    pairs are neither shuffled nor made twice.
+    ``of`` are the entities by which documents meet (df, entity), in an order that all documents agree on; a pair comes out where its first common one
+    is, so pairs are neither shuffled nor made twice. Documents of an entity are dealt into blocks of about GROUP_ROWS, and a group is two blocks.
     """
-    left, right = (sets.select(F.col("doc_id").alias(i), F.col("s").alias(f"s_{i}"), F.col("of").alias(f"of_{i}"), F.explode("of").alias("entity")) for i in "ab")
-    met = left.join(right, "entity").where("a < b").where(F.get(F.array_intersect("of_a", "of_b"), F.lit(0)) == F.col("entity"))
-    found = met.select("a", "b", F.array_sort(F.array_intersect("s_a", "s_b")).alias("shared"))
-    return found.where(F.size("shared") >= least)
+    spark = sets.sparkSession
+    each = sets.select("doc_id", "s", F.explode("of").alias("e")).where("e.df > 1")
+    blocks = F.ceil(F.col("e.df") / GROUP_ROWS).cast("int")
+    own = each.select("doc_id", "s", "e.entity", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("doc_id", "s", "entity", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # by pairs, not by bytes, are tasks long
+    dealt = met.repartition(tasks, "entity", "x", "y").sortWithinPartitions("entity", "x", "y", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            key = rows.select(["entity", "x", "y"])
+            last = key.slice(rows.num_rows - 1, 1)
+            same = pc.and_(pc.and_(pc.equal(key["entity"], last["entity"][0]), pc.equal(key["x"], last["x"][0])), pc.equal(key["y"], last["y"][0]))
+            whole = rows.num_rows - pc.sum(same).as_py()  # the last group may go on in the next batch
+            if whole:
+                yield from _overlaps(rows.slice(0, whole).combine_chunks(), least)
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield from _overlaps(pa.Table.from_batches(held).combine_chunks(), least)
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, shared array<string>")
 
 
 def shared_entities(ents: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """a, b (a < b), weight and shared, the entities in alphabetical order, of documents that share ``least`` entities or more.
 
     Two sets of that overlap share one of their rarer entities: of a set's n, in order of
-    rarity, the first n - least + 1. Only those are joined, so common words meet no one.
+    rarity, the first n - least + 1. Documents meet only by those, so common words meet no one.
     """
     df = ents.groupBy("entity").agg(F.count("*").alias("df"))
-    ranked = ents.join(df, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "entity"))).alias("s"))
-    sets = ranked.select("doc_id", F.transform("s", lambda x: x["entity"]).alias("s")).where(F.size("s") >= least)
-    found = _common(sets.withColumn("of", F.slice("s", F.lit(1), F.size("s") - least + 1)), least)
-    return found.select("a", "b", F.size("shared").cast("long").alias("weight"), "shared")
+    ranked = ents.where("doc_id IS NOT NULL").join(df, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "entity"))).alias("e")).where(F.size("e") >= least)
+    sets = ranked.select("doc_id", F.transform("e", lambda x: x["entity"]).alias("s"), F.slice("e", F.lit(1), F.size("e") - least + 1).alias("of"))
+    return _common(sets, least).select("a", "b", F.size("shared").cast("long").alias("weight"), "shared")
 
 
 def entity_edges(ents: DataFrame, hot: int = HOT_ENTITY) -> DataFrame:
